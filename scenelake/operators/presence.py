@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenelake.functions.clock import to_us, us
+from scenelake.functions.clock import to_us
 from scenelake.plans.segments import HALO_US, SLICE, SLICE_US, carry, drop_halo, local, with_halo
 from scenelake.session import settle
 
@@ -91,10 +91,3 @@ def presence_islands(tracks: DataFrame, keys: Sequence[str] = TRACK, width: int
         width=width,
     )
     return settle(out.drop(SLICE))
-
-
-def seconds(us_column: str):
-    return F.col(us_column) / 1e6
-
-
-__all__ = ["elapsed", "footage_time", "on_footage_time", "presence_islands", "seconds", "step_ordinal", "us"]
