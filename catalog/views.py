@@ -182,7 +182,7 @@ SQL = {
         FROM tr0 WHERE k % 10 <> 0""",
     "trg": "SELECT *, step - row_number() OVER (PARTITION BY source_id, track_id ORDER BY step) AS g FROM tr",
     "isl": """SELECT *, min(step) OVER (PARTITION BY source_id, track_id, g) AS island, min(t_us) OVER (PARTITION BY source_id, track_id, g) AS island_t FROM trg""",
-    "poses": """SELECT vec_id, label, list_transform(range(17), i -> {'x': 300 + 200 * CAST(embedding[3 * i + 1] AS DOUBLE), 'y': 200 + 200 * CAST(embedding[3 * i + 2] AS DOUBLE),
+    "poses": """SELECT vec_id, label, list_transform(range(17), lambda i: {'x': 300 + 200 * CAST(embedding[3 * i + 1] AS DOUBLE), 'y': 200 + 200 * CAST(embedding[3 * i + 2] AS DOUBLE),
         'c': least(1.0, abs(8 * CAST(embedding[3 * i + 3] AS DOUBLE)))}) AS kps FROM embeddings""",
 }
 NEEDS = {

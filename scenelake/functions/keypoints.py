@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenelake.functions.boxes import box_height, margin, tilt_from_vertical
@@ -77,37 +77,50 @@ def wrist_inside(kps: Column, b: Column, min_conf: float = 0.35) -> Column:
     return hit(LEFT_WRIST) | hit(RIGHT_WRIST)
 
 
-def posture_of(kps: Column, b: Column, min_conf: float = 0.3) -> Column:
-    """struct(posture, confidence, reason) from torso tilt and how far the legs drop.
+def with_posture(df: DataFrame, keypoints: str = "keypoints", box: str = "box", min_conf: float = 0.3) -> DataFrame:
+    """Adds posture, posture_confidence and posture_reason from torso tilt and how far the legs drop.
 
-    Reasons are codes: torso_missing, foreshortened, tilted, no_knees, legs_extended,
-    no_ankles, shank_extended, folded.
+    Reasons are codes: torso_missing, foreshortened, tilted, no_knees, legs_extended, no_ankles,
+    shank_extended, folded. Computed in stages, so each measurement is worked out once per row.
     """
+    kps = F.col(keypoints)
+
     def mid(left: int, right: int) -> Column:
         return keypoint_mid(seen(kps, left, min_conf), seen(kps, right, min_conf))
 
-    shoulder, hip = mid(LEFT_SHOULDER, RIGHT_SHOULDER), mid(LEFT_HIP, RIGHT_HIP)
-    knee, ankle = mid(LEFT_KNEE, RIGHT_KNEE), mid(LEFT_ANKLE, RIGHT_ANKLE)
+    shoulder, hip, knee, ankle = (F.col(f"_{n}") for n in ("shoulder", "hip", "knee", "ankle"))
+    out = df.withColumns(
+        {
+            "_shoulder": mid(LEFT_SHOULDER, RIGHT_SHOULDER),
+            "_hip": mid(LEFT_HIP, RIGHT_HIP),
+            "_knee": mid(LEFT_KNEE, RIGHT_KNEE),
+            "_ankle": mid(LEFT_ANKLE, RIGHT_ANKLE),
+        }
+    )
     dx, dy = hip["x"] - shoulder["x"], hip["y"] - shoulder["y"]
-    torso = F.hypot(dx, dy)
-    tilt = tilt_from_vertical(dx, dy)
-    sure = F.least(shoulder["confidence"], hip["confidence"])
-    thigh = (knee["y"] - hip["y"]) / torso
-    shank = (ankle["y"] - knee["y"]) / torso
+    out = out.withColumns({"_torso": F.hypot(dx, dy), "_tilt": tilt_from_vertical(dx, dy), "_sure": F.least(shoulder["confidence"], hip["confidence"])})
+    torso = F.when(F.col("_torso") > 0, F.col("_torso"))
+    out = out.withColumns({"_thigh": (knee["y"] - hip["y"]) / torso, "_shank": (ankle["y"] - knee["y"]) / torso})
+    tilt, sure, thigh, shank = (F.col(f"_{n}") for n in ("tilt", "sure", "thigh", "shank"))
+    reason = (
+        F.when(shoulder.isNull() | hip.isNull(), "torso_missing")
+        .when(F.col("_torso") < MIN_TORSO * F.greatest(box_height(F.col(box)), F.lit(1.0)), "foreshortened")
+        .when(tilt >= LYING_ANGLE, "tilted")
+        .when(knee.isNull(), "no_knees")
+        .when(thigh >= EXTENDED, "legs_extended")
+        .when(ankle.isNull(), "no_ankles")
+        .when(shank >= EXTENDED, "shank_extended")
+        .otherwise("folded")
+    )
+    out = out.withColumn("posture_reason", reason)
+    why = F.col("posture_reason")
     with_knee = F.least(sure, knee["confidence"])
     with_ankle = F.least(with_knee, ankle["confidence"])
-
-    def verdict(name: str, confidence: Column, reason: str) -> Column:
-        return F.struct(F.lit(name).alias("posture"), confidence.alias("confidence"), F.lit(reason).alias("reason"))
-
-    nothing = F.lit(0.0)
-    return (
-        F.when(shoulder.isNull() | hip.isNull(), verdict("unknown", nothing, "torso_missing"))
-        .when(torso < MIN_TORSO * F.greatest(box_height(b), F.lit(1.0)), verdict("unknown", nothing, "foreshortened"))
-        .when(tilt >= LYING_ANGLE, verdict("lying", sure * margin(tilt, LYING_ANGLE, 25.0), "tilted"))
-        .when(knee.isNull(), verdict("unknown", nothing, "no_knees"))
-        .when(thigh >= EXTENDED, verdict("standing", with_knee * margin(thigh, EXTENDED, 0.35), "legs_extended"))
-        .when(ankle.isNull(), verdict("unknown", nothing, "no_ankles"))
-        .when(shank >= EXTENDED, verdict("sitting", with_ankle * margin(shank, EXTENDED, 0.35), "shank_extended"))
-        .otherwise(verdict("crouching", with_ankle * margin(shank, EXTENDED, 0.35), "folded"))
+    posture = F.when(why == "tilted", "lying").when(why == "legs_extended", "standing").when(why == "shank_extended", "sitting").when(why == "folded", "crouching")
+    confidence = (
+        F.when(why == "tilted", sure * margin(tilt, LYING_ANGLE, 25.0))
+        .when(why == "legs_extended", with_knee * margin(thigh, EXTENDED, 0.35))
+        .when(why.isin("shank_extended", "folded"), with_ankle * margin(shank, EXTENDED, 0.35))
     )
+    out = out.withColumns({"posture": F.coalesce(posture, F.lit("unknown")), "posture_confidence": F.coalesce(confidence, F.lit(0.0))})
+    return out.drop("_shoulder", "_hip", "_knee", "_ankle", "_torso", "_tilt", "_sure", "_thigh", "_shank")

@@ -69,21 +69,24 @@ def carry(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     befores: Mapping[str, Column] | None = None,
+    tops: Mapping[str, Column] | None = None,
     width: int = SLICE_US,
 ) -> DataFrame:
-    """Running sums, last non-null values (this row included) and last non-null values before this row.
+    """Running sums, last non-null values (this row included), last non-null values before this row,
+    and maxima (``tops``) over the rows before this one.
 
     ``order[0]`` is the column the slices are cut on; further columns break ties.
     """
-    sums, lasts, befores = dict(sums or {}), dict(lasts or {}), dict(befores or {})
+    sums, lasts, befores, tops = dict(sums or {}), dict(lasts or {}), dict(befores or {}), dict(tops or {})
     tails = {**lasts, **befores}
     base = with_slice(df, order[0], width)
-    for name, column in {**sums, **tails}.items():
+    for name, column in {**sums, **tails, **tops}.items():
         base = base.withColumn(f"_v_{name}", column)
     rank = F.struct(*[F.col(c) for c in order])
     summary = base.groupBy(*keys, SLICE).agg(
         *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums],
         *[F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), rank)).alias(f"_s_{n}") for n in tails],
+        *[F.max(f"_v_{n}").alias(f"_s_{n}") for n in tops],
     )
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     entering = summary.select(
@@ -91,6 +94,7 @@ def carry(
         SLICE,
         *[F.sum(f"_s_{n}").over(before).alias(f"_in_{n}") for n in sums],
         *[F.last(f"_s_{n}", ignorenulls=True).over(before).alias(f"_in_{n}") for n in tails],
+        *[F.max(f"_s_{n}").over(before).alias(f"_in_{n}") for n in tops],
     )
     earlier = local(keys, *order).rowsBetween(Window.unboundedPreceding, -1)
     here = local(keys, *order).rowsBetween(Window.unboundedPreceding, 0)
@@ -98,6 +102,7 @@ def carry(
     done = {n: F.coalesce(F.sum(f"_v_{n}").over(here), F.lit(0)) + F.coalesce(F.col(f"_in_{n}"), F.lit(0)) for n in sums}
     done |= {n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(here), F.col(f"_in_{n}")) for n in lasts}
     done |= {n: F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(earlier), F.col(f"_in_{n}")) for n in befores}
+    done |= {n: F.greatest(F.max(f"_v_{n}").over(earlier), F.col(f"_in_{n}")) for n in tops}
     out = out.withColumns(done)
     return out.drop(*[f"_v_{n}" for n in done], *[f"_in_{n}" for n in done])
 

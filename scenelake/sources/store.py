@@ -66,12 +66,11 @@ def _stored(df: DataFrame, kind: str) -> DataFrame:
     return full.select(*cols, F.to_date("timestamp").alias("dt"))
 
 
-def append_records(df: DataFrame, kind: str, path: str, files_per_partition: int = 8) -> None:
-    """Append rows. A camera's day is spread over a few files, so one busy camera does not meet one task."""
-    rows = _stored(df, kind)
-    spread = F.pmod(F.hash("timestamp"), F.lit(files_per_partition))
+def append_records(df: DataFrame, kind: str, path: str) -> None:
+    """Append rows. The rebalance splits a busy camera's day over several tasks and merges quiet ones."""
+    rows = _stored(df, kind).hint("rebalance", *PARTITIONS)
     order = [*PARTITIONS, *(["entity_id"] if "entity_id" in rows.columns else []), "timestamp"]
-    rows.repartition(*PARTITIONS, spread).sortWithinPartitions(*order).write.mode("append").partitionBy(*PARTITIONS).parquet(_at(kind, path))
+    rows.sortWithinPartitions(*order).write.mode("append").partitionBy(*PARTITIONS).parquet(_at(kind, path))
 
 
 def route_records(batch: DataFrame, path: str) -> None:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scenelake.functions.keypoints import arm_confidence, posture_of
+from scenelake.functions.keypoints import arm_confidence, with_posture
 from scenelake.operators.activity import activities, rising_edges
 from scenelake.operators.motion import motion_state
 from scenelake.operators.presence import presence_islands
@@ -18,12 +18,9 @@ SECOND = 1_000_000
 def doing(spark, request):
     width = request.param * SECOND
     rows = scenes.table(spark, scenes.activity_rows())
-    pose = F.when(F.col("keypoints").isNotNull(), posture_of(F.col("keypoints"), F.col("box")))
     arm = F.when(F.col("keypoints").isNotNull(), arm_confidence(F.col("keypoints")))
-    rows = rows.withColumns(
+    rows = with_posture(rows).withColumns(
         {
-            "posture": F.coalesce(pose["posture"], F.lit("unknown")),
-            "posture_confidence": F.coalesce(pose["confidence"], F.lit(0.0)),
             "arm_confidence": F.coalesce(arm, F.lit(0.0)),
             "arm_raised": F.coalesce(arm, F.lit(0.0)) > 0,
         }
