@@ -100,12 +100,9 @@ def _against_blocks(probes: DataFrame, gallery: DataFrame, key: str, vector: str
         if left.empty or right.empty:
             return pd.DataFrame({key: left[key].iloc[:0], "best": [], "best_score": [], "second": [], "second_score": []})
         right = right.sort_values("name", kind="stable")
-        names, templates = right["name"].to_numpy(object), _stack(right["template"])
-        parts = []
-        for start in range(0, len(left), 8_192):
-            chunk = left.iloc[start : start + 8_192]
-            parts.append(pd.DataFrame({key: chunk[key].to_numpy(), **_top_two(_stack(chunk[vector]), names, templates)}))
-        return pd.concat(parts, ignore_index=True)
+        names, templates = np.array(list(right["name"]), dtype=object), _stack(right["template"])
+        chunks = [_top_two(_stack(left[vector].iloc[at : at + 8_192]), names, templates) for at in range(0, len(left), 8_192)]
+        return pd.DataFrame({key: left[key].to_numpy(), **{c: np.concatenate([part[c] for part in chunks]) for c in chunks[0]}})
 
     per = p.groupBy("_b", "_s").cogroup(g.groupBy("_b", "_s")).applyInPandas(run, f"{key} {kind}, {_TOP}")
     rank = lambda name, score: F.struct((-F.col(score)).alias("s"), F.col(name).alias("n"))

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenelake.functions.boxes import iou
+from scenelake.operators.assignment import best_matching
+from scenelake.plans.segments import SLICE, carry
+from scenelake.session import settle
+
 
 def anomaly_scores(flagged: DataFrame, planted: DataFrame, by: Sequence[str], on: Sequence[str]) -> DataFrame:
     """Found, missed and false positives per group, from one aggregation of both sets."""
@@ -34,3 +40,255 @@ def missed(flagged: DataFrame, planted: DataFrame) -> DataFrame:
 
 def false_positives(flagged: DataFrame, planted: DataFrame) -> DataFrame:
     return flagged.subtract(planted)
+
+
+# --- tracking accuracy ----------------------------------------------------------------------
+
+FRAMES_PER_SLICE = 100_000
+_MATCH = ("source_id", "frame_index", "object_id", "track_id", "iou")
+
+
+def overlaps(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """Pairs of true and predicted boxes of a frame that meet at all."""
+    t = truth.select("source_id", "frame_index", "object_id", F.col("box").alias("_tb"))
+    p = pred.select("source_id", "frame_index", "track_id", F.col("box").alias("_pb"))
+    met = t.join(p, ["source_id", "frame_index"]).withColumn("iou", iou(F.col("_tb"), F.col("_pb")))
+    return met.where(F.col("iou") > 0).drop("_tb", "_pb")
+
+
+def _contested_stretch(threshold: float):
+    """One stretch of contested frames in order: the pairing of the frame before has priority."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, latest = [], {}
+        for frame, rows in pdf.sort_values(["frame_index", "object_id", "track_id"]).groupby("frame_index", sort=True):
+            weights = {(o, t): w for o, t, w in zip(rows.object_id, rows.track_id, rows.iou)}
+            for o, at, t in zip(rows.object_id, rows.forced_frame, rows.forced_track):
+                if at >= 0 and at > latest.get(o, (-1, None))[0]:
+                    latest[o] = (at, t)
+            used_o, used_t, pairs = set(), set(), []
+            for o in sorted({o for o, _ in weights}):
+                t = latest.get(o, (-1, None))[1]
+                if t is not None and t not in used_t and weights.get((o, t), 0.0) >= threshold:
+                    pairs.append((o, t))
+                    used_o.add(o)
+                    used_t.add(t)
+            free = [(o, t, w) for (o, t), w in weights.items() if o not in used_o and t not in used_t]
+            pairs += [(o, t) for o, t in best_matching(free).items() if weights[o, t] >= threshold]
+            for o, t in pairs:
+                latest[o] = (frame, t)
+                out.append((pdf.source_id.iloc[0], frame, o, t, weights[o, t]))
+        return pd.DataFrame(out, columns=list(_MATCH))
+
+    return run
+
+
+def match_truth(truth: DataFrame, pred: DataFrame, iou_threshold: float = 0.5) -> DataFrame:
+    """One-to-one pairs per frame: a pairing that held last time is kept, the rest is the best overall.
+
+    Where an object meets one prediction and that prediction meets nothing else, the pair is settled
+    without looking anywhere else; that is nearly every frame. Contested frames are walked in order,
+    but only in stretches tied together by an object contested twice in a row.
+    """
+    pairs = overlaps(truth, pred)
+    frame = ["source_id", "frame_index"]
+    by_object, by_track = Window.partitionBy(*frame, "object_id"), Window.partitionBy(*frame, "track_id")
+    one = F.count(F.lit(1))
+    pairs = pairs.withColumn("_free", (one.over(by_object) == 1) & (one.over(by_track) == 1))
+    pairs = settle(pairs)
+    forced = pairs.where(F.col("_free") & (F.col("iou") >= iou_threshold)).select(*_MATCH)
+    contested = pairs.where(~F.col("_free")).drop("_free")
+    if contested.isEmpty():
+        return forced
+    seen = forced.select("source_id", "object_id", "frame_index", F.col("track_id").alias("_ft"), F.lit(False).alias("_c"))
+    doubt = contested.select("source_id", "object_id", "frame_index", F.lit(None).cast(forced.schema["track_id"].dataType).alias("_ft"), F.lit(True).alias("_c")).distinct()
+    known = F.col("_ft").isNotNull()
+    line = carry(
+        seen.unionByName(doubt), ["source_id", "object_id"], ["frame_index"],
+        befores={"forced_frame": F.when(known, F.col("frame_index")), "forced_track": F.col("_ft"), "_doubt": F.when(F.col("_c"), F.col("frame_index"))},
+        width=FRAMES_PER_SLICE,
+    ).drop(SLICE)
+    line = settle(line.where("_c").drop("_ft", "_c"))
+    # An object last in doubt ties that frame to this one; stretches are where no tie crosses.
+    back = F.when(F.coalesce(F.col("_doubt") > F.coalesce("forced_frame", F.lit(-1)), F.lit(False)), F.col("_doubt"))
+    ties = line.withColumn("_from", back)
+    ends = ties.where(F.col("_from").isNotNull()).groupBy("source_id", F.col("_from").alias("frame_index")).agg(F.max("frame_index").alias("_end"))
+    frames = line.select(*frame).distinct().join(ends, frame, "left")
+    frames = carry(frames, ["source_id"], ["frame_index"], tops={"_reach": F.col("_end")}, width=FRAMES_PER_SLICE)
+    cut = F.col("_reach").isNull() | (F.col("_reach") < F.col("frame_index"))
+    frames = carry(frames, ["source_id"], ["frame_index"], lasts={"_stretch": F.when(cut, F.col("frame_index"))}, width=FRAMES_PER_SLICE)
+    rows = contested.join(frames.select(*frame, "_stretch"), frame).join(line.select(*frame, "object_id", "forced_frame", "forced_track"), [*frame, "object_id"])
+    rows = rows.withColumn("forced_frame", F.coalesce("forced_frame", F.lit(-1)))
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in _MATCH)
+    walked = rows.groupBy("source_id", "_stretch").applyInPandas(_contested_stretch(iou_threshold), schema)
+    return forced.unionByName(walked)
+
+
+def track_history(truth: DataFrame, matches: DataFrame) -> DataFrame:
+    """True boxes with the track each was matched to, and whether that is a switch or a resumption."""
+    on = ["source_id", "frame_index", "object_id"]
+    rows = truth.select(*on).join(matches, on, "left")
+    hit = F.col("track_id").isNotNull()
+    out = carry(
+        rows, ["source_id", "object_id"], ["frame_index"],
+        befores={"_last": F.col("track_id"), "_was": hit}, width=FRAMES_PER_SLICE,
+    ).drop(SLICE)
+    return out.select(
+        *on, "track_id", "iou",
+        (hit & F.col("_last").isNotNull() & (F.col("_last") != F.col("track_id"))).alias("switch"),
+        (hit & F.col("_last").isNotNull() & ~F.col("_was")).alias("resumed"),
+    )
+
+
+def clear_mot(truth: DataFrame, pred: DataFrame, iou_threshold: float = 0.5, matches: DataFrame | None = None) -> DataFrame:
+    """Raw tracking counts per source: every ratio can be taken from them, or from their sums."""
+    found = settle(match_truth(truth, pred, iou_threshold)) if matches is None else matches
+    rows = settle(track_history(truth, found))
+    hit = F.col("track_id").isNotNull()
+    total = rows.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("ground_truth"), F.count_if(hit).alias("true_positives"), F.coalesce(F.sum("iou"), F.lit(0.0)).alias("total_iou"),
+        F.count_if("switch").alias("id_switches"), F.count_if("resumed").alias("fragmentations"),
+    )
+    life = rows.groupBy("source_id", "object_id").agg((F.count_if(hit) / F.count(F.lit(1))).alias("_share"))
+    life = life.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("gt_objects"), F.count_if(F.col("_share") >= 0.8).alias("mostly_tracked"), F.count_if(F.col("_share") < 0.2).alias("mostly_lost")
+    )
+    said = pred.groupBy("source_id").agg(F.count(F.lit(1)).alias("predictions"))
+    out = total.join(life, "source_id").join(said, "source_id", "left").withColumn("predictions", F.coalesce("predictions", F.lit(0).cast("long")))
+    return out.withColumns(
+        {"false_positives": F.col("predictions") - F.col("true_positives"), "false_negatives": F.col("ground_truth") - F.col("true_positives")}
+    )
+
+
+def idf1(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
+    """Identity counts per source under the best one-to-one pairing of whole trajectories.
+
+    Frames are counted per (object, track) first; only those counts of one source meet in a task.
+    """
+    shared = matches.groupBy("source_id", "object_id", "track_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = list(zip(pdf.object_id, pdf.track_id, pdf.n.astype(float)))
+        weight = {(o, t): w for o, t, w in edges}
+        total = sum(weight[o, t] for o, t in best_matching(edges).items())
+        return pd.DataFrame({"source_id": [pdf.source_id.iloc[0]], "idtp": [int(total)]})
+
+    idtp = shared.groupBy("source_id").applyInPandas(run, "source_id string, idtp long")
+    t = truth.groupBy("source_id").agg(F.count(F.lit(1)).alias("_t"))
+    p = pred.groupBy("source_id").agg(F.count(F.lit(1)).alias("_p"))
+    zero = F.lit(0).cast("long")
+    out = t.join(p, "source_id", "left").join(idtp, "source_id", "left")
+    out = out.withColumns({"idtp": F.coalesce("idtp", zero), "_p": F.coalesce("_p", zero)})
+    return out.select("source_id", "idtp", (F.col("_p") - F.col("idtp")).alias("idfp"), (F.col("_t") - F.col("idtp")).alias("idfn"))
+
+
+_COUNTS = (
+    "ground_truth", "true_positives", "false_positives", "false_negatives", "total_iou", "id_switches", "fragmentations", "gt_objects",
+    "mostly_tracked", "mostly_lost", "idtp", "idfp", "idfn",
+)
+
+
+def pool(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Ratios from summed raw counts, so a short sequence weighs as little as it should."""
+    s = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _COUNTS if c in counts.columns])
+
+    def ratio(a: Column, b: Column) -> Column:
+        return F.when(b > 0, a / b).otherwise(0.0)
+
+    c = F.col
+    wrong = c("false_negatives") + c("false_positives") + c("id_switches")
+    return s.withColumns(
+        {
+            "mota": F.when(c("ground_truth") > 0, 1.0 - wrong / c("ground_truth")).otherwise(0.0),
+            "motp": ratio(c("total_iou"), c("true_positives")),
+            "idf1": ratio(2 * c("idtp"), 2 * c("idtp") + c("idfp") + c("idfn")),
+            "recall": ratio(c("true_positives"), c("ground_truth")),
+            "precision": ratio(c("true_positives"), c("true_positives") + c("false_positives")),
+        }
+    )
+
+
+def objective(pooled: DataFrame) -> DataFrame:
+    """One number to rank trackers by: identity first, then coverage, then fit, less a little per switch."""
+    per = F.col("id_switches") / F.greatest(F.col("gt_objects"), F.lit(1))
+    return pooled.withColumn("objective", 0.60 * F.col("idf1") + 0.30 * F.col("mota") + 0.10 * F.col("motp") - 0.02 * per)
+
+
+def worst_case_objective(counts: DataFrame, candidate: str = "candidate", scenario: str = "scenario") -> DataFrame:
+    """Per candidate three quarters of the pooled objective and one quarter of its worst scenario."""
+    pooled = objective(pool(counts, [candidate])).select(candidate, F.col("objective").alias("_all"))
+    worst = objective(pool(counts, [candidate, scenario])).groupBy(candidate).agg(F.min("objective").alias("worst"))
+    return pooled.join(worst, candidate).select(candidate, F.col("_all").alias("pooled"), "worst", (0.75 * F.col("_all") + 0.25 * F.col("worst")).alias("objective"))
+
+
+MIN_IMPROVEMENT = 0.001
+
+
+def accepted(ranked: DataFrame, baseline: str, candidate: str = "candidate") -> DataFrame:
+    """Candidates that beat the baseline by more than noise."""
+    base = ranked.where(F.col(candidate) == baseline).select(F.col("objective").alias("_base"), F.lit(1).alias("_one"))
+    joined = ranked.withColumn("_one", F.lit(1)).join(base, "_one")
+    return joined.where(F.col("objective") > F.col("_base") + MIN_IMPROVEMENT).drop("_base", "_one")
+
+
+# --- activities and relations against scripts -----------------------------------------------
+
+
+def activity_scores(active: DataFrame, expected: DataFrame, moments: DataFrame, forbidden: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Per scenario: recall on scored frames, moments found once and how late, forbidden firings.
+
+    ``active`` has (scenario, step, t_s, activity), ``expected`` (scenario, step, activity), ``moments``
+    (scenario, activity, boundary_s), ``forbidden`` (scenario, activity), ``scenarios`` (scenario).
+    """
+    now = active.select("scenario", "step", "t_s", "activity").distinct()
+    hits = expected.join(now.select("scenario", "step", "activity", F.lit(1).alias("_hit")), ["scenario", "step", "activity"], "left")
+    recall = hits.groupBy("scenario").agg(F.count(F.lit(1)).alias("expected_total"), F.count("_hit").alias("expected_hits"))
+    fired = now.join(moments, ["scenario", "activity"])
+    fired = carry(fired, ["scenario", "activity"], ["step"], befores={"_before": F.col("step")}, width=FRAMES_PER_SLICE).drop(SLICE)
+    starts = fired.where(~F.col("_before").eqNullSafe(F.col("step") - 1))
+    starts = starts.groupBy("scenario", "activity").agg(F.count(F.lit(1)).alias("_n"), F.min("t_s").alias("_t"))
+    events = moments.join(starts, ["scenario", "activity"], "left")
+    events = events.groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("events_expected"), F.count("_n").alias("events_found"),
+        F.coalesce(F.sum(F.greatest(F.col("_n") - 1, F.lit(0))), F.lit(0)).alias("event_duplicates"),
+        F.max(F.greatest(F.col("_t") - F.col("boundary_s"), F.lit(0.0))).alias("latency_s"),
+    )
+    banned = now.join(forbidden, ["scenario", "activity"]).groupBy("scenario").agg(F.count(F.lit(1)).alias("forbidden_firings"))
+    out = scenarios.select("scenario")
+    for part in (recall, events, banned):
+        out = out.join(part, "scenario", "left")
+    zero = F.lit(0).cast("long")
+    out = out.withColumns({c: F.coalesce(c, zero) for c in ("expected_total", "expected_hits", "events_expected", "events_found", "event_duplicates", "forbidden_firings")})
+    out = out.withColumn("recall", F.when(F.col("expected_total") > 0, F.col("expected_hits") / F.col("expected_total")).otherwise(1.0))
+    ok = (F.col("recall") >= 0.9) & (F.col("forbidden_firings") == 0) & (F.col("events_found") == F.col("events_expected")) & (F.col("event_duplicates") == 0)
+    return out.withColumn("passed", ok)
+
+
+def spatial_scores(
+    edges: DataFrame, crossings: DataFrame, expected: DataFrame, forbidden: DataFrame, zone_events: DataFrame, scenarios: DataFrame
+) -> DataFrame:
+    """Per scenario: expected relations found, forbidden ones after the grace, zone events found, peak confidence.
+
+    ``edges`` has (scenario, t_s, relation, a, b, confidence) with symmetric ends in order; ``expected`` and
+    ``forbidden`` (scenario, relation, a, b); ``zone_events`` and ``crossings`` (scenario, track_id, zone, event);
+    ``scenarios`` (scenario, grace_s).
+    """
+    key = ["scenario", "relation", "a", "b"]
+    seen = edges.groupBy(*key).agg(F.max("confidence").alias("_peak"))
+    want = expected.join(seen, key, "left").groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("relations_expected"), F.count("_peak").alias("relations_found"), F.max("_peak").alias("peak_confidence")
+    )
+    late = edges.join(scenarios, "scenario").where(F.col("t_s") >= F.col("grace_s"))
+    banned = late.join(forbidden, key, "left_semi").groupBy("scenario").agg(F.count(F.lit(1)).alias("forbidden_firings"))
+    spot = ["scenario", "track_id", "zone", "event"]
+    crossed = zone_events.join(crossings.select(*spot).distinct().withColumn("_hit", F.lit(1)), spot, "left")
+    crossed = crossed.groupBy("scenario").agg(F.count(F.lit(1)).alias("zone_events_expected"), F.count("_hit").alias("zone_events_found"))
+    out = scenarios.select("scenario")
+    for part in (want, banned, crossed):
+        out = out.join(part, "scenario", "left")
+    zero = F.lit(0).cast("long")
+    names = ("relations_expected", "relations_found", "forbidden_firings", "zone_events_expected", "zone_events_found")
+    out = out.withColumns({c: F.coalesce(c, zero) for c in names})
+    ok = (F.col("relations_found") == F.col("relations_expected")) & (F.col("forbidden_firings") == 0) & (F.col("zone_events_found") == F.col("zone_events_expected"))
+    return out.withColumn("passed", ok)
