@@ -98,11 +98,14 @@ def _against_blocks(probes: DataFrame, gallery: DataFrame, key: str, vector: str
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({key: left[key].iloc[:0], "best": [], "best_score": [], "second": [], "second_score": []})
+            none = pd.Series([], dtype=object)
+            return pd.DataFrame({key: left[key].iloc[:0], "best": none, "best_score": np.empty(0), "second": none, "second_score": np.empty(0)})
         right = right.sort_values("name", kind="stable")
         names, templates = np.array(list(right["name"]), dtype=object), _stack(right["template"])
         chunks = [_top_two(_stack(left[vector].iloc[at : at + 8_192]), names, templates) for at in range(0, len(left), 8_192)]
-        return pd.DataFrame({key: left[key].to_numpy(), **{c: np.concatenate([part[c] for part in chunks]) for c in chunks[0]}})
+        top = {c: np.concatenate([part[c] for part in chunks]) for c in chunks[0]}
+        text = {c: pd.Series(top[c], dtype=object) for c in ("best", "second")}
+        return pd.DataFrame({key: left[key].to_numpy(), **top, **text})
 
     per = p.groupBy("_b", "_s").cogroup(g.groupBy("_b", "_s")).applyInPandas(run, f"{key} {kind}, {_TOP}")
     rank = lambda name, score: F.struct((-F.col(score)).alias("s"), F.col(name).alias("n"))
