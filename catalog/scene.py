@@ -456,3 +456,17 @@ Q["highest_severity"] = (
     lambda spark, d: ru.highest_severity(v.alerts(spark, d), ["camera_id", "zone"]),
     v.sql("SELECT camera_id, zone, CASE max(CASE severity WHEN 'alert' THEN 2 WHEN 'notice' THEN 1 ELSE 0 END) WHEN 2 THEN 'alert' WHEN 1 THEN 'notice' ELSE 'info' END AS severity FROM alerts GROUP BY camera_id, zone", "alerts"),
 )
+
+
+def retired(spark, d):
+    """Entities remembered from the first steps that are gone by step 40."""
+    t = v.tracks(spark, d)
+    return ru.retired_keys(t.where("step < 10").select("source_id", "entity_id").distinct(), t.where("step = 40")).select("source_id", "entity_id")
+
+
+Q["retired_keys"] = (
+    retired,
+    v.sql(
+        """SELECT DISTINCT source_id, entity_id FROM tr WHERE step < 10 AND entity_id NOT IN (SELECT entity_id FROM tr WHERE step = 40)""", "tr",
+    ),
+)

@@ -302,3 +302,8 @@ def evaluate_rules(rules: Sequence[RuleSpec] = DEFAULT_RULES, *, width: int = SL
 def rule_stats(debounced: DataFrame, by: Sequence[str] = ("rule",)) -> DataFrame:
     """Raised and suppressed per rule."""
     return debounced.groupBy(*by).agg(F.count_if("fired").alias("raised"), F.count_if(~F.col("fired")).alias("suppressed"))
+
+
+def retired_keys(memory: DataFrame, live: DataFrame, on: Sequence[str] = ("source_id", "entity_id")) -> DataFrame:
+    """Remembered keys whose entity is no longer live; scene-level keys (no entity) stay."""
+    return memory.where(F.col("entity_id").isNotNull()).join(live.select(*on), list(on), "left_anti")
