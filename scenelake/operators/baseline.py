@@ -23,10 +23,15 @@ from scenelake.operators.series import empty
 
 def array_median(values: Column) -> Column:
     """Median of an array; 0 when it is empty. Used on slots, whose size the bucket ceiling bounds."""
-    ordered, n = F.array_sort(values), F.size(values)
-    lower = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    upper = F.try_element_at(ordered, F.floor(n / 2).cast("int") + 1)
-    return F.when(n > 0, (lower + upper) / 2).otherwise(0.0)
+
+    def middle(ordered: Column) -> Column:
+        n = F.size(ordered)
+        lower = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
+        upper = F.try_element_at(ordered, F.floor(n / 2).cast("int") + 1)
+        return F.when(n > 0, (lower + upper) / 2).otherwise(0.0)
+
+    # Wrapped in a one-element array so that the sorted copy is made once.
+    return F.element_at(F.transform(F.array(F.array_sort(values)), middle), 1)
 
 
 def slot_values(series: DataFrame, keys: Sequence[str], period_hours: int, include_empty: bool) -> DataFrame:
@@ -52,7 +57,8 @@ def _pooled(slots: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.collect_list(carried).alias("_slots"),
     )
     each = F.greatest(F.lit(1), F.floor(F.size("_all") / F.greatest(F.col("_n"), F.lit(1))))
-    pooled = array_median(F.col("_all")) * MAD_TO_SIGMA * small_sample_correction(each)
+    per = per.withColumns({"_each": each, "_mid": array_median(F.col("_all"))})
+    pooled = F.col("_mid") * MAD_TO_SIGMA * small_sample_correction(F.col("_each"))
     return per.withColumn("dispersion", F.when(F.size("_all") > 0, pooled).otherwise(0.0)).select(
         *keys, "dispersion", F.inline("_slots")
     )

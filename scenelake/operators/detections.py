@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scenelake.functions.boxes import box_area, box_center_x, box_center_y, box_height, box_width, clipped, iou
 from scenelake.operators.presence import ISLAND
 from scenelake.plans.segments import SLICE, SLICE_US, drop_halo, local, with_halo
+from scenelake.plans.suppression import suppress_in_rounds
 
 FRAME = ("source_id", "frame_index")
 MAX_DETECTIONS = 100
@@ -103,7 +104,9 @@ def _copies_collapsed(dets: DataFrame, group: Sequence[str]) -> DataFrame:
     """Of boxes alike to the last digit only the best can be kept; found with a partial aggregate."""
     rest = [c for c in dets.columns if c not in (*group, "box")]
     best = F.max_by(F.struct(*rest), F.struct("confidence", -F.col("det_id")))
-    alike = dets.groupBy(*group, F.col("box")).agg(best.alias("_r"))
+    # Boxes without area overlap nothing, copies included, so they stay apart.
+    apart = F.when(box_area(F.col("box")) > 0, F.lit(0).cast("long")).otherwise(F.col("det_id"))
+    alike = dets.groupBy(*group, "box", apart.alias("_apart")).agg(best.alias("_r"))
     return alike.select(*group, "box", "_r.*").select(dets.columns)
 
 
@@ -124,15 +127,15 @@ def nms(
     if not 0.0 <= iou_threshold <= 1.0:
         raise ValueError("iou_threshold must be in [0, 1]")
     group = [*FRAME, *(["label"] if class_aware else [])]
-    rows = _copies_collapsed(dets, group) if iou_threshold < 1.0 else dets
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = dets.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.where(F.col("_n") > walk_limit).select(*group)
     if large.isEmpty():
-        return top_per_frame(_walked(rows, group, iou_threshold), max_detections)
-    from scenelake.plans.suppression import suppress_in_rounds
-
-    small = _walked(rows.join(large, group, "left_anti"), group, iou_threshold)
-    crowded = suppress_in_rounds(rows.join(large, group, "left_semi"), group, iou_threshold)
+        return top_per_frame(_walked(dets, group, iou_threshold), max_detections)
+    small = _walked(dets.join(large, group, "left_anti"), group, iou_threshold)
+    crowded = dets.join(large, group, "left_semi")
+    if iou_threshold < 1.0:
+        crowded = _copies_collapsed(crowded, group)
+    crowded = suppress_in_rounds(crowded, group, iou_threshold)
     return top_per_frame(small.unionByName(crowded.select(small.columns)), max_detections)
 
 

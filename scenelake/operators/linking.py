@@ -111,12 +111,17 @@ def _shifted(b: Column, dx: Column, dy: Column) -> Column:
 
 
 def _tracklets(rows: DataFrame, s: LinkSettings) -> DataFrame:
-    """First box, last box and closing velocity of every chain, velocity from its last few steps only."""
+    """First box, last box and closing velocity of every chain, velocity from its last few steps only.
+
+    A weak box can only carry a track on, so a chain counts from its first strong one.
+    """
     chain = ["source_id", "head_step", "head_det_id"]
+    since = F.when(F.col("confidence") >= s.high, F.col("t_us"))
     summary = rows.groupBy(*chain, "label").agg(
-        F.count(F.lit(1)).alias("hits"), F.max("confidence").alias("best"), F.min("t_us").alias("first_t"), F.max("t_us").alias("last_t"),
-        F.min_by("box", "t_us").alias("first_box"), F.min_by("confidence", "t_us").alias("first_conf"), F.max_by("box", "t_us").alias("last_box"),
+        F.count(F.lit(1)).alias("hits"), F.max("confidence").alias("best"), F.min(since).alias("first_t"), F.max("t_us").alias("last_t"),
+        F.min_by("box", since).alias("first_box"), F.max_by("box", "t_us").alias("last_box"),
     )
+    summary = summary.where(F.col("first_t").isNotNull())
     rank = F.row_number().over(Window.partitionBy(*chain).orderBy(F.desc("t_us")))
     tail = rows.withColumn("_k", rank).where(F.col("_k") <= s.tail_steps)
     cx, cy = box_center_x(F.col("box")), box_center_y(F.col("box"))
@@ -137,7 +142,7 @@ def _stitches(tracklets: DataFrame, s: LinkSettings) -> DataFrame:
         "source_id", "label", F.col("head_step").alias("prev_step"), F.col("head_det_id").alias("prev_det_id"), "last_t", "last_box", "vx", "vy",
         F.explode(F.array(beat("last_t"), beat("last_t") + 1)).alias("_beat"),
     )
-    heads = tracklets.where(F.col("first_conf") >= s.high).select(
+    heads = tracklets.select(
         "source_id", "label", F.col("head_step").alias("step"), F.col("head_det_id").alias("det_id"), "first_t", "first_box", beat("first_t").alias("_beat")
     )
     met = heads.join(tails, ["source_id", "label", "_beat"])
@@ -168,7 +173,9 @@ def link_tracks(dets: DataFrame, settings: LinkSettings = LinkSettings()) -> Dat
     roots = roots.select(
         "source_id", F.col("step").alias("head_step"), F.col("det_id").alias("head_det_id"), F.col("head_step").alias("root_step"), F.col("head_det_id").alias("root_det_id")
     )
-    return confirm_and_label(chained.join(roots, ["source_id", "head_step", "head_det_id"]).drop("head_step", "head_det_id"), s)
+    chain = ["source_id", "head_step", "head_det_id"]
+    rows = chained.join(tracklets.select(*chain, "first_t"), chain).where(F.col("t_us") >= F.col("first_t")).drop("first_t")
+    return confirm_and_label(rows.join(roots, chain).drop("head_step", "head_det_id"), s)
 
 
 def confirm_and_label(rows: DataFrame, settings: LinkSettings = LinkSettings()) -> DataFrame:

@@ -45,6 +45,7 @@ def false_positives(flagged: DataFrame, planted: DataFrame) -> DataFrame:
 # --- tracking accuracy ----------------------------------------------------------------------
 
 FRAMES_PER_SLICE = 100_000
+STRETCH_FRAMES = 2_000
 _MATCH = ("source_id", "frame_index", "object_id", "track_id", "iou")
 
 
@@ -121,7 +122,9 @@ def match_truth(truth: DataFrame, pred: DataFrame, iou_threshold: float = 0.5) -
     rows = rows.withColumn("forced_frame", F.coalesce("forced_frame", F.lit(-1)))
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in _MATCH)
-    walked = rows.groupBy("source_id", "_stretch").applyInPandas(_contested_stretch(iou_threshold), schema)
+    # Neighbouring short stretches share a task call; each keeps its own memory by what its rows carry.
+    batch = F.floor(F.col("_stretch") / STRETCH_FRAMES).alias("_batch")
+    walked = rows.groupBy("source_id", batch).applyInPandas(_contested_stretch(iou_threshold), schema)
     return forced.unionByName(walked)
 
 

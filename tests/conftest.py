@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from scenelake.session import local_session
 
-    session = local_session("scenelake-tests", cores=8, partitions=8)
+    session = local_session("scenelake-tests", cores=8, partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

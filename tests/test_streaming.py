@@ -55,10 +55,7 @@ def rows(df, *cols):
 
 @pytest.fixture(scope="module")
 def tracks(spark):
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
-    t = views.tracks(spark, SF).where("track_id < 12").withColumn("timestamp", at("t_us")).persist()
-    yield t
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    return views.tracks(spark, SF).where("track_id < 12").withColumn("timestamp", at("t_us")).persist()
 
 
 def test_motion(tracks):
