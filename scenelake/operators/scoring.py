@@ -167,9 +167,13 @@ def clear_mot(truth: DataFrame, pred: DataFrame, iou_threshold: float = 0.5, mat
 def idf1(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
     """Identity counts per source under the best one-to-one pairing of whole trajectories.
 
-    Frames are counted per (object, track) first; only those counts of one source meet in a task.
+    Frames are counted per (object, track) first. A pair whose two sides meet nobody else is settled
+    by the count alone; only the other counts of a source meet in a task.
     """
     shared = matches.groupBy("source_id", "object_id", "track_id").agg(F.count(F.lit(1)).alias("n"))
+    one = F.count(F.lit(1))
+    alone = (one.over(Window.partitionBy("source_id", "object_id")) == 1) & (one.over(Window.partitionBy("source_id", "track_id")) == 1)
+    shared = settle(shared.withColumn("_alone", alone))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         edges = list(zip(pdf.object_id, pdf.track_id, pdf.n.astype(float)))
@@ -177,7 +181,9 @@ def idf1(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
         total = sum(weight[o, t] for o, t in best_matching(edges).items())
         return pd.DataFrame({"source_id": [pdf.source_id.iloc[0]], "idtp": [int(total)]})
 
-    idtp = shared.groupBy("source_id").applyInPandas(run, "source_id string, idtp long")
+    sure = shared.where("_alone").groupBy("source_id").agg(F.sum("n").alias("idtp"))
+    open_ = shared.where("not _alone").groupBy("source_id").applyInPandas(run, "source_id string, idtp long")
+    idtp = sure.unionByName(open_).groupBy("source_id").agg(F.sum("idtp").alias("idtp"))
     t = truth.groupBy("source_id").agg(F.count(F.lit(1)).alias("_t"))
     p = pred.groupBy("source_id").agg(F.count(F.lit(1)).alias("_p"))
     zero = F.lit(0).cast("long")

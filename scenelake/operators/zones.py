@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scenelake.functions.boxes import box_bottom_center, grid_cells, point_in_fixed_polygon, point_in_polygon
 from scenelake.functions.clock import us
 from scenelake.operators.presence import ISLAND
+from scenelake.plans.bounds import broadcast_if_small
 from scenelake.plans.segments import SLICE, SLICE_US, carry, drop_halo, local, with_halo
 from scenelake.session import settle
 
@@ -70,7 +71,7 @@ def zone_join(tracks: DataFrame, zones: Sequence[Zone] | DataFrame, frame_width:
         if not hits:
             raise ValueError("no zones given")
         return tracks.select("*", F.inline(F.array_compact(F.array(*hits))))
-    table = zones if isinstance(zones, DataFrame) else zone_table(tracks.sparkSession, zones)
+    table = broadcast_if_small(zones if isinstance(zones, DataFrame) else zone_table(tracks.sparkSession, zones))
     cell = (F.least(F.floor(y * GRID), F.lit(GRID - 1)) * GRID + F.least(F.floor(x * GRID), F.lit(GRID - 1))).cast("int")
     on = ["cell", *[c for c in ("source_id",) if c in table.columns]]
     near = tracks.withColumn("cell", cell).join(table, on)

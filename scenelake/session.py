@@ -40,12 +40,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_SCRATCH[app]
 
 
+def _settled_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/settled/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's settled tables; frames built on them can no longer be read."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     For results that later steps read several times: lineage is cut at a table
     that outlives any executor, and nothing upstream runs twice.
     """
-    path = f"{shared_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    path = f"{_settled_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
