@@ -14,6 +14,7 @@ from scenelake.plans.analysis import AnalysisSettings, analyse
 
 LO, MID, HI = v.START, v.WINDOW, v.END
 HISTORY = AnalysisSettings(period_hours=24, training_span_s=float(MID - LO))
+GRID = s.Grid(float(LO), 3600.0, 0, (HI - LO) // 3600 - 1)
 Q: dict[str, tuple] = {}
 
 
@@ -172,7 +173,7 @@ Q["mark_observed_zeros"] = (
 
 
 def alive(spark, d):
-    ser = s.mark_alive(_sparse_series(spark, d), v.beats(spark, d), ["camera_id"])
+    ser = s.mark_alive(_sparse_series(spark, d), v.beats(spark, d), GRID, ["camera_id"])
     return start(ser).select("camera_id", "bucket", "value", "samples", "known_zero")
 
 
@@ -186,7 +187,7 @@ Q["mark_alive"] = (
 
 
 def gaps(spark, d):
-    ser = s.mark_alive(_sparse_series(spark, d), v.beats(spark, d), ["camera_id"])
+    ser = s.mark_alive(_sparse_series(spark, d), v.beats(spark, d), GRID, ["camera_id"])
     return s.gap_report(s.mark_observed_zeros(ser, ["camera_id"]), ["camera_id"])
 
 

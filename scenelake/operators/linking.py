@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from scenelake.functions.boxes import box, box_center_x, box_center_y, iou
 from scenelake.functions.clock import us
 from scenelake.operators.presence import step_ordinal
+from scenelake.plans.segments import SLICE, SLICE_US, drop_halo, local, with_halo
 from scenelake.session import settle
 
 NODE = ("source_id", "step", "det_id")
@@ -199,11 +200,14 @@ def coast(tracks: DataFrame, frames: DataFrame, settings: LinkSettings = LinkSet
     lost = us(s.max_lost_s)
     key = ["source_id", "track_id"]
     cx, cy = box_center_x(F.col("box")), box_center_y(F.col("box"))
-    order = Window.partitionBy(*key, F.floor(F.col("t_us") / F.lit(max(lost, 1) * 64))).orderBy("t_us")
-    tail = order.rowsBetween(-(s.tail_steps - 1), 0)
+    # The boxes behind a pace are at most so many losses apart, which is the halo a slice needs.
+    reach = s.tail_steps * max(lost, 1)
+    sliced = with_halo(tracks, "t_us", max(SLICE_US, reach), reach)
+    tail = local(key, "t_us").rowsBetween(-(s.tail_steps - 1), 0)
     span = (F.col("t_us") - F.first("t_us").over(tail)) / 1e6
     pace = lambda c: F.when(span > 0, (c - F.first(c).over(tail)) / span).otherwise(0.0)
-    seen = settle(tracks.withColumns({"_vx": pace(cx), "_vy": pace(cy), "time_since_update": F.lit(0).cast("long")}))
+    paced = drop_halo(sliced.withColumns({"_vx": pace(cx), "_vy": pace(cy), "time_since_update": F.lit(0).cast("long")}))
+    seen = settle(paced.drop(SLICE))
     beat = F.floor(F.col("t_us") / F.lit(max(lost, 1))).cast("long")
     carried = seen.withColumn("_beat", F.explode(F.array(beat, beat + 1))).withColumnRenamed("t_us", "_seen_t").withColumnRenamed("step", "_seen_step")
     clock = frames.select("source_id", "step", "t_us").withColumn("_beat", beat)

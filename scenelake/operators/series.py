@@ -220,24 +220,16 @@ def empty() -> Column:
     return (F.col("samples") == 0) & ~F.col("known_zero")
 
 
-def mark_alive(series: DataFrame, heartbeats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def mark_alive(series: DataFrame, heartbeats: DataFrame, grid: Grid, keys: Sequence[str] = ()) -> DataFrame:
     """An empty bucket with a heartbeat inside becomes a known zero.
 
-    Heartbeats are matched on ``camera_id`` when the series is kept per camera.
+    ``grid`` is the one the series was made on. Heartbeats are matched on ``camera_id`` when the
+    series is kept per camera; they shrink to one row per bucket before they meet the series.
     """
     on = [k for k in keys if k == "camera_id"]
-    bounds = series.agg(
-        F.min("bucket_start").alias("_lo"), F.max("bucket_start").alias("_hi"), F.first("width_s").alias("_w"), F.min("bucket").alias("_b0")
-    ).first()
-    if bounds["_w"] is None:
-        return series
-    width = us(bounds["_w"])
-    offset = F.unix_micros(F.col("timestamp").cast("timestamp")) - F.unix_micros(F.lit(bounds["_lo"]))
-    alive = (
-        heartbeats.withColumn("bucket", (F.floor(offset / F.lit(width)) + bounds["_b0"]).cast("long"))
-        .groupBy(*on, "bucket")
-        .agg(F.lit(True).alias("_alive"))
-    )
+    beats = heartbeats.where(grid.holds(F.col("timestamp")))
+    index = bucket_index(epoch_s(F.col("timestamp")), grid.origin_s, grid.width_s)
+    alive = beats.groupBy(*on, index.alias("bucket")).agg(F.lit(True).alias("_alive"))
     joined = series.join(alive, [*on, "bucket"], "left")
     marked = F.col("known_zero") | ((F.col("samples") == 0) & F.coalesce("_alive", F.lit(False)))
     return joined.withColumn("known_zero", marked).select(series.columns)

@@ -66,7 +66,7 @@ def analyse(
     if s.infer_zeros:
         if heartbeats is not None:
             beats = heartbeats if camera is None else heartbeats.where(F.col("camera_id") == camera)
-            halves = [mark_alive(series.where(F.col("part") == name), beats, keys) for name, _ in parts]
+            halves = [mark_alive(series.where(F.col("part") == name), beats, grid, keys) for name, grid in parts]
             series = halves[0] if len(halves) == 1 else halves[0].unionByName(halves[1])
         series = mark_observed_zeros(series, keys, s.zero_reach)
     learn_from = series if train_on_window else series.where(F.col("part") == "training")

@@ -82,11 +82,11 @@ def test_neighbours_tell_zero_from_unknown(spark, series, reach, want):
 
 
 def test_heartbeats_settle_what_neighbours_cannot(spark):
-    ser = bare(spark, [5, *[None] * 9, 5])
+    ser, grid = bare(spark, [5, *[None] * 9, 5]), s.Grid(float(T0), 3600.0, 0, 10)
     beats = spark.createDataFrame([("c", T0 + i * HOUR + 60) for i in range(11)], "camera_id string, at long").select("camera_id", F.timestamp_seconds("at").alias("timestamp"))
-    assert values(s.mark_alive(ser, beats, ["camera_id"]), "known_zero") == [False] + [True] * 9 + [False]
+    assert values(s.mark_alive(ser, beats, grid, ["camera_id"]), "known_zero") == [False] + [True] * 9 + [False]
     other = beats.withColumn("camera_id", F.lit("elsewhere"))
-    assert not any(values(s.mark_alive(ser, other, ["camera_id"]), "known_zero"))
+    assert not any(values(s.mark_alive(ser, other, grid, ["camera_id"]), "known_zero"))
 
 
 def test_one_spike_is_found_and_nothing_else(spark):
