@@ -1,5 +1,6 @@
 """The same rows through the batch operator and through a stream give the same result."""
 
+import time
 import uuid
 
 import pytest
@@ -133,10 +134,20 @@ def test_sink_writes_a_replayed_batch_once(spark):
     assert read_events(spark, f"{base}/store").count() == e.count()
 
 
-def test_liveness_reports_a_camera_once(spark):
-    b = views.beats(spark, SF)
-    got = drain(sw.stream_liveness(as_stream(b)))
-    assert sorted(r.camera_id for r in got.where("status = 'alive'").collect()) == ["cam0", "cam1", "cam2", "cam3"]
+def test_liveness_reports_each_camera_alive_then_dark(spark):
+    name = f"t{uuid.uuid4().hex}"
+    stream = sw.stream_liveness(as_stream(views.beats(spark, SF)), silence_ms=1_500)
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/ck/{name}").start()
+    try:
+        # A processing-time timeout never runs dry, so wait for what must come instead of for the end.
+        for _ in range(120):
+            seen = sorted((r.status, r.camera_id) for r in spark.table(name).collect())
+            if len([x for x in seen if x[0] == "dark"]) >= 4:
+                break
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert set(seen) == {(status, f"cam{i}") for status in ("alive", "dark") for i in range(4)}
 
 
 def test_live_linking_follows_separate_walkers_like_the_batch(spark):
