@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, mixing, quality, sharding
+from llm import chat, decontaminate, mixing, quality, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,18 @@ from p group by conv_id
 """
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return tokens.encode_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), F.array_min(F.transform("hits", lambda h: h["distance"])).alias("least_distance"), F.concat_ws(",", F.transform("hits", lambda h: h["item_id"].cast("string"))).alias("item_ids"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")).drop("_mix_key")
 
@@ -57,6 +69,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q = {
     "op3_chat": (op3_chat, OP3_SQL),
+    "op4_tokens": (op4_tokens, None),
+    "op5_decontaminate": (op5_decontaminate, None),
     "op8_mix": (op8_mix, mixing.MIX_SQL),
     "op9_shards": (op9_shards, None),
     "op10_quality": (op10_quality, None),
