@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, decontaminate, mixing, quality, sharding, tokens
+from llm import chat, decontaminate, jaccard, mixing, quality, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), F.array_min(F.transform("hits", lambda h: h["distance"])).alias("least_distance"), F.concat_ws(",", F.transform("hits", lambda h: h["item_id"].cast("string"))).alias("item_ids"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")).drop("_mix_key")
 
@@ -71,6 +75,7 @@ Q = {
     "op3_chat": (op3_chat, OP3_SQL),
     "op4_tokens": (op4_tokens, None),
     "op5_decontaminate": (op5_decontaminate, None),
+    "op7_jaccard": (op7_jaccard, None),
     "op8_mix": (op8_mix, mixing.MIX_SQL),
     "op9_shards": (op9_shards, None),
     "op10_quality": (op10_quality, None),
