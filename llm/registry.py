@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, decontaminate, jaccard, mixing, quality, sharding, tokens
+from llm import chat, decontaminate, dedup, jaccard, mixing, quality, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -72,6 +77,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 Q = {
+    "op1_repeats": (op1_repeats, None),
     "op3_chat": (op3_chat, OP3_SQL),
     "op4_tokens": (op4_tokens, None),
     "op5_decontaminate": (op5_decontaminate, None),
