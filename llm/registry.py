@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, decontaminate, dedup, jaccard, mixing, quality, sharding, tokens
+from llm import chat, decontaminate, dedup, jaccard, mixing, pii, quality, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), F.array_min(F.transform("hits", lambda h: h["distance"])).alias("least_distance"), F.concat_ws(",", F.transform("hits", lambda h: h["item_id"].cast("string"))).alias("item_ids"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    counts = [F.size(pii.of_kind(F.col("base"), kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -81,6 +87,7 @@ Q = {
     "op3_chat": (op3_chat, OP3_SQL),
     "op4_tokens": (op4_tokens, None),
     "op5_decontaminate": (op5_decontaminate, None),
+    "op6_pii": (op6_pii, None),
     "op7_jaccard": (op7_jaccard, None),
     "op8_mix": (op8_mix, mixing.MIX_SQL),
     "op9_shards": (op9_shards, None),
