@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, decontaminate, dedup, jaccard, mixing, pii, quality, sharding, tokens
+from llm import chat, decontaminate, dedup, hmm, jaccard, mixing, pii, quality, sharding, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op2_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -84,6 +88,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Q = {
     "op1_repeats": (op1_repeats, None),
+    "op2_score": (op2_score, None),
     "op3_chat": (op3_chat, OP3_SQL),
     "op4_tokens": (op4_tokens, None),
     "op5_decontaminate": (op5_decontaminate, None),
