@@ -208,15 +208,8 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(walk, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of ``docs``.
-
-    The set of a text is its distinct ``width``-word shingles, A-Z lower-cased (its whole word sequence
-    if shorter). Two rows link when ``100 * intersection >= percent * union``; component_id is the
-    smallest id reachable. Null texts and texts without words have no shingles and their own id. A null id
-    is a row like any other, but never the smallest; rows of one id are rows of their own. Equal texts
-    meet in one class and are not paired. Other columns are ignored; an empty table gives no rows.
-    """
+def _placed(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
+    """doc_id, print, n_shingles, component (a class, null without shingles) and component_id of every row."""
     if not 0 < percent <= 100 or width < 1:
         raise ValueError("percent must lie in 1..100 and width be at least 1")
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
@@ -254,7 +247,33 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     joined = classes.select("class", "id").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     named = joined.groupBy("component").agg(F.min("id").alias("component_id"))
-    of_class = joined.join(named, "component").select("class", "component_id")
-    return sets.select("doc_id", "class", F.col("n").alias("n_shingles")).join(of_class, "class", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    of_class = joined.join(named, "component").select("class", "component", "component_id")
+    return sets.select("doc_id", "print", "class", F.col("n").alias("n_shingles")).join(of_class, "class", "left").select(
+        "doc_id", "print", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of ``docs``.
+
+    The set of a text is its distinct ``width``-word shingles, A-Z lower-cased (its whole word sequence
+    if shorter). Two rows link when ``100 * intersection >= percent * union``; component_id is the
+    smallest id reachable. Null texts and texts without words have no shingles and their own id. A null id
+    is a row like any other, but never the smallest; rows of one id are rows of their own. Equal texts
+    meet in one class and are not paired. Other columns are ignored; an empty table gives no rows.
+    """
+    return _placed(docs, doc_id, text, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component of ``docs``, that of the smallest id (then of the least text hash), with its columns.
+
+    Rows without shingles all stay; nulls and repeated rows as in ``jaccard_components``.
+    """
+    placed = settle(_placed(docs, doc_id, text, width, percent))
+    best = placed.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("k")).select("k.doc_id", "k.print")
+    rows = docs.withColumn("_print", F.xxhash64(text))
+    stays = best.select(F.col("doc_id").alias("_i"), F.col("print").alias("_p"))
+    kept = rows.join(stays, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.col("_print") == F.col("_p")), "left_semi").dropDuplicates([doc_id, "_print"])
+    bare = rows.where(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.unionByName(bare).select(*docs.columns)
