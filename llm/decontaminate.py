@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from llm.rows import packed, unpacked
+
 MAX_ERROR = 0.05
 MIN_WORDS = 5
 BLOCK_CHARS = 2_000_000
@@ -101,33 +103,25 @@ class Matcher:
         return out
 
 
-def find_items(
-    docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_error: float = MAX_ERROR, min_words: int = MIN_WORDS, hits: str = "hits", block_chars: int = BLOCK_CHARS
+def _hits(
+    docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_error: float = MAX_ERROR, min_words: int = MIN_WORDS, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
-    """``docs`` with ``hits``: one struct (item_id, distance, start, end) per test item that the text holds.
-
-    Positions are code points of the normalised text, end exclusive. Items are compared in blocks of about
-    ``block_chars`` characters, each sent to the workers for one pass over the documents. Items of fewer
-    than ``min_words`` words are ordinary phrases and are not tested; null texts and null items match
-    nothing; equal items each get their own hit; an empty table of either kind gives empty hits.
-    """
-    if hits in docs.columns:
-        raise ValueError(f"docs already has a column {hits}")
+    """``row``, ``text`` and ``hits`` of every document."""
     known = items.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).where("text is not null")
     blocks = max(1, -(-(known.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
     id_type = known.schema["id"].dataType
     hit_type = T.ArrayType(T.StructType([T.StructField("item_id", id_type), *(T.StructField(c, T.LongType()) for c in ("distance", "start", "end"))]))
     known = known.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)))
-    out = docs.withColumn(hits, F.array().cast(hit_type))
+    out = packed(docs, text=F.col(text), hits=F.array().cast(hit_type))
     for block in range(blocks):
-        rows = sorted((normal(r["text"]), r["id"]) for r in known.where(F.col("block") == block).collect())
+        rows = sorted(((normal(r["text"]), r["id"]) for r in known.where(F.col("block") == block).collect()), key=lambda x: (x[0], str(x[1])))
         part = [(key, t, int(max_error * len(t))) for t, key in rows if len(t.split()) >= min_words]
 
         def scan(batches: Iterator[pa.RecordBatch], part: list[tuple] = part) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(part)
             for batch in batches:
-                at, old = batch.schema.get_field_index(hits), batch.column(hits)
-                found = [[dict(zip(("item_id", "distance", "start", "end"), h, strict=True)) for h in matcher.find(normal(t))] for t in batch.column(text).to_pylist()]
+                at, old = batch.schema.get_field_index("hits"), batch.column("hits")
+                found = [[dict(zip(("item_id", "distance", "start", "end"), h, strict=True)) for h in matcher.find(normal(t))] for t in batch.column("text").to_pylist()]
                 if any(found):
                     both = pa.array([(a or []) + b for a, b in zip(old.to_pylist(), found, strict=True)], old.type)
                     batch = batch.set_column(at, batch.schema.field(at), both)
@@ -137,7 +131,18 @@ def find_items(
     return out
 
 
+def find_items(docs: DataFrame, items: DataFrame, *, hits: str = "hits", **options) -> DataFrame:
+    """``docs`` with ``hits``: one struct (item_id, distance, start, end) per test item that the text holds.
+
+    Positions are code points of the normalised text, end exclusive. Items (``item_id``, ``item_text``) are compared in blocks of about
+    ``block_chars`` characters, each sent to the workers for one pass over the documents. Items of fewer
+    than ``min_words`` words are ordinary phrases and are not tested; null texts and null items match
+    nothing; equal items each get their own hit; an empty table of either kind gives empty hits; ``hits``
+    replaces a column of its name.
+    """
+    return unpacked(_hits(docs, items, **options), docs.columns, **{hits: F.col("hits")})
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with their columns; options as in ``find_items``."""
-    found = find_items(docs, items, hits="_hits", **options)
-    return found.where(F.size("_hits") == 0).drop("_hits")
+    return unpacked(_hits(docs, items, **options).where(F.size("hits") == 0), docs.columns)

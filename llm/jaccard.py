@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from llm.bytehash import mix, shingles
 from llm.graph import components
+from llm.rows import packed, unpacked
 from llm.streams import groups, runs
 from scenelake.session import settle
 
@@ -272,8 +273,7 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     placed = settle(_placed(docs, doc_id, text, width, percent))
     best = placed.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("k")).select("k.doc_id", "k.print")
-    rows = docs.withColumn("_print", F.xxhash64(text))
+    rows = packed(docs, id=F.col(doc_id), print=F.xxhash64(text), bare=~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     stays = best.select(F.col("doc_id").alias("_i"), F.col("print").alias("_p"))
-    kept = rows.join(stays, F.col(doc_id).eqNullSafe(F.col("_i")) & (F.col("_print") == F.col("_p")), "left_semi").dropDuplicates([doc_id, "_print"])
-    bare = rows.where(~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return kept.unionByName(bare).select(*docs.columns)
+    kept = rows.where("not bare").join(stays, F.col("id").eqNullSafe(F.col("_i")) & (F.col("print") == F.col("_p")), "left_semi").dropDuplicates(["id", "print"])
+    return unpacked(kept.unionByName(rows.where("bare")), docs.columns)

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from llm.rows import packed, unpacked
 from scenelake.session import settle
 
 
@@ -54,16 +55,19 @@ def mix_sources(
     sources with text; unnamed ones get 0). Without weights they are the source sizes to the power
     ``temper``. The count inverts the Poisson distribution at a number hashed from the seed and the
     document, so a rerun or a lost executor gives the same rows. Columns: those of ``docs`` plus
-    ``copy`` (0-based) and ``_mix_key``, by which rows are sorted over all partitions.
+    ``copy`` (0-based) and ``_mix_key``, by which rows are sorted over all partitions; these two replace
+    columns of their name.
 
     Null source: a source of its own. Null id: hashed as ``null``. Repeated rows are each replicated
     (alike). Sources without text have mean 0. An empty table gives no rows.
     """
     rates = source_rates(docs, weights, temper, epochs, source, text).select("_source", "cdf")
-    u = uniform(F.lit(seed), F.col(doc_id))
-    counted = docs.join(rates, F.col(source).eqNullSafe(F.col("_source"))).withColumn("_u", u).withColumn("_times", F.size(F.filter("cdf", lambda c: c <= F.col("_u"))))
-    copies = counted.drop("_source", "cdf", "_u").withColumn("copy", F.explode(F.when(F.col("_times") > 0, F.sequence(F.lit(0), F.col("_times") - 1)))).drop("_times")
-    return copies.withColumn("_mix_key", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), "copy"))).orderBy("_mix_key")
+    key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
+    rows = packed(docs, source=F.col(source), key=key, u=uniform(F.lit(seed), F.col(doc_id)))
+    counted = rows.join(rates, F.col("source").eqNullSafe(F.col("_source"))).withColumn("times", F.size(F.filter("cdf", lambda c: c <= F.col("u"))))
+    copies = counted.where("times > 0").select("row", "key", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
+    ordered = copies.withColumn("order", F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), "key", "copy"))).orderBy("order")
+    return unpacked(ordered, docs.columns, copy=F.col("copy"), _mix_key=F.col("order"))
 
 
 #: DuckDB's word for ``mix_sources(documents)`` at its defaults.

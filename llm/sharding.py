@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from llm.rows import packed, unpacked
+
 BINS = 1 << 14
 
 
@@ -61,20 +63,23 @@ def shard_rows(rows: DataFrame, key: list[str], shards: int = 16, *, virtual: in
     With slack 0 row counts differ by one at most; with slack e no shard is over (1 + e) times the mean
     and fewer rows leave the shard of their own arc.
 
-    Rows equal in all key columns are interchangeable, nulls hash as nulls, an empty table gives none.
+    Rows equal in all key columns are interchangeable, nulls hash as nulls, an empty table gives none;
+    ``shard`` and ``slot`` replace columns of their name.
     """
     if shards < 1 or virtual < 1 or slack < 0:
         raise ValueError("shards and virtual must be at least 1, slack at least 0")
     spark = rows.sparkSession
-    placed = rows.withColumn("_at", F.xxhash64(*key)).withColumn("_bin", F.shiftrightunsigned("_at", 64 - (BINS.bit_length() - 1)).cast("int"))
+    names = [f"key{i}" for i in range(len(key))]
+    placed = packed(rows, at=F.xxhash64(*key), **{n: F.col(k) for n, k in zip(names, key, strict=True)})
+    placed = placed.withColumn("bin", F.shiftrightunsigned("at", 64 - (BINS.bit_length() - 1)).cast("int"))
     load = np.zeros(BINS, np.int64)
-    for r in placed.groupBy("_bin").count().collect():
-        load[r["_bin"]] = r["count"]
+    for r in placed.groupBy("bin").count().collect():
+        load[r["bin"]] = r["count"]
     cuts, filled, out = plan_ring(load, shards, virtual, slack), [0] * shards, []
     for b, first, end, s in cuts:
         out.append((b, first, end, s, filled[s] - first))
         filled[s] += end - first
-    table = spark.createDataFrame(out or [(-1, 0, 0, 0, 0)], "_cut_bin int, _first long, _end long, shard int, _shift long")
-    ranked = placed.withColumn("_rank", F.row_number().over(Window.partitionBy("_bin").orderBy("_at", *key)).cast("long") - 1)
-    joined = ranked.join(F.broadcast(table), (F.col("_bin") == F.col("_cut_bin")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
-    return joined.withColumn("slot", F.col("_rank") + F.col("_shift")).drop("_at", "_bin", "_rank", "_cut_bin", "_first", "_end", "_shift")
+    table = spark.createDataFrame(out or [(-1, 0, 0, 0, 0)], "cut_bin int, first long, end long, shard int, shift long")
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bin").orderBy("at", *names)).cast("long") - 1)
+    joined = ranked.join(F.broadcast(table), (F.col("bin") == F.col("cut_bin")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    return unpacked(joined, rows.columns, shard=F.col("shard"), slot=F.col("rank") + F.col("shift"))
