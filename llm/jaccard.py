@@ -3,8 +3,10 @@
 1. Documents with equal shingle sets form a class. A fixed order of all shingles puts frequent ones
    last; two sets of Jaccard similarity >= t share one of their first ``n - ceil(t n) + 1`` shingles
    whatever the order, so classes meet in the buckets of these prefixes.
-2. Each bucket's members are tested against its smallest one. What links is joined into components,
-   which turns groups of near copies into one component without testing their pairs.
+   Buckets of the same members are kept once.
+2. A bucket's center is the member that meets most others; a member is tested against the best centers
+   of its buckets. What links is joined into components, which turns groups of near copies, whose
+   center is the least edited copy, into one component without testing their pairs.
 3. Buckets that still hold two components go through a signature tree: leaves are token bitmaps, a
    node holds the OR of its children, its range of set sizes and its least bit count. A dual traversal
    drops node pairs whose largest possible overlap is below what the sizes ask for. Surviving pairs
@@ -28,6 +30,9 @@ from scenelake.session import settle
 
 CELLS = 1 << 17
 FAN = 8
+SMALL = 8
+DENSITY = 4
+CENTERS = 2
 PAIR_CHUNK = 1 << 17
 SHARE = 256
 
@@ -47,8 +52,8 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of at least one bit per token, a power of two of 64-bit words."""
-    bits = max(64, 1 << int(len(tokens) - 1).bit_length())
+    """A bitmap of at least ``DENSITY`` bits per token, a power of two of 64-bit words."""
+    bits = max(64, 1 << int(DENSITY * len(tokens) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -182,6 +187,34 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
     return met.mapInArrow(test, "a long, b long").distinct()
 
 
+def _may_reach(a: pa.Scalar, b: pa.Scalar, na: int, nb: int, percent: int) -> bool:
+    """The bound of two leaves: a bit that only one of them has is a token the other lacks."""
+    x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+    words = min(len(x), len(y))
+    x, y = _fold(x, words), _fold(y, words)
+    both = int(np.bitwise_count(x & y).sum())
+    most = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum())) + both
+    return most >= _need(na, nb, percent)
+
+
+def _small_cells(spans: list[tuple[int, int]], own, cls, comp, n, sig: pa.Array, percent: int) -> np.ndarray:
+    """The pairs of cells of one node's size: their trees would be one comparison of all leaves."""
+    size = np.array([e - f for f, e in spans])
+    run, small = np.repeat(np.arange(len(spans)), size), np.repeat(size <= SMALL, size)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, min(SMALL, len(run))):
+        i = np.flatnonzero((run[:-d] == run[d:]) & small[:-d])
+        j = i + d
+        ok = (comp[i] != comp[j]) & (own[i] | own[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        left.append(i[ok])
+        right.append(j[ok])
+    i, j = np.concatenate(left), np.concatenate(right)
+    pair = np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1)
+    pair, once = np.unique(pair, axis=0, return_index=True)
+    ok = [_may_reach(sig[int(x)], sig[int(y)], int(n[x]), int(n[y]), percent) for x, y in zip(i[once], j[once], strict=True)]
+    return pair[np.array(ok, bool)]
+
+
 def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of different components that meet in a bucket and may reach ``percent``."""
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
@@ -196,15 +229,19 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "cell"):
             cell, own, cls, comp, n = (table.column(c).to_numpy() for c in ("cell", "own", "class", "component", "n"))
-            sig = table.column("sig").to_pylist()
-            for first, end in runs(cell):
-                tree = SignatureTree([np.frombuffer(s, np.uint64) for s in sig[first:end]], n[first:end])
-                for i, j in tree.pairs(percent):
-                    i, j = i + first, j + first
-                    ok = (comp[i] != comp[j]) & (own[i] | own[j])
-                    a, b = np.minimum(cls[i], cls[j])[ok], np.maximum(cls[i], cls[j])[ok]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            sig = table.column("sig").combine_chunks()
+            spans = runs(cell)
+            found = [_small_cells(spans, own, cls, comp, n, sig, percent)]
+            for first, end in spans:
+                if end - first > SMALL:
+                    tree = SignatureTree([np.frombuffer(x.as_buffer(), np.uint64) for x in sig[first:end]], n[first:end])
+                    for i, j in tree.pairs(percent):
+                        i, j = i + first, j + first
+                        ok = (comp[i] != comp[j]) & (own[i] | own[j])
+                        found.append(np.stack([np.minimum(cls[i], cls[j])[ok], np.maximum(cls[i], cls[j])[ok]], 1))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return met.mapInArrow(walk, "a long, b long").distinct()
 
@@ -217,23 +254,24 @@ def _placed(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
     sets = settle(_sets(source, _frequency_levels(source, width), width, percent))
     filled = sets.where("class is not null")
     classes = settle(filled.groupBy("class").agg(F.min(F.struct("doc_id", "print")).alias("rep"), F.first("n").alias("n"), F.min("doc_id").alias("id")))
-    rep = filled.join(classes.select("class", F.col("rep.doc_id").alias("_i"), F.col("rep.print").alias("_p")), "class").where("doc_id <=> _i and print = _p").select("class", "n", "sig", "prefix")
-    token = Window.partitionBy("token")
-    buckets = rep.select(F.explode("prefix").alias("token"), "class", "n").withColumn("least", F.min(F.struct("class", "n")).over(token)).withColumn("most", F.max("class").over(token)).where("least.class <> most")
-    buckets = settle(buckets.select("token", "class", "n", "least"))
-
-    stars = buckets.where(f"class <> least.class and 100 * least(n, least.n) >= {percent} * greatest(n, least.n)").select(F.col("least.class").alias("a"), F.col("class").alias("b")).distinct()
-    sigs = rep.groupBy("class").agg(F.first("sig").alias("sig"), F.first("n").alias("n"))
+    rep = filled.join(classes.select("class", F.col("rep.doc_id").alias("_i"), F.col("rep.print").alias("_p")), "class").where("doc_id <=> _i and print = _p").select("class", "n", "sig", "prefix").dropDuplicates(["class"])
+    token, members = Window.partitionBy("token"), Window.partitionBy("size", "m1", "m2")
+    met = rep.select(F.explode("prefix").alias("token"), "class", "n").withColumn("size", F.count("*").over(token)).where("size > 1")
+    met = met.withColumn("m1", F.bit_xor(F.xxhash64("class")).over(token)).withColumn("m2", F.bit_xor(F.xxhash64("class", F.lit(1))).over(token))
+    buckets = settle(met.withColumn("first", F.min("token").over(members)).where("token = first").select("token", "class", "n", "size"))
+
+    score = buckets.groupBy("class").agg(F.sum("size").alias("score"))
+    center = buckets.join(score, "class").groupBy("token").agg(F.max(F.struct("score", "class", "n")).alias("center"))
+    near = buckets.join(center, "token").where(f"class <> center.class and 100 * least(n, center.n) >= {percent} * greatest(n, center.n)")
+    choices = near.groupBy(F.col("center.class").alias("a"), F.col("class").alias("b")).agg(F.max("center.score").alias("score"))
+    stars = choices.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("score"), "a"))).where(F.col("r") <= CENTERS).select("a", "b")
+    sigs = rep.select("class", "sig", "n")
     possible = stars.join(sigs.select(F.col("class").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(sigs.select(F.col("class").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for sa, sb, na, nb in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb")), strict=True):
-                a, b = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                words = min(len(a), len(b))
-                a, b = _fold(a, words), _fold(b, words)
-                ok.append(min(na - int(np.bitwise_count(a & ~b).sum()), nb - int(np.bitwise_count(b & ~a).sum())) >= _need(na, nb, percent))
+            cells = zip(batch.column("sa"), batch.column("sb"), batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)
+            ok = [_may_reach(a, b, na, nb, percent) for a, b, na, nb in cells]
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     tested = settle(possible.mapInArrow(bound, "a long, b long"))
@@ -242,7 +280,7 @@ def _placed(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
 
     placed = buckets.select("token", "class", "n").join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = placed.withColumn("_lo", F.min("component").over(token)).withColumn("_hi", F.max("component").over(token)).where("_lo <> _hi").drop("_lo", "_hi")
-    more = settle(_tree_pairs(mixed.join(sigs.select("class", "sig"), "class"), percent).join(tested, ["a", "b"], "left_anti"))
+    more = settle(_tree_pairs(mixed.join(sigs.select("class", "sig"), "class"), percent).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     links = links.unionByName(_verified(more, classes, source, width, percent))
     final = components(links)
 
