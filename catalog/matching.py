@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import views as v
@@ -128,8 +129,12 @@ Q["vote_identity"] = (votes, v.sql("SELECT source_id, track_id, age, act AS acti
 
 
 def truth_and_pred(spark, d):
-    """Detections as truth; the same boxes moved by the tax, with the supplier as object and a shifted id from frame 100 on."""
-    det = v.detections(spark, d).withColumn("object_id", F.col("track_id")).dropDuplicates(["source_id", "frame_index", "object_id"])
+    """Detections as truth; the same boxes moved by the tax, with every box its own object and a shifted id from frame 100 on.
+
+    Supplier and line name an object; of two boxes with one name in a frame the later, by id, is told apart by its rank.
+    """
+    twin = F.row_number().over(Window.partitionBy("source_id", "frame_index", "track_id", "line").orderBy("det_id")) - 1
+    det = v.detections(spark, d).withColumn("object_id", (F.col("track_id") * 8 + F.col("line")) * 100 + twin)
     b, dx = F.col("box"), F.col("tax") * 200
     late = F.when(F.col("frame_index") >= 100, F.col("object_id") + 1_000_000).otherwise(F.col("object_id"))
     pred = det.where("time_since_update <> 1 or frame_index % 7 > 0").select(
@@ -330,14 +335,14 @@ Q["spatial_scores"] = (staged, _staged_sql())
 
 
 def _steps(spark, d):
-    """Detections on a 10-frames-a-second clock; boxes of the same supplier stay in place."""
+    """All detections on a 10-frames-a-second clock, under their own ids; boxes of the same supplier stay in place."""
     det = v.detections(spark, d)
     x = ((F.col("track_id") * 53) % 580 + F.col("frame_index") % 5).cast("double")
     y = ((F.col("track_id") * 29) % 300).cast("double")
     return det.select(
         "source_id", F.floor(F.col("frame_index") / 8).alias("step"), ((F.floor(F.col("frame_index") / 8) + 1) * 100_000).cast("long").alias("t_us"),
-        F.col("track_id").alias("det_id"), box(x, y, x + 50, y + 90).alias("box"), "label", "confidence",
-    ).dropDuplicates(["source_id", "step", "det_id"])
+        "det_id", box(x, y, x + 50, y + 90).alias("box"), "label", "confidence",
+    )
 
 
 Q["association_candidates"] = (

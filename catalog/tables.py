@@ -311,12 +311,12 @@ Q["pose_subjects"] = (
 _IOU = """least(a.x2, b.x2) - greatest(a.x1, b.x1) > 0 AND least(a.y2, b.y2) - greatest(a.y1, b.y1) > 0 AND (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) /
     ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1))) > {t}"""
 Q["nms"] = (
-    lambda spark, d: box_row(de.nms(v.detections(spark, d).withColumn("frame_index", F.floor(F.col("frame_index") / 4)).dropDuplicates(["source_id", "frame_index", "det_id"]), 0.2)),
+    lambda spark, d: box_row(de.nms(v.detections(spark, d).withColumn("frame_index", F.floor(F.col("frame_index") / 4)), 0.2)),
     v.sql(
         "SELECT source_id, frame_index, det_id FROM walk WHERE keep",
         "det",
         ctes={
-            "n0": "SELECT source_id, frame_index // 4 AS frame_index, det_id, label, any_value(x1) AS x1, any_value(y1) AS y1, any_value(x2) AS x2, any_value(y2) AS y2, any_value(confidence) AS confidence FROM det GROUP BY 1, 2, 3, 4",
+            "n0": "SELECT source_id, frame_index // 4 AS frame_index, det_id, label, x1, y1, x2, y2, confidence FROM det",
             "n1": "SELECT *, row_number() OVER (PARTITION BY source_id, frame_index, label ORDER BY confidence DESC, det_id) AS i FROM n0",
             "hid": f"SELECT a.source_id, a.frame_index, a.label, b.i AS i, list(a.i) AS by_ FROM n1 a JOIN n1 b ON a.source_id = b.source_id AND a.frame_index = b.frame_index AND a.label = b.label AND a.i < b.i WHERE {_IOU.format(t='0.2')} GROUP BY ALL",
             "n2": "SELECT n1.*, coalesce(by_, []) AS by_ FROM n1 LEFT JOIN hid USING (source_id, frame_index, label, i)",

@@ -345,8 +345,7 @@ Q["analysis_summary"] = (
 
 def top(spark, d):
     out = analyse(v.observations(spark, d), "entities", since=LO, until=HI, keys=["camera_id"], settings=AnalysisSettings(period_hours=24, sensitivity=2.0), train_on_window=True)
-    ranked = out.where("verdict = 'anomaly'").orderBy(F.desc("score"), "bucket_start", "camera_id").limit(8)
-    return start(ranked).select("camera_id", "start_s", "value", F.round("score", 6).alias("score"), "severity")
+    return start(b.top_anomalies(out, 8, ["camera_id"])).select("camera_id", "start_s", "value", F.round("score", 6).alias("score"), "severity")
 
 
 _top = dict(_self)
@@ -354,7 +353,7 @@ Q["top_anomalies"] = (
     top,
     v.sql(
         """SELECT camera_id, start_s, value, round(score, 6) AS score, CASE WHEN score >= 8 THEN 'high' WHEN score >= 5 THEN 'medium' ELSE 'low' END AS severity
-        FROM sc WHERE judged AND score >= 2.0 ORDER BY sc.score DESC, start_s, camera_id LIMIT 8""", "obs", ctes=_top,
+        FROM sc WHERE judged AND score >= 2.0 QUALIFY row_number() OVER (PARTITION BY camera_id ORDER BY sc.score DESC, start_s) <= 8""", "obs", ctes=_top,
     ),
 )
 

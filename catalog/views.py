@@ -76,16 +76,16 @@ LINEITEM = (
 
 
 def detections(spark: SparkSession, d: str) -> DataFrame:
-    """About four boxes per frame. The id is a hash of the row's own columns; rows alike in all of them are one."""
+    """About four boxes per frame. The id is a hash of all of the row's columns, so no row is lost to another."""
     li = spark.read.schema(LINEITEM).parquet(f"{d}/lineitem.parquet")
-    li = li.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag").agg(F.max("l_tax").alias("l_tax"))
+    whole = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")] + [F.round(F.col(c) * 100).cast("long").cast("string") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
     x1 = ((F.col("l_partkey") * 37) % 580).cast("double")
     y1 = ((F.col("l_suppkey") * 53) % 380).cast("double")
     q = F.col("l_quantity")
     return li.select(
         text("cam", F.col("l_orderkey") % 8).alias("source_id"),
         F.floor(F.col("l_orderkey") / 8).alias("frame_index"),
-        (((F.col("l_linenumber") * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")) * 100 + q).cast("long").alias("det_id"),
+        F.conv(F.substring(F.md5(F.concat_ws(":", *whole, "l_returnflag", F.unix_seconds("l_shipdate").cast("string"))), 1, 13), 16, 10).cast("long").alias("det_id"),
         box(x1, y1, x1 + 20 + q, y1 + 40 + 2 * q).alias("box"),
         F.when(F.col("l_returnflag") == "A", "laptop").otherwise("person").alias("label"),
         (0.1 + 8 * F.col("l_discount")).alias("confidence"),
@@ -93,7 +93,8 @@ def detections(spark: SparkSession, d: str) -> DataFrame:
         (F.col("l_orderkey") % 3).alias("time_since_update"),
         F.when(F.col("l_linenumber") % 3 == 0, "tentative").otherwise("confirmed").alias("state"),
         F.col("l_suppkey").alias("track_id"),
-    ).dropDuplicates(["source_id", "frame_index", "det_id"])
+        F.col("l_linenumber").cast("long").alias("line"),
+    )
 
 
 def tracks(spark: SparkSession, d: str) -> DataFrame:
@@ -160,16 +161,14 @@ SQL = {
         CASE WHEN value >= 100 THEN 'alert' WHEN value >= 40 THEN 'notice' ELSE 'info' END AS severity,
         'user_' || CAST(user_id AS VARCHAR) AS entity_id, 'z' || CAST(k % 8 AS VARCHAR) AS zone, event_id AS frame_index, props AS evidence, k FROM ev""",
     "beats": "SELECT camera_id, us FROM obs WHERE entity_type = 'view' AND CAST(timestamp AS DATE) <> DATE '2024-01-20'",
-    "det": """SELECT source_id, frame_index, det_id, any_value(x1) AS x1, any_value(y1) AS y1, any_value(x1 + 20 + qty) AS x2, any_value(y1 + 40 + 2 * qty) AS y2,
-        any_value(label) AS label, any_value(confidence) AS confidence, any_value(tax) AS tax, any_value(time_since_update) AS time_since_update, any_value(state) AS state,
-        any_value(track_id) AS track_id
+    "det": """SELECT source_id, frame_index, det_id, x1, y1, x1 + 20 + qty AS x2, y1 + 40 + 2 * qty AS y2, label, confidence, tax, time_since_update, state, track_id, line
         FROM (SELECT 'cam' || CAST(l_orderkey % 8 AS VARCHAR) AS source_id, l_orderkey // 8 AS frame_index,
-            CAST(((CAST(l_linenumber AS BIGINT) * 100000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS BIGINT) AS det_id,
+            ('0x' || substr(md5(concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_quantity * 100) AS BIGINT), CAST(round(l_extendedprice * 100) AS BIGINT),
+                CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT), l_returnflag, CAST(floor(epoch(l_shipdate)) AS BIGINT))), 1, 13))::BIGINT AS det_id,
             CAST((l_partkey * 37) % 580 AS DOUBLE) AS x1, CAST((l_suppkey * 53) % 380 AS DOUBLE) AS y1, l_quantity AS qty,
-            CASE WHEN l_returnflag = 'A' THEN 'laptop' ELSE 'person' END AS label, 0.1::DOUBLE + 8 * l_discount AS confidence, max(l_tax) AS tax,
-            l_orderkey % 3 AS time_since_update, CASE WHEN l_linenumber % 3 = 0 THEN 'tentative' ELSE 'confirmed' END AS state, l_suppkey AS track_id
-            FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag)
-        GROUP BY source_id, frame_index, det_id""",
+            CASE WHEN l_returnflag = 'A' THEN 'laptop' ELSE 'person' END AS label, 0.1::DOUBLE + 8 * l_discount AS confidence, l_tax AS tax,
+            l_orderkey % 3 AS time_since_update, CASE WHEN l_linenumber % 3 = 0 THEN 'tentative' ELSE 'confirmed' END AS state, l_suppkey AS track_id, CAST(l_linenumber AS BIGINT) AS line
+            FROM lineitem)""",
     "tr0": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS q FROM ev",
     "tr": """SELECT 'cam' || CAST(user_id % 4 AS VARCHAR) AS source_id, user_id AS track_id, q AS step, (q + 1) * 100000 AS t_us,
         CASE WHEN user_id % 3 = 0 THEN 'laptop' ELSE 'person' END AS label,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenelake.functions.clock import check_period, slot_index
@@ -141,10 +141,19 @@ def detect(
     ).drop("trustworthy")
 
 
-def top_anomalies(scored: DataFrame, n: int | None = 8) -> DataFrame:
-    """Anomalies by score, largest first, earlier bucket first among equals."""
-    out = scored.where(F.col("verdict") == "anomaly").orderBy(F.desc("score"), "bucket_start")
-    return out if n is None else out.limit(n)
+def top_anomalies(scored: DataFrame, n: int | None = 8, keys: Sequence[str] = ()) -> DataFrame:
+    """The ``n`` strongest anomalies of each series, largest score first, earlier bucket first among equals.
+
+    ``keys`` tell series apart; without keys there is one.
+    """
+    flagged = scored.where(F.col("verdict") == "anomaly")
+    order = [F.desc("score"), F.col("bucket_start")]
+    if n is not None and keys:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        flagged = flagged.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+    elif n is not None:
+        return flagged.orderBy(*order).limit(n)
+    return flagged.orderBy(*order, *keys)
 
 
 def analysis_summary(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

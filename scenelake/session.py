@@ -11,7 +11,7 @@ _LOCAL_SCRATCH: dict[str, str] = {}
 
 
 def local_session(app: str = "scenelake", cores: int | str = "*", partitions: int = 8) -> SparkSession:
-    """A local session for tests and the bench; clusters bring their own."""
+    """A local session for tests and the bench; clusters bring their own, with ``spark.checkpoint.dir`` on shared storage."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -21,12 +21,13 @@ def local_session(app: str = "scenelake", cores: int | str = "*", partitions: in
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only in local mode."""
+    """The session's ``spark.checkpoint.dir``; where a local session has none, one folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )

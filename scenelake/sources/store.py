@@ -73,48 +73,78 @@ def append_records(df: DataFrame, kind: str, path: str) -> None:
     rows.sortWithinPartitions(*order).write.mode("append").partitionBy(*PARTITIONS).parquet(_at(kind, path))
 
 
-def route_records(batch: DataFrame, path: str) -> None:
+def append_once(df: DataFrame, kind: str, path: str, staging: str) -> None:
+    """Append rows so that a repeated call with the same ``staging`` folder adds nothing.
+
+    The rows are written to the staging folder first. Once that is complete its files, and never newly
+    written ones, are moved into the table one by one; a call after a crash moves what is left.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.Path(staging)
+    fs = folder.getFileSystem(conf)
+    if not fs.exists(jvm.Path(f"{staging}/_SUCCESS")):
+        rows = _stored(df, kind).hint("rebalance", *PARTITIONS)
+        rows.sortWithinPartitions(*PARTITIONS, "timestamp").write.mode("overwrite").partitionBy(*PARTITIONS).parquet(staging)
+    root, table = fs.makeQualified(folder).toString(), jvm.Path(_at(kind, path))
+    files = fs.listFiles(folder, True)
+    while files.hasNext():
+        file = files.next().getPath()
+        if file.getName().startswith(("_", ".")):
+            continue
+        inside = file.getParent().toString()[len(root) + 1 :]
+        target = jvm.Path(table, inside) if inside else table
+        fs.mkdirs(target)
+        if not fs.rename(file, jvm.Path(target, file.getName())):
+            raise OSError(f"cannot move {file.getName()} into {table}")
+
+
+def route_records(batch: DataFrame, path: str, staging: str | None = None) -> None:
     """One mixed batch (column ``kind`` and a struct per table) to its three tables.
 
-    Read once from a settled copy, however many tables it feeds.
+    Read once from a settled copy, however many tables it feeds; with ``staging`` (a folder of this
+    batch alone) a repeated call adds nothing.
     """
     kept = settle(batch)
     for kind in TABLES:
         if kind in kept.columns:
             rows = kept.where(F.col("kind") == kind).select(f"{kind}.*")
-            append_records(rows, kind, path)
+            if staging:
+                append_once(rows, kind, path, f"{staging}/{kind}")
+            else:
+                append_records(rows, kind, path)
 
 
 def prune(spark: SparkSession, path: str, horizons: Mapping[str, float]) -> DataFrame:
     """Delete rows older than each table's own horizon (epoch seconds); one row per table with the count.
 
-    Days wholly before the horizon are emptied as partitions; only the boundary day is rewritten.
+    Partitions of the boundary day that keep rows are overwritten by a settled copy of these rows;
+    partitions without any are then removed under the names their files really have. A crash in
+    between leaves old rows for the next call and loses none.
     """
     removed = []
     for kind, before in horizons.items():
         table = read_table(spark, kind, path)
         cut = F.timestamp_micros(F.lit(us(before)))
-        old = table.where((F.col("timestamp") < cut) & (F.col("dt") <= F.to_date(cut)))
-        gone = old.groupBy(*PARTITIONS).agg(F.count(F.lit(1)).alias("n"))
-        parts = settle(gone)
-        removed.append((kind, parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
+        old = (F.col("timestamp") < cut) & (F.col("dt") <= F.to_date(cut))
+        removed.append((kind, table.where(old).count()))
         if removed[-1][1] == 0:
             continue
-        # Survivors of the boundary day are read out before their partition is replaced.
-        touched = table.join(F.broadcast(parts) if parts.limit(100_001).count() <= 100_000 else parts, list(PARTITIONS), "left_semi")
-        stay = settle(touched.where(F.col("timestamp") >= cut))
-        _drop_partitions(spark, parts, _at(kind, path))
-        if not stay.isEmpty():
-            append_records(stay.drop("dt"), kind, path)
+        rows = table.where(F.col("dt") <= F.to_date(cut)).select(*table.columns, F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/", 1).alias("_folder"))
+        folders = settle(rows.groupBy("_folder").agg(F.count_if(old).alias("gone"), F.count_if(F.col("timestamp") >= cut).alias("stay")).where("gone > 0"))
+        mixed = settle(rows.where(F.col("timestamp") >= cut).join(folders.where("stay > 0"), "_folder", "left_semi").drop("_folder"))
+        mixed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(_at(kind, path))
+        _drop_folders(spark, folders.where("stay = 0"))
     return spark.createDataFrame(removed, "table string, removed long")
 
 
-def _drop_partitions(spark: SparkSession, parts: DataFrame, where: str) -> None:
+def _drop_folders(spark: SparkSession, folders: DataFrame) -> None:
     """Remove partition folders. Their names stream through the driver one at a time, no rows do."""
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for row in parts.select(*PARTITIONS).toLocalIterator():
-        folder = jvm.Path(f"{where}/camera_id={row.camera_id}/dt={row.dt}")
+    for row in folders.select("_folder").toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["_folder"]))
         folder.getFileSystem(conf).delete(folder, True)
 
 

@@ -1,15 +1,17 @@
-"""Operators whose memory is one small record per key: motion, relations, activities, cooldowns, linking.
+"""Motion, relations, activities and cooldowns on streams.
 
-Every key's rows of a micro-batch arrive in footage order, advance its record, and the record
-expires when the watermark passes its last row by ``forget``. Results equal the batch operators.
+A key's rows wait in its state until the watermark has passed them, so order within the allowed lateness
+does not matter. What is then complete is processed as a whole array, in the batch operators' terms: runs
+that lasted long enough, dead bands held from the last marker, trailing windows by binary search. State
+holds the waiting rows, the rows a trailing window can still reach, and a few scalars of the presence.
 """
 
 from __future__ import annotations
 
-import json
-import math
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,284 +19,247 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scenelake.functions.clock import us
 from scenelake.operators.activity import MAJORITY, POSTURE_MAJORITY, STABLE_POSTURES, WINDOW_COVERAGE, ActivitySettings
-from scenelake.operators.assignment import best_matching
-from scenelake.operators.linking import LinkSettings
 from scenelake.operators.motion import MotionSettings
 from scenelake.operators.relations import RelationSettings
 
 LATENESS = "10 seconds"
-Advance = Callable[[dict, tuple], list]
+Complete = Callable[[dict, pd.DataFrame], pd.DataFrame]
 
 
-def stateful(stream: DataFrame, keys: Sequence[str], out: str, advance: Advance, *, order: str = "t_us", lateness: str = LATENESS, forget_s: float = 60.0) -> DataFrame:
-    """Runs ``advance(memory, row)`` over each key's rows in order; ``stream`` needs a ``timestamp``."""
-    names = [c.strip().split(" ")[0] for c in out.split(",")]
-    text = [c.strip().split(" ")[0] for c in out.split(",") if c.strip().endswith("string")]
+def in_order(stream: DataFrame, keys: Sequence[str], out: str, complete: Complete, *, order: Sequence[str] = ("t_us",), lateness: str = LATENESS, forget_s: float = 60.0) -> DataFrame:
+    """Runs ``complete(memory, rows)`` on each key's rows once the watermark is past them, in order.
+
+    ``memory`` is kept until ``forget_s`` (or, if larger, its own ``forget_us``) after the key's last row.
+    """
+    names = [c.split()[0] for c in out.split(",")]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        memory, waiting, last = pickle.loads(state.get[0]) if state.exists else ({}, None, 0)
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            waiting = pd.concat([x for x in (waiting, *frames) if x is not None], ignore_index=True)
+            last = max(last, int(waiting["_ms"].max())) if len(waiting) else last
+        result = None
+        if waiting is not None:
+            ripe = waiting["_ms"] <= mark
+            if ripe.any():
+                result = complete(memory, waiting[ripe].sort_values(list(order), kind="stable").reset_index(drop=True))
+            waiting = waiting[~ripe] if (~ripe).any() else None
+        end = last + max(int(forget_s * 1000), memory.get("forget_us", 0) // 1000 + 1)
+        if waiting is None and mark >= end:
             state.remove()
-            return
-        memory = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
-        result = [r for row in rows.itertuples(index=False) for r in advance(memory, row)]
-        state.update((json.dumps(memory),))
-        last = int(rows["_ms"].max())
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(forget_s * 1000))
-        if result:
-            frame = pd.DataFrame(result, columns=names)
-            yield frame.astype({c: object for c in text})
+        else:
+            state.update((pickle.dumps((memory, waiting, last)),))
+            state.setTimeoutTimestamp(max(mark + 1, int(waiting["_ms"].min()) if waiting is not None else end))
+        if result is not None and len(result):
+            yield result[names]
 
     timed = stream.withColumn("_ms", F.unix_millis("timestamp")).withWatermark("timestamp", lateness)
-    return timed.groupBy(*keys).applyInPandasWithState(run, out, "memory string", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def motion_step(s: MotionSettings) -> Advance:
-    """One step of the motion state of one track."""
-
-    def advance(m: dict, r) -> list:
-        if m.get("step") != r.step - 1:
-            m.clear()
-            m.update(motion="unknown", age=0, dwell=0, pending=None, held=0, distance=0.0, at=None)
-        m["step"] = int(r.step)
-        m["age"] += int(r.elapsed_us)
-        m["dwell"] += int(r.elapsed_us)
-        height = max(r.y2 - r.y1, 1.0)
-        speed = math.hypot(r.vx, r.vy) / height
-        here = [(r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2]
-        moved = math.dist(here, m["at"]) / height if m["at"] else 0.0
-        m["at"] = here
-        aim = m["motion"]
-        if m["age"] < us(s.min_age_s):
-            aim = "unknown"
-        elif speed >= s.moving_above:
-            aim = "moving"
-        elif speed <= s.stationary_below:
-            aim = "stationary"
-        if aim == m["motion"]:
-            m.update(pending=None, held=0)
-        else:
-            m["held"] = m["held"] + int(r.elapsed_us) if m["pending"] == aim else 0
-            m["pending"] = aim
-            if m["held"] >= us(s.min_state_s):
-                m.update(motion=aim, dwell=0, pending=None, held=0)
-        if m["motion"] == "moving":
-            m["distance"] += moved
-        return [(r.source_id, r.track_id, r.step, r.t_us, m["motion"], speed, m["dwell"] / 1e6, m["age"] / 1e6, m["distance"])]
+    return timed.groupBy(*keys).applyInPandasWithState(run, out, "memory binary", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _presences(memory: dict, rows: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """Stretches of consecutive steps, and whether the first goes on from what memory holds."""
+    step = rows["step"].to_numpy()
+    before = np.append(memory.get("step", step[0] - 2), step[:-1])
+    cut = np.flatnonzero(step != before + 1)
+    edges = sorted({0, *cut.tolist(), len(rows)})
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield rows.iloc[a:b], a not in cut
+    memory["step"] = int(step[-1])
 
-    return advance
+
+def _held(values: np.ndarray, known: np.ndarray, start) -> np.ndarray:
+    """Each value where known, else the last known one, else ``start``."""
+    at = np.maximum.accumulate(np.where(known, np.arange(len(values)), -1))
+    return np.where(at >= 0, values[np.maximum(at, 0)], start)
 
 
 def _boxed(tracks: DataFrame) -> DataFrame:
     return tracks.withColumns({c: F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2")}).drop("box")
 
 
+def _motion(s: MotionSettings) -> Complete:
+    kinds = np.array(["unknown", "moving", "stationary"], object)
+
+    def complete(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for r, goes_on in _presences(m, rows):
+            c = m["track"] if goes_on else {"age": 0, "kind": 0, "run": None, "state": 0, "since": None, "distance": 0.0, "centre": None}
+            t, height = r["t_us"].to_numpy(), np.maximum(r["y2"] - r["y1"], 1.0).to_numpy()
+            age = c["age"] + np.cumsum(r["elapsed_us"].to_numpy())
+            speed = np.hypot(r["vx"], r["vy"]).to_numpy() / height
+            kind = np.select([age < us(s.min_age_s), speed >= s.moving_above, speed <= s.stationary_below], [0, 1, 2], 0)
+            run = _held(t, kind != np.append(c["kind"] if c["run"] is not None else -1, kind[:-1]), c["run"] or 0)
+            lasting = (kind > 0) & (t - run >= us(s.min_state_s))
+            state = _held(kind, lasting, c["state"])
+            changed = state != np.append(c["state"], state[:-1])
+            since = _held(t, changed, -1 if c["since"] is None else c["since"])
+            cx, cy = ((r["x1"] + r["x2"]) / 2).to_numpy(), ((r["y1"] + r["y2"]) / 2).to_numpy()
+            px, py = c["centre"] or (cx[0], cy[0])
+            moved = np.hypot(np.diff(cx, prepend=px), np.diff(cy, prepend=py)) / height
+            distance = c["distance"] + np.cumsum(np.where(state == 1, moved, 0.0))
+            parts.append(r.assign(motion=kinds[state], speed=speed, dwell_s=np.where(since >= 0, t - since, age) / 1e6, age_s=age / 1e6, distance=distance))
+            m["track"] = {"age": int(age[-1]), "kind": int(kind[-1]), "run": int(run[-1]), "state": int(state[-1]), "since": int(since[-1]) if since[-1] >= 0 else None, "distance": float(distance[-1]), "centre": (cx[-1], cy[-1])}
+        return pd.concat(parts)
+
+    return complete
+
+
 def stream_motion_state(tracks: DataFrame, settings: MotionSettings = MotionSettings(), **options) -> DataFrame:
     """Motion, dwell, age and distance per track row."""
     out = "source_id string, track_id long, step long, t_us long, motion string, speed double, dwell_s double, age_s double, distance double"
     rows = _boxed(tracks.select("source_id", "track_id", "step", "t_us", "elapsed_us", "vx", "vy", "box", "timestamp"))
-    return stateful(rows, ["source_id", "track_id"], out, motion_step(settings), **options)
+    return in_order(rows, ["source_id", "track_id"], out, _motion(settings), **options)
 
 
-def relation_step(s: RelationSettings) -> Advance:
-    """Near, approaching and receding of one pair."""
-    window = us(s.approach_window_s)
+def _with_tail(m: dict, rows: pd.DataFrame, goes_on: bool, reach: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """The rows after those of the same presence that a window of ``reach`` still covers, and which are new."""
+    tail = m.get("tail") if goes_on else None
+    both = rows if tail is None else pd.concat([tail, rows], ignore_index=True)
+    new = np.arange(len(both)) >= len(both) - len(rows)
+    m["tail"] = both[both["t_us"] >= both["t_us"].iloc[-1] - reach]
+    return both.reset_index(drop=True), new
 
-    def advance(m: dict, r) -> list:
-        if m.get("step") != r.step - 1:
-            m.clear()
-            m.update(near=None, past=[])
-        m["step"] = int(r.step)
-        t, d = int(r.t_us), float(r.separation)
-        m["past"] = [p for p in m["past"] if t - p[0] <= window] + [[t, d]]
-        found = []
-        if d <= s.near_distance + (s.near_hysteresis if m["near"] is not None else 0.0):
-            m["near"] = t if m["near"] is None else m["near"]
-            found.append(("near", max(0.15, 1.0 - min(1.0, d / max(s.near_distance, 1e-6))), (t - m["near"]) / 1e6))
-        else:
-            m["near"] = None
-        t0, d0 = m["past"][0]
-        if t > t0 and t - t0 >= window * 0.5:
-            rate = (d0 - d) / ((t - t0) / 1e6)
-            if abs(rate) >= s.approach_rate:
-                found.append(("approaching" if rate > 0 else "receding", min(1.0, abs(rate) / (s.approach_rate * 3)), s.approach_window_s))
-        return [(r.source_id, r.low, r.high, r.step, t, name, d, confidence, held) for name, confidence, held in found]
 
-    return advance
+def _relations(s: RelationSettings) -> Complete:
+    window = us(s.approach_window_s)
+
+    def complete(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for r, goes_on in _presences(m, rows):
+            near_since = m.get("near") if goes_on else None
+            d, t = r["separation"].to_numpy(), r["t_us"].to_numpy()
+            close, away = d <= s.near_distance, d > s.near_distance + s.near_hysteresis
+            near = _held(close.astype(int), close | away, int(near_since is not None)) == 1
+            begins = near & ~np.append(near_since is not None, near[:-1])
+            since = _held(t, begins, near_since or 0)
+            m["near"] = int(since[-1]) if near[-1] else None
+            confidence = np.maximum(0.15, 1.0 - np.minimum(1.0, d / max(s.near_distance, 1e-6)))
+            parts.append(r.assign(relation="near", distance=d, confidence=confidence, duration_s=(t - since) / 1e6)[near])
+            both, new = _with_tail(m, r, goes_on, window)
+            t, d = both["t_us"].to_numpy(), both["separation"].to_numpy()
+            first = np.searchsorted(t, t - window, side="left")
+            span = t - t[first]
+            rate = (d[first] - d) / np.maximum(span, 1) * 1e6
+            shown = new & (span > 0) & (span >= window * 0.5) & (np.abs(rate) >= s.approach_rate)
+            side = np.where(rate > 0, "approaching", "receding").astype(object)
+            parts.append(both.assign(relation=side, distance=d, confidence=np.minimum(1.0, np.abs(rate) / (s.approach_rate * 3)), duration_s=s.approach_window_s)[shown])
+        return pd.concat(parts)
+
+    return complete
 
 
 def stream_relations(pairs: DataFrame, settings: RelationSettings = RelationSettings(), **options) -> DataFrame:
     """Relations that need no pose, per pair of :func:`scenelake.streaming.windows.stream_pairs`."""
     out = "source_id string, low long, high long, step long, t_us long, relation string, distance double, confidence double, duration_s double"
     rows = pairs.select("source_id", "low", "high", "step", "t_us", "separation", "timestamp")
-    return stateful(rows, ["source_id", "low", "high"], out, relation_step(settings), **options)
-
-
-def activity_step(s: ActivitySettings) -> Advance:
-    """Every activity of one entity on one step; keeps the samples of its longest window."""
-    keep = us(max(s.sustain_s, s.transition_window_s, s.posture_window_s))
-
-    def moment(m: dict, t: int) -> None:
-        """A change of the posture the last window clearly showed."""
-        window = [p for p in m["past"] if t - p[0] <= us(s.posture_window_s) and p[2] in STABLE_POSTURES and p[3] >= s.min_posture_confidence]
-        shown = [name for name in STABLE_POSTURES if window and sum(p[2] == name for p in window) >= len(window) * POSTURE_MAJORITY]
-        if not shown or shown[0] == m["stable"]:
-            return
-        was, m["stable"] = m["stable"], shown[0]
-        seen = [p[0] for p in m["past"] if p[2] == was]
-        gap = t - seen[-1] if was and seen else None
-        if gap is None or gap > us(s.transition_window_s):
-            return
-        name = {("standing", "sitting"): "sitting_down", ("sitting", "standing"): "standing_up"}.get((was, shown[0]))
-        if shown[0] == "lying" and was in ("standing", "crouching") and gap <= us(s.fall_window_s):
-            name = "falling"
-        if name:
-            m["moments"].append([name, t, min(1.0, sum(p[3] for p in window) / len(window))])
-
-    def advance(m: dict, r) -> list:
-        if m.get("step") != r.step - 1:
-            m.clear()
-            m.update(first=int(r.t_us), past=[], stable=None, moments=[])
-        m["step"] = int(r.step)
-        t = int(r.t_us)
-        m["past"] = [p for p in m["past"] if t - p[0] <= keep] + [[t, float(r.speed), r.posture, float(r.posture_confidence), bool(r.arm_raised), float(r.arm_confidence)]]
-        moment(m, t)
-        window = [p for p in m["past"] if t - p[0] <= us(s.sustain_s)]
-        enough = len(window) >= 2 and t - window[0][0] >= us(s.sustain_s * WINDOW_COVERAGE)
-        share = lambda level: sum(p[1] >= level for p in window) / len(window)
-        found = []
-        if r.motion == "moving" and r.speed >= s.walking_speed and enough:
-            running = r.speed >= s.running_speed and share(s.running_speed * 0.8) >= MAJORITY
-            level = s.running_speed if running else s.walking_speed
-            if share(level) >= MAJORITY:
-                found.append(("running" if running else "walking", 0.5 * min(1.0, abs(r.speed - level) / level) + 0.5 * share(level), r.dwell_s))
-        if r.motion == "stationary" and r.dwell_s >= s.loiter_s:
-            found.append(("loitering", min(1.0, 0.5 + 0.5 * (r.dwell_s - s.loiter_s) / max(s.loiter_s, 1e-6)), r.dwell_s))
-        if enough and all(p[4] for p in window):
-            found.append(("arm_raised", sum(p[5] for p in window) / len(window), (t - window[0][0]) / 1e6))
-        m["moments"] = [e for e in m["moments"] if t - e[1] <= us(s.transient_hold_s)]
-        found += [(name, confidence, (t - at) / 1e6) for name, at, confidence in m["moments"]]
-        found = found or [("idle", 1.0, (t - m["first"]) / 1e6)]
-        return [(r.source_id, r.track_id, r.step, t, name, float(c), float(held)) for name, c, held in found]
-
-    return advance
+    return in_order(rows, ["source_id", "low", "high"], out, _relations(settings), **options)
+
+
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of ``values[first[i] : i + 1]``."""
+    total = np.append(0.0, np.cumsum(values))
+    return total[1:] - total[first]
+
+
+def _moments(m: dict, both: pd.DataFrame, new: np.ndarray, s: ActivitySettings) -> list[tuple[str, int, float]]:
+    """Posture changes on the new rows: (name, time, confidence)."""
+    t, posture, sure = both["t_us"].to_numpy(), both["posture"].to_numpy(), both["posture_confidence"].to_numpy()
+    first = np.searchsorted(t, t - us(s.posture_window_s), side="left")
+    usable = np.isin(posture, STABLE_POSTURES) & (sure >= s.min_posture_confidence)
+    n = _sums(usable.astype(float), first)
+    code = np.full(len(t), -1)
+    for k in range(len(STABLE_POSTURES) - 1, -1, -1):
+        share = _sums((usable & (posture == STABLE_POSTURES[k])).astype(float), first)
+        code = np.where((n > 0) & (share >= n * POSTURE_MAJORITY - 1e-9), k, code)
+    code, clear = np.where(new, code, -1), new & (code >= 0)
+    stable = _held(code, clear, m.get("stable", -1))
+    was = np.append(m.get("stable", -1), stable[:-1])
+    m["stable"] = int(stable[-1])
+    mean = np.divide(_sums(np.where(usable, sure, 0.0), first), np.maximum(n, 1))
+    found = []
+    for i in np.flatnonzero(new & (stable != was) & (was >= 0)):
+        shown = np.flatnonzero(posture[: i + 1] == STABLE_POSTURES[was[i]])
+        gap = t[i] - t[shown[-1]] if len(shown) else None
+        change = (STABLE_POSTURES[was[i]], STABLE_POSTURES[stable[i]])
+        name = {("standing", "sitting"): "sitting_down", ("sitting", "standing"): "standing_up"}.get(change)
+        if change[1] == "lying" and change[0] in ("standing", "crouching"):
+            name = "falling" if gap is not None and gap <= us(s.fall_window_s) else None
+        if name and gap is not None and gap <= us(s.transition_window_s):
+            found.append((name, int(t[i]), float(min(1.0, mean[i]))))
+    return found
+
+
+def _activities(s: ActivitySettings) -> Complete:
+    reach = us(max(s.sustain_s, s.transition_window_s, s.posture_window_s))
+
+    def complete(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for r, goes_on in _presences(m, rows):
+            if not goes_on:
+                m.update(begun=int(r["t_us"].iloc[0]), stable=-1, moments=[])
+            both, new = _with_tail(m, r, goes_on, reach)
+            t, speed, dwell = (both[c].to_numpy() for c in ("t_us", "speed", "dwell_s"))
+            first = np.searchsorted(t, t - us(s.sustain_s), side="left")
+            n = np.arange(len(t)) - first + 1
+            enough = (n >= 2) & (t - t[first] >= us(s.sustain_s * WINDOW_COVERAGE))
+            share = lambda level: _sums((speed >= level).astype(float), first) / n  # noqa: B023, E731
+            runs = (speed >= s.running_speed) & (share(s.running_speed * 0.8) >= MAJORITY)
+            level = np.where(runs, s.running_speed, s.walking_speed)
+            support = np.where(runs, share(s.running_speed), share(s.walking_speed))
+            motion = both["motion"].to_numpy()
+            going = (motion == "moving") & (speed >= s.walking_speed) & enough & (support >= MAJORITY)
+            pace = np.minimum(1.0, np.abs(speed - level) / level)
+            waits = (motion == "stationary") & (dwell >= s.loiter_s)
+            arms = enough & (_sums(both["arm_raised"].to_numpy(bool).astype(float), first) == n)
+            found = [
+                (going, np.where(runs, "running", "walking").astype(object), 0.5 * pace + 0.5 * support, dwell),
+                (waits, "loitering", np.minimum(1.0, 0.5 + 0.5 * (dwell - s.loiter_s) / max(s.loiter_s, 1e-6)), dwell),
+                (arms, "arm_raised", _sums(both["arm_confidence"].to_numpy(float), first) / n, (t - t[first]) / 1e6),
+            ]
+            moments = m["moments"] + _moments(m, both, new, s)
+            found += [((t >= at) & (t - at <= us(s.transient_hold_s)), name, sure, (t - at) / 1e6) for name, at, sure in moments]
+            m["moments"] = [x for x in moments if t[-1] - x[1] <= us(s.transient_hold_s)]
+            busy = np.any([f[0] for f in found], axis=0)
+            found.append((~busy, "idle", 1.0, (t - m["begun"]) / 1e6))
+            parts += [both.assign(activity=name, confidence=sure, duration_s=held)[on & new] for on, name, sure, held in found]
+        return pd.concat(parts)
+
+    return complete
 
 
 def stream_activities(state: DataFrame, settings: ActivitySettings = ActivitySettings(), **options) -> DataFrame:
     """Activities per entity and step, from motion rows with posture and arm columns."""
     out = "source_id string, track_id long, step long, t_us long, activity string, confidence double, duration_s double"
     cols = ["source_id", "track_id", "step", "t_us", "speed", "motion", "dwell_s", "posture", "posture_confidence", "arm_raised", "arm_confidence", "timestamp"]
-    return stateful(state.select(*cols), ["source_id", "track_id"], out, activity_step(settings), **options)
-
-
-def debounce_step(m: dict, r) -> list:
-    """Fires when the cooldown since the last firing is over; leaving the scene ends the memory."""
-    if m.get("island") != r.island:
-        m.clear()
-        m["island"] = int(r.island)
-    ready = r.cooldown_us <= 0 or "last" not in m or r.t_us - m["last"] >= r.cooldown_us
-    if ready:
-        m["last"] = int(r.t_us)
-    return [(r.source_id, r.rule, r.who, r.step, r.t_us, r.zone, bool(ready))]
+    return in_order(state.select(*cols), ["source_id", "track_id"], out, _activities(settings), **options)
+
+
+def _debounce(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
+    """A candidate fires when its own cooldown is over since the last firing of its presence."""
+    t, gap, island = (rows[c].to_numpy(np.int64) for c in ("t_us", "cooldown_us", "island"))
+    fired = gap <= 0
+    edges = [0, *(np.flatnonzero(island[1:] != island[:-1]) + 1).tolist(), len(rows)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        last = m["last"] if m.get("island") == island[a] else None
+        free = t[a:b] - gap[a:b]
+        i = a
+        while i < b:
+            open_ = np.flatnonzero((free[i - a :] >= last) | fired[i:b]) if last is not None else np.array([0])
+            if not len(open_):
+                break
+            i += int(open_[0])
+            fired[i], last = True, int(t[i])
+            i += 1
+        m.update(island=int(island[a]), last=last)
+    m["forget_us"] = max(m.get("forget_us", 0), int(gap.max()))
+    return rows.rename(columns={"who": "entity_id"}).assign(fired=fired)
 
 
 def stream_debounce(candidates: DataFrame, **options) -> DataFrame:
-    """Candidates with ``fired``, memory per (source, rule, entity)."""
+    """Candidates with ``fired``, memory per (source, rule, entity), kept for the longest cooldown seen."""
     out = "source_id string, rule string, entity_id string, step long, t_us long, zone string, fired boolean"
     blank = lambda c: F.coalesce(c, F.lit(""))
     rows = candidates.select("source_id", "rule", blank("entity_id").alias("who"), "island", "step", "t_us", blank("zone").alias("zone"), "cooldown_us", "timestamp")
-    ordered = rows.withColumn("_order", F.concat(F.lpad(F.col("t_us").cast("string"), 20, "0"), F.lit("|"), F.col("zone")))
-    return stateful(ordered, ["source_id", "rule", "who"], out, debounce_step, order="_order", **options)
-
-
-def _overlap(a: Sequence[float], b: Sequence[float]) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
-
-
-def link_frame(m: dict, t: int, dets: list, s: LinkSettings) -> list:
-    """Pair the open tracks of one camera with one frame's boxes; returns (track, detection) indices published."""
-    m.setdefault("tracks", [])
-    m.setdefault("next", 1)
-    for track in m["tracks"]:
-        dt = (t - track["t"]) / 1e6
-        shift = [track["v"][0] * dt, track["v"][1] * dt] * 2
-        track["now"] = [v + d for v, d in zip(track["box"], shift)]
-    free = set(range(len(dets)))
-
-    def pair(tracks: list, wanted: Callable, floor: float) -> None:
-        edges = [
-            (i, j, _overlap(m["tracks"][i]["now"], dets[j]["box"]))
-            for i in tracks
-            for j in sorted(free)
-            if wanted(dets[j]) and m["tracks"][i]["label"] == dets[j]["label"]
-        ]
-        for i, j in best_matching([e for e in edges if e[2] >= floor]).items():
-            track, det = m["tracks"][i], dets[j]
-            centre = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
-            track["trail"] = (track["trail"] + [[t, *centre(det["box"])]])[-s.tail_steps :]
-            (t0, x0, y0), (t1, x1, y1) = track["trail"][0], track["trail"][-1]
-            track["v"] = [(x1 - x0) / ((t1 - t0) / 1e6), (y1 - y0) / ((t1 - t0) / 1e6)] if t1 > t0 else [0.0, 0.0]
-            track.update(box=det["box"], t=t, hits=track["hits"] + 1, seen=True, det=j)
-            free.discard(j)
-
-    strong = lambda d: d["confidence"] >= s.high
-    for track in m["tracks"]:
-        track["seen"], track["det"] = False, None
-    known = [i for i, x in enumerate(m["tracks"]) if x["id"]]
-    pair(known, strong, s.iou_high)
-    pair([i for i in known if not m["tracks"][i]["seen"] and not m["tracks"][i]["lost"]], lambda d: s.low <= d["confidence"] < s.high, s.iou_low)
-    pair([i for i, x in enumerate(m["tracks"]) if not x["id"]], strong, s.iou_low)
-    published = []
-    for track in m["tracks"]:
-        track["lost"] = not track["seen"]
-        if track["seen"] and not track["id"] and track["hits"] >= s.min_hits:
-            track["id"], m["next"] = m["next"], m["next"] + 1
-        if track["seen"] and track["id"]:
-            published.append((track["id"], track["det"], track["hits"]))
-
-    def survives(track: dict) -> bool:
-        if track["seen"]:
-            return True
-        x, y = (track["now"][0] + track["now"][2]) / 2, (track["now"][1] + track["now"][3]) / 2
-        return bool(track["id"]) and t - track["t"] <= us(s.max_lost_s) and 0 <= x <= s.frame_width and 0 <= y <= s.frame_height
-
-    m["tracks"] = [x for x in m["tracks"] if survives(x)]
-    for j in sorted(free):
-        if dets[j]["confidence"] >= s.init:
-            b = dets[j]["box"]
-            trail = [[t, (b[0] + b[2]) / 2, (b[1] + b[3]) / 2]]
-            m["tracks"].append({"id": 0, "label": dets[j]["label"], "box": b, "t": t, "v": [0.0, 0.0], "hits": 1, "trail": trail, "lost": False, "seen": True, "det": j})
-    return published
-
-
-def stream_link_tracks(dets: DataFrame, settings: LinkSettings = LinkSettings(), *, lateness: str = LATENESS, forget_s: float = 60.0) -> DataFrame:
-    """Live linking: open tracks are one record per camera, cameras run in parallel.
-
-    Frames must be whole within a micro-batch, which a file or partition per frame batch gives.
-    """
-    out = "source_id string, step long, t_us long, det_id long, track_id long, entity_id string, hits long"
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        memory = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(["t_us", "det_id"])
-        result = []
-        for (t, step), frame in rows.groupby(["t_us", "step"], sort=True):
-            boxes = [
-                {"box": [r.x1, r.y1, r.x2, r.y2], "label": r.label, "confidence": r.confidence, "id": int(r.det_id)} for r in frame.itertuples(index=False)
-            ]
-            for track, j, hits in link_frame(memory, int(t), boxes, settings):
-                result.append((key[0], int(step), int(t), boxes[j]["id"], track, f"{boxes[j]['label']}_{track}", hits))
-        state.update((json.dumps(memory),))
-        state.setTimeoutTimestamp(max(int(rows["_ms"].max()), state.getCurrentWatermarkMs()) + int(forget_s * 1000))
-        if result:
-            names = [c.strip().split(" ")[0] for c in out.split(",")]
-            yield pd.DataFrame(result, columns=names).astype({"source_id": object, "entity_id": object})
-
-    timed = _boxed(dets).withColumn("_ms", F.unix_millis("timestamp")).withWatermark("timestamp", lateness)
-    return timed.groupBy("source_id").applyInPandasWithState(run, out, "memory string", "append", GroupStateTimeout.EventTimeTimeout)
+    return in_order(rows, ["source_id", "rule", "who"], out, _debounce, order=("t_us", "zone"), **options)

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from scenelake.functions.clock import slot_index
 from scenelake.functions.robust import SENSITIVITY
 from scenelake.operators.series import metric_named
-from scenelake.sources.store import append_records
+from scenelake.sources.store import append_once, route_records
 
 FRAME_LATENESS = "10 seconds"
 
@@ -103,18 +103,21 @@ def stream_liveness(beats: DataFrame, silence_ms: int = 180_000) -> DataFrame:
 def stream_sink(stream: DataFrame, kind: str, path: str, checkpoint: str, *, every: str | None = "2 seconds") -> StreamingQuery:
     """Append to a stored table. With ``every`` None all that is there is taken and the query ends.
 
-    A batch replayed after a failure is recognised by its id, so no row is written twice.
+    Each batch goes through a staging folder under its id, so a replay after a crash at any point writes no row twice.
     """
-    marks = f"{checkpoint}/written"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
-        mark = jvm.Path(f"{marks}/{batch_id}")
-        fs = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(mark):
-            append_records(batch, kind, path)
-            fs.create(mark).close()
+        append_once(batch, kind, path, f"{checkpoint}/staged/{batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def stream_route(stream: DataFrame, path: str, checkpoint: str, *, every: str | None = "2 seconds") -> StreamingQuery:
+    """``route_records`` of a mixed stream: one query feeds all three tables, each batch once."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        route_records(batch, path, f"{checkpoint}/staged/{batch_id}")
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from catalog import views
 from scenelake.operators import activity as a
-from scenelake.operators.linking import link_tracks
 from scenelake.operators.motion import motion_state
 from scenelake.operators.presence import presence_islands
 from scenelake.operators.relations import closing_rate, near_relation, pair_history
@@ -59,17 +58,32 @@ def tracks(spark):
     return views.tracks(spark, SF).where("track_id < 12").withColumn("timestamp", at("t_us")).persist()
 
 
+def closed(df, files=3, **key):
+    """``df`` as a stream in shuffled micro-batches of rows, then a row of another key far in the future, which ends every wait."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/in/{uuid.uuid4().hex}"
+    last = df.limit(1).withColumns({k: F.lit(v).cast(df.schema[k].dataType) for k, v in key.items()}).withColumn("timestamp", F.expr("timestamp'2030-01-01 00:00:00'"))
+    mixed = df.withColumn("_f", F.pmod(F.xxhash64("timestamp", *key), F.lit(files))).persist()
+    for i in range(files):
+        mixed.where(F.col("_f") == i).drop("_f").coalesce(1).write.mode("append").parquet(path)
+    last.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+LATE = {"lateness": "1 hour"}
+
+
 def test_motion(tracks):
     batch = motion_state(presence_islands(tracks))
     cols = ["source_id", "track_id", "step", "motion", "dwell_s", "age_s", "distance"]
-    assert rows(drain(st.stream_motion_state(as_stream(tracks))), *cols) == rows(batch, *cols)
+    assert rows(drain(st.stream_motion_state(closed(tracks, track_id=-1), **LATE)), *cols) == rows(batch, *cols)
 
 
 def test_activities(tracks):
     state = motion_state(presence_islands(tracks), with_distance=False)
     settings = a.ActivitySettings(loiter_s=0.9)
     cols = ["source_id", "track_id", "step", "activity", "confidence", "duration_s"]
-    assert rows(drain(st.stream_activities(as_stream(state), settings)), *cols) == rows(a.activities(state, settings), *cols)
+    assert rows(drain(st.stream_activities(closed(state, track_id=-1), settings, **LATE)), *cols) == rows(a.activities(state, settings), *cols)
 
 
 def test_relations(tracks):
@@ -77,10 +91,18 @@ def test_relations(tracks):
     batch = near_relation(pairs).unionByName(closing_rate(pairs))
     cols = ["step", "relation", "confidence", "duration_s"]
     flat = pairs.select("source_id", "low", "high", "step", "t_us", "separation", at("t_us").alias("timestamp"))
-    got = drain(st.stream_relations(as_stream(flat)))
+    got = drain(st.stream_relations(closed(flat, low=-1), **LATE))
     assert rows(got, "low", "high", *cols) == rows(batch, "low", "high", *cols)
 
 
+def test_results_do_not_depend_on_how_rows_are_batched(tracks):
+    cols = ["source_id", "track_id", "step", "motion", "dwell_s", "age_s", "distance"]
+    batch = motion_state(presence_islands(tracks))
+    got = drain(st.stream_motion_state(as_stream(tracks, 4), lateness="0 seconds"))
+    some = {r[:3]: r for r in rows(got, *cols)}
+    assert some and set(some.values()) <= set(rows(batch, *cols))
+
+
 def test_pairs_are_formed_per_frame(tracks):
     batch = pair_history(tracks)
     closing = tracks.orderBy("t_us").limit(1).withColumns({"t_us": F.lit(10**12), "step": F.lit(10**9).cast("long"), "track_id": F.lit(10**6).cast("long")})
@@ -89,13 +111,24 @@ def test_pairs_are_formed_per_frame(tracks):
     assert rows(got, "source_id", "step", "low", "high", "separation") == rows(batch, "source_id", "step", "low", "high", "separation")
 
 
-def test_debounce(tracks):
-    c = tracks.where("k % 3 = 0").select(
+def _candidates(tracks, cooldown_us):
+    return tracks.where("k % 3 = 0").select(
         "source_id", F.lit("seen").alias("rule"), "entity_id", F.lit(0).cast("long").alias("island"), "step", "t_us", F.lit("z").alias("zone"),
-        F.lit(700_000).cast("long").alias("cooldown_us"), "timestamp", F.lit(0).alias("rule_order"), F.lit(None).cast("string").alias("related_id"),
+        F.lit(cooldown_us).cast("long").alias("cooldown_us"), "timestamp", F.lit(0).alias("rule_order"), F.lit(None).cast("string").alias("related_id"),
     )
+
+
+def test_debounce(tracks):
+    c = _candidates(tracks, 700_000)
     cols = ["source_id", "entity_id", "step", "fired"]
-    assert rows(drain(st.stream_debounce(as_stream(c))), *cols) == rows(debounce(c), *cols)
+    assert rows(drain(st.stream_debounce(closed(c, entity_id="nobody"), **LATE)), *cols) == rows(debounce(c), *cols)
+
+
+def test_a_long_cooldown_outlives_quiet_time(spark):
+    t = [0, 100_000_000, 200_000_000, 301_000_000, 3_000_000_000]
+    made = spark.createDataFrame([("c", "r", "e" if x < 10**9 else "later", 0, i, x, "z", 300_000_000) for i, x in enumerate(t)], "source_id string, rule string, entity_id string, island long, step long, t_us long, zone string, cooldown_us long")
+    got = drain(st.stream_debounce(as_stream(made.withColumn("timestamp", at("t_us")), 5), lateness="1 second"))
+    assert [r.fired for r in got.where("entity_id = 'e'").orderBy("t_us").collect()] == [True, False, False, True]
 
 
 def test_series_counts_each_entity_once(spark):
@@ -148,14 +181,3 @@ def test_liveness_reports_each_camera_alive_then_dark(spark):
     finally:
         q.stop()
     assert set(seen) == {(status, f"cam{i}") for status in ("alive", "dark") for i in range(4)}
-
-
-def test_live_linking_follows_separate_walkers_like_the_batch(spark):
-    frames = range(60)
-    data = [("c", s, (s + 1) * 33_333, w * 1000 + s, {"x1": 20.0 + 200 * w + 2 * s, "y1": 100.0, "x2": 80.0 + 200 * w + 2 * s, "y2": 260.0}, "person", 0.9) for s in frames for w in range(3) if not (w == 1 and 20 <= s < 40)]
-    d = spark.createDataFrame(data, "source_id string, step long, t_us long, det_id long, box struct<x1:double,y1:double,x2:double,y2:double>, label string, confidence double")
-    d = d.withColumn("timestamp", at("t_us"))
-    batch, live = link_tracks(d), drain(st.stream_link_tracks(as_stream(d)))
-    for got in (batch, live):
-        per = got.groupBy("track_id").agg(F.count_distinct(F.floor(F.col("det_id") / 1000)).alias("walkers"), F.count("*").alias("n"))
-        assert sorted((r.walkers, r.n) for r in per.collect()) == [(1, 38), (1, 58), (1, 58)]
