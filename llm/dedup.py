@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.bytehash import Hashes, mix
+from llm.graph import apart
 from llm.streams import groups
 from llm.suffixes import V, CoverRanks
 from scenelake.session import settle
@@ -158,8 +159,8 @@ def _sorted_flags(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, print and ``runs``: (start, end) bytes covered by strings of ``length`` bytes that also start elsewhere."""
     found = settle(_occurrences(docs, length))
-    again = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    met = settle(found.join(again, "gram"))
+    again = apart(found.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "gram")
+    met = settle(found.join(again.select("gram"), "gram"))
     extents = met.groupBy("gram", "extent").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "print", "at", "first", "last")).alias("one"))
     kinds = extents.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
     extents = settle(extents.join(kinds, "gram", "left"))

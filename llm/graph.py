@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from scenelake.session import settle
 
 
+def apart(grouped: DataFrame, key: str) -> DataFrame:
+    """An aggregate dealt anew by a hash of its key.
+
+    A join on the key then shuffles both sides for the join alone, and only such a shuffle is one that
+    adaptive execution may split where a key is hot.
+    """
+    return grouped.repartition(F.xxhash64(key))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with an edge to another; the component is its smallest node.
 
@@ -20,9 +29,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     last = print_of(now)
     while last[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = apart(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
         up = both.join(large, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = up.groupBy("u").agg(F.min("v").alias("m"))
+        small = apart(up.groupBy("u").agg(F.min("v").alias("m")), "u")
         down = up.join(small, "u")
         now = settle(down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct())
         after = print_of(now)
