@@ -44,13 +44,13 @@ def _stored(spark, d):
 
 
 def read_back(spark, d):
-    o = store.read_observations(spark, _stored(spark, d)).where("dt >= date'2024-01-10'")
+    o = store.read_observations(spark, _stored(spark, d))
     return o.groupBy("camera_id", "entity_type").agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("entities"), F.round(F.sum("speed"), 4).alias("speed"))
 
 
 Q["read_observations"] = (
     read_back,
-    v.sql("SELECT camera_id, entity_type, count(*) AS n, count(DISTINCT entity_id) AS entities, round(sum(speed), 4) AS speed FROM obs WHERE us >= 1704844800000000 GROUP BY camera_id, entity_type", "obs"),
+    v.sql("SELECT camera_id, entity_type, count(*) AS n, count(DISTINCT entity_id) AS entities, round(sum(speed), 4) AS speed FROM obs GROUP BY camera_id, entity_type", "obs"),
 )
 Q["read_events"] = (
     lambda spark, d: store.read_events(spark, _stored(spark, d)).select("id", "rule", "severity", "zone", F.col("evidence")["k"].alias("k")),
@@ -104,8 +104,8 @@ Q["prune"] = (
     ),
 )
 Q["store_counts"] = (
-    lambda spark, d: store.store_counts(v.observations(spark, d), v.alerts(spark, d).where("severity <> 'info'")),
-    v.sql("SELECT (SELECT count(*) FROM alerts WHERE severity <> 'info') AS events, count(*) AS observations, CAST(floor((max(us) - min(us)) / 1e6) AS BIGINT) AS span_s FROM obs", "obs", "alerts"),
+    lambda spark, d: store.store_counts(v.observations(spark, d), v.alerts(spark, d)),
+    v.sql("SELECT (SELECT count(*) FROM alerts) AS events, count(*) AS observations, CAST(floor((max(us) - min(us)) / 1e6) AS BIGINT) AS span_s FROM obs", "obs", "alerts"),
 )
 
 

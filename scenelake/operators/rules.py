@@ -252,8 +252,15 @@ def rule_candidates(
     visits: DataFrame | None = None,
     edges: DataFrame | None = None,
 ) -> DataFrame:
-    """Every rule's candidates, one pass per rule type. No rules means the defaults."""
+    """Every rule's candidates, one pass per rule type. No rules means the defaults.
+
+    Rules of one label share their memory of what fired, so they must agree on the cooldown.
+    """
     numbered = list(enumerate(rules or DEFAULT_RULES))
+    cooldowns: dict[str, float] = {}
+    for _, rule in numbered:
+        if cooldowns.setdefault(rule.label, rule.cooldown_s) != rule.cooldown_s:
+            raise ValueError(f"rules labelled {rule.label!r} differ in cooldown: give them names of their own")
 
     def of(*types: str) -> list[tuple[int, RuleSpec]]:
         return [(i, r) for i, r in numbered if r.type in types]

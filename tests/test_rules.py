@@ -54,3 +54,9 @@ def test_bad_rules_are_refused():
         with pytest.raises(ValueError):
             RuleSpec(**bad)
     assert RuleSpec("zone_entry", zones=("a", "b")).label == "zone_entry:a+b"
+
+
+def test_rules_of_one_label_must_agree_on_the_cooldown(spark):
+    rows = spark.createDataFrame([], "source_id string")
+    with pytest.raises(ValueError, match="cooldown"):
+        evaluate_rules([RuleSpec(type="activity", activity="running", cooldown_s=10.0), RuleSpec(type="activity", activity="running", cooldown_s=2.0)], activities=rows)
