@@ -32,6 +32,7 @@ CELLS = 1 << 17
 FAN = 8
 SMALL = 8
 DENSITY = 4
+DENSE = 256
 CENTERS = 2
 PAIR_CHUNK = 1 << 17
 SHARE = 256
@@ -52,8 +53,8 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
 
 
 def signature(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of at least ``DENSITY`` bits per token, a power of two of 64-bit words."""
-    bits = max(64, 1 << int(DENSITY * len(tokens) - 1).bit_length())
+    """A bitmap of at least one bit per token, ``DENSITY`` bits for small sets; a power of two of 64-bit words."""
+    bits = max(64, 1 << int(max(len(tokens), DENSITY * min(len(tokens), DENSE)) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -215,15 +216,20 @@ def _small_cells(spans: list[tuple[int, int]], own, cls, comp, n, sig: pa.Array,
     return pair[np.array(ok, bool)]
 
 
-def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that meet in a bucket and may reach ``percent``."""
+def _tree_pairs(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes of different components that meet in a bucket and may reach ``percent``.
+
+    Sizes of linked sets lie in one band or in neighbouring ones, so a row goes to the cells of its own
+    band and of the next. Bitmaps join only rows of cells that hold two components.
+    """
     step = float(np.log(100 / percent)) if percent < 100 else 1.0
     band = F.floor(F.ln("n") / F.lit(step) + F.lit(1e-9)).cast("int")
     banded = rows.withColumn("band", band).withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
     cell = F.xxhash64("token", "at").alias("cell")
     inside = Window.partitionBy("cell")
-    met = banded.select(cell, (F.col("at") == F.col("band")).alias("own"), "class", "component", "n", "sig")
-    met = met.withColumn("_lo", F.min("component").over(inside)).withColumn("_hi", F.max("component").over(inside)).where("_lo <> _hi").drop("_lo", "_hi")
+    met = banded.select(cell, (F.col("at") == F.col("band")).alias("own"), "class", "component", "n")
+    mixed = (F.min("component").over(inside) != F.max("component").over(inside)) & F.max("own").over(inside)
+    met = met.withColumn("_mixed", mixed).where("_mixed").drop("_mixed").join(sigs, "class")
     met = met.repartition("cell").sortWithinPartitions("cell", "n", "class")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +286,7 @@ def _placed(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
 
     placed = buckets.select("token", "class", "n").join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = placed.withColumn("_lo", F.min("component").over(token)).withColumn("_hi", F.max("component").over(token)).where("_lo <> _hi").drop("_lo", "_hi")
-    more = settle(_tree_pairs(mixed.join(sigs.select("class", "sig"), "class"), percent).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = settle(_tree_pairs(mixed, sigs.select("class", "sig"), percent).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     links = links.unionByName(_verified(more, classes, source, width, percent))
     final = components(links)
 
