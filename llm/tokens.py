@@ -49,9 +49,22 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _word_ids(tok, word: bytes) -> bytes:
+@cache
+def _added(path: str) -> tuple[re.Pattern | None, bool]:
+    """What finds the tokenizer's added tokens in lower-cased bytes, and whether words can be encoded alone.
+
+    They cannot where an added token holds white space, reaches over its ends or is looked for in
+    normalised text.
+    """
+    added = _tokenizer(path).get_added_tokens_decoder().values()
+    alone = not any(t.normalized or t.single_word or t.lstrip or t.rstrip or len(t.content.split()) != 1 for t in added)
+    literals = [re.escape(t.content.encode().lower()) for t in added]
+    return re.compile(b"|".join(literals)) if literals else None, alone
+
+
+def _word_ids(tok, word: bytes, literal: re.Pattern | None) -> bytes:
     """Ids of one white-space-free word. Plain ASCII splits into runs whose ids are remembered too."""
-    if not word.isascii() or b"'" in word:
+    if not word.isascii() or b"'" in word or literal and literal.search(word.lower()):
         return np.array(tok.encode(word.decode(), add_special_tokens=False).ids, "<u2").tobytes()
     out = []
     for piece in _PLAIN.findall(word):
@@ -66,11 +79,20 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
     """The ids of each whole text as packed 16-bit integers, without an end id.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in
-    turn; words are encoded once and remembered, up to ``CACHED_WORDS`` in a worker.
+    turn; words are encoded once and remembered, up to ``CACHED_WORDS`` in a worker. Added tokens are
+    literals of one case: words that hold one in any case keep theirs.
     """
     tok, out = _tokenizer(path), []
+    literal, alone = _added(path)
     for text in texts:
-        words = (text or "").encode().lower().split()
+        if not alone:
+            out.append(np.array(tok.encode(text or "", add_special_tokens=False).ids, "<u2").tobytes())
+            continue
+        raw = (text or "").encode()
+        low = raw.lower()
+        words = low.split()
+        if literal and literal.search(low):
+            words = [w if literal.search(lower) else lower for w, lower in zip(raw.split(), words, strict=True)]
         try:
             out.append(b"".join(map(_words.__getitem__, words)))
         except KeyError:
@@ -79,7 +101,7 @@ def encode(texts: list[str | None], path: str) -> list[bytes]:
                 _pieces.clear()
             for w in words:
                 if w not in _words:
-                    _words[w] = _word_ids(tok, w)
+                    _words[w] = _word_ids(tok, w, literal)
             out.append(b"".join(map(_words.__getitem__, words)))
     return out
 

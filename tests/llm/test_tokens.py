@@ -22,6 +22,23 @@ def test_words_encode_as_whole_texts_do(text):
     assert np.frombuffer(tokens.encode([text], PATH)[0], "<u2").tolist() == _plain(text)
 
 
+_LITERALS = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|endoftext", "|>", "<|"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*_LITERALS, " ", "\n", "x", "Y", "é", "É", "\u0301", "'s", "don't", "7", "\u212a"]), max_size=12))
+def test_added_tokens_are_those_of_whole_texts(parts):
+    text = "".join(parts)
+    assert np.frombuffer(tokens.encode([text], PATH)[0], "<u2").tolist() == _plain(text)
+
+
+def test_added_tokens_glued_spaced_and_in_upper_case():
+    texts_ = [f"{a}{x}{b}" for x in _LITERALS[:4] for a in ("", "x", "x ", "é", "don't") for b in ("", "y", " Y", "é", "'s")]
+    for text, ids in zip(texts_ * 2, tokens.encode(texts_ * 2, PATH), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == _plain(text)
+    assert np.frombuffer(tokens.encode(["x<|startoftext|>y"], PATH)[0], "<u2").tolist() == [343, 49406, 344]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 10**6))
 def test_perfect_hash_is_minimal_and_refuses_strangers(n, seed):
