@@ -4,6 +4,8 @@ A test item of m characters may lie in a document with up to k = floor(max_error
 k + 1 pieces, at least one piece then occurs unchanged. All pieces of a block of items are looked for
 at once (Aho-Corasick); around each piece found, Myers' bit-parallel recurrence gives the item's
 distance to the best place of the text. Nothing is shuffled: documents stream past each block.
+
+An item too short for an edit is looked for as it stands, and only at word borders.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from llm.rows import packed, unpacked
 
 MAX_ERROR = 0.05
-MIN_WORDS = 5
+MIN_WORDS = 1
 BLOCK_CHARS = 2_000_000
 
 
@@ -28,6 +30,16 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
+def _joined(a: str, b: str) -> bool:
+    """Whether two neighbours are inside one word, as far as their scripts put blanks between words."""
+    return all(c.isalnum() and (c < "\u0e00" or "\u1e00" <= c < "\u2000") for c in (a, b))
+
+
+def at_borders(text: str, start: int, end: int) -> bool:
+    """Whether ``text[start:end]`` cuts no word of ``text``."""
+    return not (start > 0 and _joined(text[start - 1], text[start])) and not (end < len(text) and _joined(text[end - 1], text[end]))
+
+
 def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     """``budget + 1`` pieces of near-equal length with their offsets."""
     cut = [i * len(item) // (budget + 1) for i in range(budget + 2)]
@@ -78,19 +90,24 @@ class Matcher:
     def find(self, text: str) -> list[tuple]:
         """(id, distance, start, end) of every item within its budget, at its best place; start is the piece's estimate."""
         spans: dict[int, list[list[int]]] = defaultdict(list)
+        exact: dict[int, tuple[int, int]] = {}
         if not len(self.pieces):
             return []
         for last, (size, where) in self.pieces.iter(text):
             for n, offset in where:
                 _, item, budget, _ = self.items[n]
                 start = last + 1 - size - offset
+                if budget == 0:
+                    if n not in exact and at_borders(text, start, last + 1):
+                        exact[n] = (start, last + 1)
+                    continue
                 low, high = max(0, start - budget), start + len(item) + budget
                 known = spans[n]
                 if known and low <= known[-1][1]:
                     known[-1][0], known[-1][1] = min(known[-1][0], low), max(known[-1][1], high)
                 else:
                     known.append([low, high])
-        out = []
+        out = [(self.items[n][0], 0, start, end) for n, (start, end) in sorted(exact.items())]
         for n, regions in sorted(spans.items()):
             key, item, budget, mask = self.items[n]
             best = None
@@ -115,7 +132,7 @@ def _hits(
     out = packed(docs, text=F.col(text), hits=F.array().cast(hit_type))
     for block in range(blocks):
         rows = sorted(((normal(r["text"]), r["id"]) for r in known.where(F.col("block") == block).collect()), key=lambda x: (x[0], str(x[1])))
-        part = [(key, t, int(max_error * len(t))) for t, key in rows if len(t.split()) >= min_words]
+        part = [(key, t, int(max_error * len(t))) for t, key in rows if len(t.split()) >= max(1, min_words)]
 
         def scan(batches: Iterator[pa.RecordBatch], part: list[tuple] = part) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(part)
@@ -135,9 +152,10 @@ def find_items(docs: DataFrame, items: DataFrame, *, hits: str = "hits", **optio
     """``docs`` with ``hits``: one struct (item_id, distance, start, end) per test item that the text holds.
 
     Positions are code points of the normalised text, end exclusive. Items (``item_id``, ``item_text``) are compared in blocks of about
-    ``block_chars`` characters, each sent to the workers for one pass over the documents. Items of fewer
-    than ``min_words`` words are ordinary phrases and are not tested; null texts and null items match
-    nothing; equal items each get their own hit; an empty table of either kind gives empty hits; ``hits``
+    ``block_chars`` characters, each sent to the workers for one pass over the documents. Every item with
+    a word is tested; one whose budget is 0 (under 20 characters at 5 %) is matched exactly and where it cuts
+    no word of a script with blanks. A caller may hold items under ``min_words`` words to be ordinary phrases.
+    Null texts, null and blank items match nothing; equal items each get their own hit; an empty table of either kind gives empty hits; ``hits``
     replaces a column of its name.
     """
     return unpacked(_hits(docs, items, **options), docs.columns, **{hits: F.col("hits")})

@@ -44,3 +44,15 @@ def test_tables(spark):
         assert out[2, rows[1][1]] == out[3, None] == out[4, ""] == []
     assert sorted(r["hits"] for r in dc.decontaminate(docs, items).collect()) == ["b", "c", "d"]
     assert dc.decontaminate(docs.limit(0), items).count() == 0 and dc.decontaminate(docs, items.limit(0)).count() == 7
+
+
+def test_short_items_and_items_without_blanks_are_found(spark):
+    chinese = "".join(chr(0x4E00 + (i * i * 37 + i * 11) % 5000) for i in range(300))
+    items = spark.createDataFrame([(1, "Who wrote Emma?"), (2, chinese), (3, "cat"), (4, "光合作用"), (5, "an uncommonlylongword with moreletters"), (6, " "), (7, "")], "item_id long, text string")
+    wrong = chinese[:150] + "x" + chinese[151:]
+    rows = [(1, "He asked: who  wrote\nEMMA? Nobody knew."), (2, "问" + wrong + "答"), (3, "concatenate cats scat"), (4, "cats, (Cat)"), (5, "什么是光合作用呢"), (6, "an uncomonlylongword with moreletters"), (7, " "), (8, texts.prose(80, 5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chars in (10, 2_000_000):
+        out = {r["doc_id"]: [(h["item_id"], h["distance"]) for h in r["hits"]] for r in dc.find_items(docs, items, block_chars=chars).collect()}
+        assert out == {1: [(1, 0)], 2: [(2, 1)], 3: [], 4: [(3, 0)], 5: [(4, 0)], 6: [(5, 1)], 7: [], 8: []}
+    assert {r["doc_id"] for r in dc.decontaminate(docs, items).collect()} == {3, 7, 8}
