@@ -1,7 +1,8 @@
 """Personal data: fixed patterns with checks, and bootstrapped extraction by context, in DataFrame expressions only.
 
 Seeds are the entities the fixed patterns find. The words before and after them are lexical patterns; a
-graph joins patterns to the instances they stand at, both the seeds and other identifier-like words.
+graph joins patterns to the instances they stand at, both the seeds and other identifier-like words
+and runs of digit groups.
 Rounds score patterns by how much of what they stand at is known, and instances by their patterns;
 what passes the bar in a round counts as known in the next. Accepted instances add spans.
 """
@@ -32,6 +33,9 @@ _WORTH = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{1}[\x20-]?[0-9]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 # A word with a digit or an at sign, from its first character on.
 _IDENTIFIER = r"(?<![^\x20\x09-\x0D])[^0-9@\x20\x09-\x0D]*+[0-9@][^\x20\x09-\x0D]*+"
+# Digit groups, bare or in parentheses, that single blanks, dots, hyphens or the parentheses join; no group goes on as a word.
+_GROUP = r"(?:\([0-9]++\)|[0-9]++)(?![^\x20\x09-\x0D\"'()\[\]{}<>,;:!?.-])"
+_GROUPS = rf"(?<![^\x20\x09-\x0D\"'(\[{{<,;:!?])\+?+{_GROUP}(?:[\x20.-]?+{_GROUP})++"
 _EDGE = "\"'()[]{}<>,;:!?."
 
 
@@ -101,20 +105,26 @@ def bootstrap(seeds: DataFrame, others: DataFrame, rounds: int = ROUNDS) -> Data
 def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, ``base`` and ``spans`` of every row: arrays of (start, order, end, kind), code points, end exclusive, ascending.
 
-    ``spans`` holds the base spans and those of accepted instances that overlap none. Null texts are empty, a
+    ``spans`` holds the base spans and those of accepted instances that overlap none; a word in an accepted run
+    of digit groups is part of the run. Null texts are empty, a
     null id is a row like any other, equal rows get equal spans, other columns are ignored, an empty table gives no rows.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
     base = settle(base_entities(source).select("doc_id", "print", "kind", "found", "start", "end", "left", "right"))
-    words = _matches(source, {"word": _IDENTIFIER}, {"word": r"[0-9@]"})
-    lead = F.length("found") - F.length(F.ltrim("found", F.lit(_EDGE)))
-    bare = F.trim("found", F.lit(_EDGE))
-    words = words.select("doc_id", "print", (F.col("start") + lead).alias("start"), bare.alias("instance"), "left", "right").withColumn("end", F.col("start") + F.length("instance")).where(F.length("instance") >= 5)
+    words = _matches(source, {"word": _IDENTIFIER, "run": _GROUPS}, {"word": r"[0-9@]", "run": r"[0-9]\)?[\x20]\(?[0-9]"})
+    is_run = F.col("kind") == "run"
+    words = words.where(~is_run | F.col("found").contains(" "))  # a run without blanks is a word
+    bare = F.when(is_run, F.col("found")).otherwise(F.trim("found", F.lit(_EDGE)))
+    lead = F.when(is_run, 0).otherwise(F.length("found") - F.length(F.ltrim("found", F.lit(_EDGE))))
+    words = words.select("doc_id", "print", is_run.alias("is_run"), (F.col("start") + lead).alias("start"), bare.alias("instance"), "left", "right").withColumn("end", F.col("start") + F.length("instance")).where(F.length("instance") >= 5)
     a, b = words.alias("a"), base.alias("b")
     taken = (F.col("b.start") < F.col("a.end")) & (F.col("a.start") < F.col("b.end"))
     candidates = settle(a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.print") == F.col("b.print")) & taken, "left_anti"))
     known = bootstrap(base.select(F.col("found").alias("instance"), "kind", "left", "right"), candidates.select("instance", "left", "right"), rounds)
-    added = candidates.join(known, "instance").select("doc_id", "print", "kind", "start", "end", F.lit(False).alias("is_base"))
+    added = settle(candidates.join(known, "instance").select("doc_id", "print", "kind", "start", "end", "is_run"))
+    a, b = added.where("not is_run").alias("a"), added.where("is_run").alias("b")
+    parts = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.print") == F.col("b.print")) & taken, "left_anti")
+    added = added.where("is_run").unionByName(parts).select("doc_id", "print", "kind", "start", "end", F.lit(False).alias("is_base"))
     every = base.select("doc_id", "print", "kind", "start", "end", F.lit(True).alias("is_base")).unionByName(added)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     packed = every.withColumn("s", F.struct("start", order.alias("order"), "end", "kind"))

@@ -53,3 +53,19 @@ def test_contexts_of_seeds_find_new_identifiers(spark):
 
 def test_empty_table(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_runs_of_digit_groups_are_candidates(spark):
+    forms = ["212 555 0100", "(212) 555-0100", "1234 5678 9012", "212 (555) 0101", "212.555 0100", "1 2 34", "555-0199"]
+    rows = [(i, f"you can ring number +1 212 555 {1000 + i} anytime in the week") for i in range(30)]
+    rows += [(100 + i, f"you can ring number {f} anytime in the week") for i, f in enumerate(forms)]
+    rows += [(200, "they had 12 34 56 sheep"), (201, "you can ring number 212 555 0100x anytime in the week"), (202, "you can ring number 1 2 anytime in the week")]
+    out = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[100 + i] for i in range(len(forms))] == [[("phone", 20, 20 + len(f))] for f in forms]
+    assert out[200] == out[202] == []
+    assert all(len(out[i]) == 1 for i in range(30))
+
+
+def test_long_runs_of_digit_groups(spark):
+    rows = [(1, "12 " * 20000 + "x"), (2, "(1) " * 20000), (3, "1-" * 20000 + " 2")]
+    assert all(r["spans"] == [] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect())
