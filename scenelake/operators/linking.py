@@ -73,18 +73,25 @@ def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: list
 
 
 def _links(dets: DataFrame, s: LinkSettings) -> DataFrame:
-    """Each box's predecessor: strong boxes choose first, what is left over goes to weak ones."""
+    """Each box's predecessor: strong boxes choose first, what is left over goes to weak ones.
+
+    A band's rounds end when no pair is open. The best open pair of a frame is mutual, so each round
+    adds one at least; the rounds are the longest run of boxes that wait for one another.
+    """
     pairs = settle(association_candidates(dets, s))
     later, earlier = ["source_id", "step", "det_id"], ["source_id", "step", "prev_id"]
     score = [F.desc("iou"), F.asc("prev_id"), F.asc("det_id")]
     chosen = None
-    for band in ("high", "high", "low"):
+    for band in ("high", "low"):
         open_ = pairs.where(F.col("band") == band)
-        if chosen is not None:
-            open_ = open_.join(chosen.select(*later), later, "left_anti").join(chosen.select(*earlier), earlier, "left_anti")
-        best = mutual_best(open_, earlier, later, score).select(*later, "prev_id")
-        chosen = settle(best if chosen is None else chosen.unionByName(best))
-    return chosen
+        while True:
+            if chosen is not None:
+                open_ = settle(open_.join(chosen.select(*later), later, "left_anti").join(chosen.select(*earlier), earlier, "left_anti"))
+            if open_.isEmpty():
+                break
+            best = mutual_best(open_, earlier, later, score).select(*later, "prev_id")
+            chosen = settle(best if chosen is None else chosen.unionByName(best))
+    return pairs.select(*later, "prev_id") if chosen is None else chosen
 
 
 def chain_heads(nodes: DataFrame, key: list[str], parent: list[str]) -> DataFrame:
