@@ -141,8 +141,11 @@ def _filled(counted: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
     )
 
 
-def bucket_parts(df: DataFrame, metric: Metric, parts: Sequence[tuple[str, Grid]], keys: Sequence[str]) -> DataFrame:
-    """Several grids in one scan and one aggregation; column ``part`` tells them apart."""
+def bucket_parts(df: DataFrame, metric: Metric, parts: Sequence[tuple[str, Grid]], keys: Sequence[str], calendar: DataFrame | None = None) -> DataFrame:
+    """Several grids in one scan and one aggregation; column ``part`` tells them apart.
+
+    Keys of ``calendar`` have all their buckets even without a row; rows and keys with a null are left out.
+    """
     ts, epoch = F.col("timestamp"), epoch_s(F.col("timestamp"))
     within, base, position = None, 0, []
     for _, grid in parts:
@@ -161,6 +164,9 @@ def bucket_parts(df: DataFrame, metric: Metric, parts: Sequence[tuple[str, Grid]
     counted = rows.groupBy(*keys, "_pos").agg(
         F.coalesce(metric.value().cast("double"), F.lit(0.0)).alias("value"), F.count(F.lit(1)).alias("samples")
     )
+    if keys and calendar is not None:
+        zero = calendar.select(*keys).dropna().distinct().withColumns({"_pos": F.lit(0).cast("long"), "value": F.lit(0.0), "samples": F.lit(0).cast("long")})
+        counted = counted.unionByName(zero).groupBy(*keys, "_pos").agg(F.sum("value").alias("value"), F.sum("samples").alias("samples"))
     full = _filled(counted, keys, base)
     part, bucket, start, offset = None, None, None, 0
     for name, grid in parts:
@@ -195,11 +201,15 @@ def bucket_series(
     entity_type: str | None = None,
     zone: str | None = None,
     origin: float | None = None,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
-    """One metric in contiguous buckets over ``[since, until)`` snapped outward (epoch seconds)."""
+    """One metric in contiguous buckets over ``[since, until)`` snapped outward (epoch seconds).
+
+    ``calendar`` lists keys that have a series even without a row, as the cameras of the heartbeats.
+    """
     m = metric_named(metric)
     grid = grid_for(df, since, until, interval_s, origin)
-    return bucket_parts(restricted(df, m, camera, entity_type, zone), m, [("window", grid)], keys).drop("part")
+    return bucket_parts(restricted(df, m, camera, entity_type, zone), m, [("window", grid)], keys, calendar).drop("part")
 
 
 def series_rollup(df: DataFrame, dims: Sequence[str], metric: str = "entities", *, since: float, until: float, interval_s: float = HOUR) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,10 +64,15 @@ def analyse(
         if s.training_span_s <= 0:
             raise ValueError("learning from history needs a training span greater than zero")
         parts.insert(0, ("training", grid_for(df, since - s.training_span_s, since, s.interval_s)))
-    series = bucket_parts(restricted(df, m, camera, entity_type, zone), m, parts, keys)
+    beats = heartbeats
+    if beats is not None and camera is not None:
+        beats = beats.where(F.col("camera_id") == camera)
+    calendar = None
+    if s.infer_zeros and beats is not None and list(keys) == ["camera_id"]:
+        calendar = beats.where(reduce(or_, [grid.holds(F.col("timestamp")) for _, grid in parts]))
+    series = bucket_parts(restricted(df, m, camera, entity_type, zone), m, parts, keys, calendar)
     if s.infer_zeros:
-        if heartbeats is not None:
-            beats = heartbeats if camera is None else heartbeats.where(F.col("camera_id") == camera)
+        if beats is not None:
             halves = [mark_alive(series.where(F.col("part") == name), beats, grid, keys) for name, grid in parts]
             series = halves[0] if len(halves) == 1 else halves[0].unionByName(halves[1])
         series = mark_observed_zeros(series, keys, s.zero_reach)
