@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import chat, decontaminate, dedup, hmm, jaccard, mixing, pii, quality, sharding, tokens
+from llm import bpe, chat, decontaminate, dedup, hmm, jaccard, mixing, periods, pii, quality, sharding, tokens, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,47 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
+    return bpe.decode_ids(ids, ranks, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    n, explained, error = (model.n, model.explained, whitening.identity_error(rows.select("x"), model)) if model else (0, [0.0], 0.0)
+    long = rows.select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("k", "whitened"))
+    return long.select(
+        "vec_id", (F.col("k") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get(F.lit(explained).cast("array<double>"), F.col("k")).alias("explained"), F.lit(error).alias("identity_error")
+    )
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where one document in ten goes on with a stretch of its own words from some word on."""
+    blank_free = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    cut = hashed.select("doc_id", "text", F.floor(F.col("h") / 10).alias("g"), F.when(F.col("h") % 10 == 0, blank_free).alias("words"))
+    placed = cut.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    sized = placed.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    block = F.slice("words", F.col("a") + 1, F.col("p"))
+    rest = F.slice(F.flatten(F.array_repeat(block, F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int"))), F.lit(1), F.col("n") - F.col("a"))
+    return sized.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), rest), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periods.periodic_runs(repeating(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"),
+        F.floor(1000 * F.col("b.length") / -F.col("b.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 Q = {
     "op1_repeats": (op1_repeats, None),
     "op2_score": (op2_score, None),
@@ -97,4 +138,7 @@ Q = {
     "op8_mix": (op8_mix, mixing.MIX_SQL),
     "op9_shards": (op9_shards, None),
     "op10_quality": (op10_quality, None),
+    "op11_bpe": (op11_bpe, None),
+    "op12_whiten": (op12_whiten, None),
+    "op13_runs": (op13_runs, None),
 }
