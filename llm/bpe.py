@@ -29,10 +29,10 @@ from pyspark.sql import types as T
 
 LEAF_CHARS = 8192
 LEAF_IDS = 4096
-MEMO_MATCHES = 150_000
+MEMO_MATCHES = 100_000
 MEMO_CHARS = 64
 SHORT_BYTES = 9
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
 
 Part = tuple[list[str], list[bytes]]  # matches of a text, and the ids of each as packed 32-bit integers
 
@@ -165,7 +165,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
     """The rows in runs whose ``column`` holds some ``BATCH_BYTES``, or one row that is larger."""
     for batch in batches:
         kept = batch.column(column)
-        sizes = pc.fill_null(pc.binary_length(kept) if pa.types.is_string(kept.type) else pc.list_value_length(kept), 0)
+        sizes = pc.fill_null(pc.binary_length(kept) if pa.types.is_string(kept.type) else pc.multiply(pc.list_value_length(kept), 4), 0)
         at = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
         for first, end in pairwise(cuts):
@@ -205,6 +205,6 @@ def decode_ids(docs: DataFrame, ranks: str, pattern: str, ids: str = "ids", out:
 
     def make(arrays: pa.Array) -> pa.Array:
         own = coder(ranks, pattern)
-        return pa.array([own.decode(a or ()) for a in arrays.to_pylist()], pa.binary())
+        return pa.array([own.decode(a.values.to_pylist() if a.is_valid else ()) for a in arrays], pa.binary())
 
     return _mapped(docs, ids, out, T.BinaryType(), make)
