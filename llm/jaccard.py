@@ -1,16 +1,19 @@
-"""Exact n-gram Jaccard join, by prefix buckets and signature trees.
+"""Exact n-gram Jaccard join by signature trees.
 
 1. Documents with equal shingle sets form a class. A fixed order of all shingles puts frequent ones
    last; two sets of Jaccard similarity >= t share one of their first ``n - ceil(t n) + 1`` shingles
-   whatever the order, so classes meet in the buckets of these prefixes.
-   Buckets of the same members are kept once.
-2. A bucket's center is the member that meets most others; a member is tested against the best centers
-   of its buckets. What links is joined into components, which turns groups of near copies, whose
-   center is the least edited copy, into one component without testing their pairs.
-3. Buckets that still hold two components go through a signature tree: leaves are token bitmaps, a
-   node holds the OR of its children, its range of set sizes and its least bit count. A dual traversal
-   drops node pairs whose largest possible overlap is below what the sizes ask for. Surviving pairs
-   of different components are tested on the whole sets. No pair is dropped unseen.
+   whatever the order, so classes meet in the buckets of these prefixes. Buckets of the same members
+   are kept once.
+2. A bucket is walked by a signature tree: leaves are token bitmaps, a node holds the OR of its
+   children, its range of set sizes, its least bit count and its range of components. A dual traversal
+   drops node pairs whose largest possible overlap is below what the sizes ask for, and those within
+   one component. A surviving pair is tested on the whole sets unless it is joined already, so a walk
+   hands on a spanning forest of true links and never a pair of candidates.
+3. First walk: every class in its largest bucket alone, in blocks that all hold the bucket's best
+   connected member. That joins groups of near copies, however large, in one pass over their rows.
+4. Second walk: every bucket that still holds two components. One of more than ``BLOCK`` members is dealt
+   into blocks by size; each pair of blocks whose sizes can link and that hold two components is a task of
+   its own. Both walks together lose no pair of components that some link joins.
 """
 
 from __future__ import annotations
@@ -19,23 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.bytehash import mix, shingles
-from llm.graph import components
+from llm.graph import apart, components
+from llm.quality import among
 from llm.rows import packed, unpacked
 from llm.streams import groups, runs
 from scenelake.session import settle
 
 CELLS = 1 << 17
 FAN = 8
-SMALL = 8
-DENSITY = 4
-DENSE = 256
-CENTERS = 2
-PAIR_CHUNK = 1 << 17
-SHARE = 256
+DENSITY = 16
+BITMAP_CELLS = 1 << 26
+BLOCK = 256
+PAIR_CHUNK = 1 << 15
 
 
 def _need(a, b, percent: int):
@@ -52,9 +54,9 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of at least one bit per token, ``DENSITY`` bits for small sets; a power of two of 64-bit words."""
-    bits = max(64, 1 << int(max(len(tokens), DENSITY * min(len(tokens), DENSE)) - 1).bit_length())
+def signature(tokens: np.ndarray, bits: int = 0) -> np.ndarray:
+    """A bitmap with a bit per token, ``DENSITY`` places a token unless ``bits`` says how many; a power of two of 64-bit words."""
+    bits = max(64, bits or 1 << int(DENSITY * len(tokens) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -68,34 +70,45 @@ def _fold(sig: np.ndarray, words: int) -> np.ndarray:
 
 
 class SignatureTree:
-    """Leaves in the given order; level k + 1 has one node for each ``FAN`` nodes of level k."""
+    """Leaves in the given order; level k + 1 has one node for each ``FAN`` nodes of level k.
 
-    def __init__(self, sigs: list[np.ndarray], sizes: np.ndarray):
+    ``component`` numbers what is joined already and ``side`` the block a leaf is from; without them every leaf
+    is alone, on one side.
+    """
+
+    def __init__(self, sigs: list[np.ndarray], sizes: np.ndarray, component: np.ndarray | None = None, side: np.ndarray | None = None):
         words = min(map(len, sigs))
         bits = np.stack([_fold(s, words) for s in sigs])
         count = np.bitwise_count(bits).sum(1).astype(np.int64)
-        self.levels = [(bits, sizes, sizes, count)]
+        component = np.arange(len(sigs)) if component is None else component
+        side = np.zeros(len(sigs), np.int64) if side is None else side
+        self.two = bool(side.min() != side.max())
+        ranges = np.stack([sizes, component, side])
+        self.levels = [(bits, count, ranges, ranges)]
         while len(bits) > FAN:
             cut = np.arange(0, len(bits), FAN)
-            low, high = np.minimum.reduceat(self.levels[-1][1], cut), np.maximum.reduceat(self.levels[-1][2], cut)
+            _, _, low, high = self.levels[-1]
             bits, count = np.bitwise_or.reduceat(bits, cut, axis=0), np.minimum.reduceat(count, cut)
-            self.levels.append((bits, low, high, count))
+            self.levels.append((bits, count, np.minimum.reduceat(low, cut, axis=1), np.maximum.reduceat(high, cut, axis=1)))
 
     def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Chunks of leaf pairs i < j that may reach ``percent``."""
+        """Chunks of leaf pairs i < j of different components (and sides, if there are two) that may reach ``percent``."""
         top = len(self.levels) - 1
-        n = len(self.levels[top][0])
-        i, j = np.triu_indices(n)
-        work = [(top, i, j)]
+        work = [(top, *np.triu_indices(len(self.levels[top][0])))]
         while work:
             level, i, j = work.pop()
             if len(i) > PAIR_CHUNK:
                 work += [(level, i[k : k + PAIR_CHUNK], j[k : k + PAIR_CHUNK]) for k in range(0, len(i), PAIR_CHUNK)]
                 continue
-            bits, low, high, count = self.levels[level]
+            bits, count, low, high = self.levels[level]
+            apart_ = ~((low[1, i] == high[1, j]) & (high[1, i] == low[1, j]))
+            if self.two:
+                apart_ &= ~((low[2, i] == high[2, j]) & (high[2, i] == low[2, j]))
+            size_ok = (100 * high[0, i] >= percent * low[0, j]) & (100 * high[0, j] >= percent * low[0, i])
+            i, j = i[apart_ & size_ok], j[apart_ & size_ok]
             both = np.bitwise_count(bits[i] & bits[j]).sum(1).astype(np.int64)
-            most = np.minimum(high[i] - np.maximum(0, count[i] - both), high[j] - np.maximum(0, count[j] - both))
-            ok = (most >= _need(low[i], low[j], percent)) & (100 * high[i] >= percent * low[j]) & (100 * high[j] >= percent * low[i])
+            most = np.minimum(high[0, i] - np.maximum(0, count[i] - both), high[0, j] - np.maximum(0, count[j] - both))
+            ok = most >= _need(low[0, i], low[0, j], percent)
             if level == 0:
                 ok &= i < j
             i, j = i[ok], j[ok]
@@ -111,6 +124,38 @@ class SignatureTree:
             work.append((level - 1, ci[keep], cj[keep]))
 
 
+def _reach(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    place = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    shared = int((b[place] == a).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def forest(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, over the components, of the links between them (and across the sides): places in ``sets``."""
+    size = np.array([len(s) for s in sets])
+    number = np.unique(component, return_inverse=True)[1]
+    order = np.lexsort((size, number, side))
+    bits = min(1 << int(DENSITY * int(size.max()) - 1).bit_length(), max(64, 1 << (BITMAP_CELLS // len(sets)).bit_length() - 1))
+    tree = SignatureTree([signature(sets[k], bits) for k in order.tolist()], size[order], number[order], side[order])
+    parent = list(range(int(number.max()) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out, of, place = [], number[order].tolist(), order.tolist()
+    for i, j in tree.pairs(percent):
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = root(of[a]), root(of[b])
+            if x != y and _reach(sets[place[a]], sets[place[b]], percent):
+                parent[y] = x
+                out.append((place[a], place[b]))
+    return out
+
+
 def _frequency_levels(texts: DataFrame, width: int) -> np.ndarray:
     """For each hash cell a coarse level of how often its shingles occur; ``CELLS`` bytes, whatever the input."""
 
@@ -129,129 +174,88 @@ def _frequency_levels(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Per document with words: its class (hash of the set), set size, bitmap and prefix."""
+    """Per document: its class (hash of the set, null without words), set size and prefix."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, size, sig, prefix = [], [], [], []
+            cls, size, prefix = [], [], []
             for text in batch.column("text"):
                 t = _shingles(text, width)
                 n = len(t)
                 size.append(n)
                 if not n:
-                    for column in (cls, sig, prefix):
-                        column.append(None)
+                    cls.append(None)
+                    prefix.append(None)
                     continue
                 cls.append(int(mix(np.array([np.add.reduce(mix(t ^ np.uint64(0xA5A5A5A5))) + np.uint64(n)], np.uint64)).view(np.int64)[0]))
-                sig.append(signature(t).tobytes())
                 rank = levels[_cells(t)]
                 first = t[np.argsort(rank, kind="stable")] if rank.any() else t
                 prefix.append(first[: n + (-percent * n) // 100 + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("print"), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "print", "class", "n", "sig", "prefix"],
+                [batch.column("doc_id"), batch.column("print"), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["doc_id", "print", "class", "n", "prefix"],
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(scan, f"doc_id {id_type}, print long, class long, n long, sig binary, prefix array<long>")
+    return docs.mapInArrow(scan, f"doc_id {id_type}, print long, class long, n long, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach ``percent``.
+def _once(rows: DataFrame) -> DataFrame:
+    """The rows (token, class, ...) of one bucket, with its ``size``, for each set of members that is met in a bucket of two or more."""
+    met = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("m1"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("m2")).where("size > 1")
+    return rows.join(apart(met.groupBy("size", "m1", "m2").agg(F.min("token").alias("token")).select("token", "size"), "token"), "token")
 
-    Each a meets its b in shares of about ``SHARE``, so no a gathers all of its partners in one task.
-    """
-    shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("long").alias("k"))
-    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), "k").alias("share"))
-    cells = dealt.select("a", "share", F.col("b").alias("class"), F.lit(1).alias("side")).unionByName(dealt.select("a", "share", F.col("a").alias("class"), F.lit(0).alias("side")).distinct())
-    needed = cells.join(classes.select("class", F.col("rep.doc_id").alias("rid"), F.col("rep.print").alias("rprint")), "class")
-    rows = needed.join(docs, (F.col("rid").eqNullSafe(F.col("doc_id"))) & (F.col("rprint") == F.col("print"))).select("a", "share", "side", "class", "text")
-    met = rows.repartition("a", "share").sortWithinPartitions("a", "share", "side", "class")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, None
-        for batch in batches:
-            got: list[tuple[int, int]] = []
-            cols = [batch.column(c).to_pylist() for c in ("a", "share", "side", "class")]
-            for a, share, side, cls, text in zip(*cols, batch.column("text"), strict=True):
-                if side == 0:
-                    if (a, share) != at:
-                        at, own = (a, share), _shingles(text, width)
-                    continue
-                other = _shingles(text, width)
-                place = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                shared = int((own[place] == other).sum())
-                if 100 * shared >= percent * (len(own) + len(other) - shared):
-                    got.append((a, cls))
-            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return met.mapInArrow(test, "a long, b long").distinct()
-
-
-def _may_reach(a: pa.Scalar, b: pa.Scalar, na: int, nb: int, percent: int) -> bool:
-    """The bound of two leaves: a bit that only one of them has is a token the other lacks."""
-    x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-    words = min(len(x), len(y))
-    x, y = _fold(x, words), _fold(y, words)
-    both = int(np.bitwise_count(x & y).sum())
-    most = min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum())) + both
-    return most >= _need(na, nb, percent)
-
-
-def _small_cells(spans: list[tuple[int, int]], own, cls, comp, n, sig: pa.Array, percent: int) -> np.ndarray:
-    """The pairs of cells of one node's size: their trees would be one comparison of all leaves."""
-    size = np.array([e - f for f, e in spans])
-    run, small = np.repeat(np.arange(len(spans)), size), np.repeat(size <= SMALL, size)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for d in range(1, min(SMALL, len(run))):
-        i = np.flatnonzero((run[:-d] == run[d:]) & small[:-d])
-        j = i + d
-        ok = (comp[i] != comp[j]) & (own[i] | own[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        left.append(i[ok])
-        right.append(j[ok])
-    i, j = np.concatenate(left), np.concatenate(right)
-    pair = np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1)
-    pair, once = np.unique(pair, axis=0, return_index=True)
-    ok = [_may_reach(sig[int(x)], sig[int(y)], int(n[x]), int(n[y]), percent) for x, y in zip(i[once], j[once], strict=True)]
-    return pair[np.array(ok, bool)]
-
-
-def _tree_pairs(rows: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes of different components that meet in a bucket and may reach ``percent``.
-
-    Sizes of linked sets lie in one band or in neighbouring ones, so a row goes to the cells of its own
-    band and of the next. Bitmaps join only rows of cells that hold two components.
-    """
-    step = float(np.log(100 / percent)) if percent < 100 else 1.0
-    band = F.floor(F.ln("n") / F.lit(step) + F.lit(1e-9)).cast("int")
-    banded = rows.withColumn("band", band).withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
-    cell = F.xxhash64("token", "at").alias("cell")
-    inside = Window.partitionBy("cell")
-    met = banded.select(cell, (F.col("at") == F.col("band")).alias("own"), "class", "component", "n")
-    mixed = (F.min("component").over(inside) != F.max("component").over(inside)) & F.max("own").over(inside)
-    met = met.withColumn("_mixed", mixed).where("_mixed").drop("_mixed").join(sigs, "class")
-    met = met.repartition("cell").sortWithinPartitions("cell", "n", "class")
+
+def _walked(cells: DataFrame, store: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links (a, b: components) that trees find in cells (cell, side, class, component), each cell a group of bounded size."""
+    met = cells.join(store, "class").select("cell", "side", "class", "component", "text").repartition("cell").sortWithinPartitions("cell", "class")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "cell"):
-            cell, own, cls, comp, n = (table.column(c).to_numpy() for c in ("cell", "own", "class", "component", "n"))
-            sig = table.column("sig").combine_chunks()
-            spans = runs(cell)
-            found = [_small_cells(spans, own, cls, comp, n, sig, percent)]
-            for first, end in spans:
-                if end - first > SMALL:
-                    tree = SignatureTree([np.frombuffer(x.as_buffer(), np.uint64) for x in sig[first:end]], n[first:end])
-                    for i, j in tree.pairs(percent):
-                        i, j = i + first, j + first
-                        ok = (comp[i] != comp[j]) & (own[i] | own[j])
-                        found.append(np.stack([np.minimum(cls[i], cls[j])[ok], np.maximum(cls[i], cls[j])[ok]], 1))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            cell, side, component = (table.column(c).to_numpy() for c in ("cell", "side", "component"))
+            sets = [_shingles(text, width) for chunk in table.column("text").chunks for text in chunk]
+            links: list[tuple[int, int]] = []
+            for first, end in runs(cell):
+                links += [(first + a, first + b) for a, b in forest(sets[first:end], component[first:end], side[first:end], percent)]
+            if links:
+                pairs = component[np.array(links)]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
     return met.mapInArrow(walk, "a long, b long").distinct()
 
 
+def _home_cells(buckets: DataFrame) -> DataFrame:
+    """Each class in its largest bucket, in blocks of some ``BLOCK`` members; the member that meets most others is in all of them."""
+    home = buckets.groupBy("class").agg(F.max(F.struct("size", "token")).alias("home"), F.sum("size").alias("score")).select("class", "score", "home.token")
+    hubs = home.groupBy("token").agg(F.count("*").alias("members"), F.max(F.struct("score", "class")).alias("hub")).where("members > 1")
+    hubs = hubs.select("token", F.col("hub.class").alias("hub"), F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    dealt = home.join(apart(hubs, "token"), "token").where("class <> hub").select("token", "class", F.pmod(F.xxhash64("class"), "blocks").alias("block"))
+    shared = hubs.select("token", F.col("hub").alias("class"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    return dealt.unionByName(shared).select(F.xxhash64("token", "block").alias("cell"), F.lit(0).alias("side"), "class", F.col("class").alias("component"))
+
+
+def _bands(n: Column, percent: int) -> Column:
+    """Sizes of linked sets lie in one band or in neighbouring ones."""
+    return F.floor(F.ln(n) / F.lit(float(np.log(100 / percent)) if percent < 100 else 1.0) + F.lit(1e-9)).cast("int")
+
+
+def _mixed_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """Block pairs of the buckets in ``rows`` (token, class, n, component) whose sizes can link and that hold two components."""
+    banded = rows.withColumn("band", _bands(F.col("n"), percent)).withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
+    holds = banded.groupBy("token", "at").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("at") == F.col("band")).alias("own")).where("lo <> hi and own")
+    kept = banded.join(holds.select("token", "at").repartition(F.xxhash64("token", "at")), ["token", "at"], "left_semi").select("token", "class", "component", "band").distinct()
+    mixed = settle(_once(kept))
+    blocked = mixed.select("token", "class", "component", F.when(F.col("size") > BLOCK, F.col("band")).otherwise(0).alias("band"), F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / BLOCK)).alias("sub"))
+    blocks = settle(blocked.groupBy("token", "band", "sub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
+    left = blocks.select("token", F.col("band").alias("at"), F.col("sub").alias("sub1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+    right = blocks.withColumn("at", F.explode(F.array("band", F.col("band") - 1)))
+    pairs = left.join(right, ["token", "at"]).where("(at <> band or sub1 <= sub) and least(lo, lo1) <> greatest(hi, hi1)")
+    cell = F.xxhash64("token", "at", "sub1", "band", "sub").alias("cell")
+    sides = pairs.select("token", cell, F.explode(F.when((F.col("at") == F.col("band")) & (F.col("sub1") == F.col("sub")), F.array(F.struct(F.col("at").alias("band"), F.col("sub1").alias("sub"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("at").alias("band"), F.col("sub1").alias("sub"), F.lit(0).alias("side")), F.struct("band", "sub", F.lit(1).alias("side"))))).alias("s")).select("token", "cell", "s.*")
+    return blocked.join(sides.repartition(F.xxhash64("token", "band", "sub")), ["token", "band", "sub"]).select("cell", "side", "class", "component")
+
+
 def _placed(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -> DataFrame:
     """doc_id, print, n_shingles, component (a class, null without shingles) and component_id of every row."""
     if not 0 < percent <= 100 or width < 1:
@@ -259,38 +263,20 @@ def _placed(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
     sets = settle(_sets(source, _frequency_levels(source, width), width, percent))
     filled = sets.where("class is not null")
-    classes = settle(filled.groupBy("class").agg(F.min(F.struct("doc_id", "print")).alias("rep"), F.first("n").alias("n"), F.min("doc_id").alias("id")))
-    rep = filled.join(classes.select("class", F.col("rep.doc_id").alias("_i"), F.col("rep.print").alias("_p")), "class").where("doc_id <=> _i and print = _p").select("class", "n", "sig", "prefix").dropDuplicates(["class"])
-    token, members = Window.partitionBy("token"), Window.partitionBy("size", "m1", "m2")
-    met = rep.select(F.explode("prefix").alias("token"), "class", "n").withColumn("size", F.count("*").over(token)).where("size > 1")
-    met = met.withColumn("m1", F.bit_xor(F.xxhash64("class")).over(token)).withColumn("m2", F.bit_xor(F.xxhash64("class", F.lit(1))).over(token))
-    buckets = settle(met.withColumn("first", F.min("token").over(members)).where("token = first").select("token", "class", "n", "size"))
-
-    score = buckets.groupBy("class").agg(F.sum("size").alias("score"))
-    center = buckets.join(score, "class").groupBy("token").agg(F.max(F.struct("score", "class", "n")).alias("center"))
-    near = buckets.join(center, "token").where(f"class <> center.class and 100 * least(n, center.n) >= {percent} * greatest(n, center.n)")
-    choices = near.groupBy(F.col("center.class").alias("a"), F.col("class").alias("b")).agg(F.max("center.score").alias("score"))
-    stars = choices.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("score"), "a"))).where(F.col("r") <= CENTERS).select("a", "b")
-    sigs = rep.select("class", "sig", "n")
-    possible = stars.join(sigs.select(F.col("class").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na")), "a").join(sigs.select(F.col("class").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb")), "b")
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = zip(batch.column("sa"), batch.column("sb"), batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)
-            ok = [_may_reach(a, b, na, nb, percent) for a, b, na, nb in cells]
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-
-    tested = settle(possible.mapInArrow(bound, "a long, b long"))
-    links = settle(_verified(tested, classes, source, width, percent))
-    first = settle(components(links))
-
+    classes = settle(filled.groupBy("class").agg(F.min(F.struct("doc_id", "print")).alias("rep"), F.min("doc_id").alias("id")))
+    rep = filled.join(classes.select("class", F.col("rep.doc_id").alias("_i"), F.col("rep.print").alias("_p")), "class").where("doc_id <=> _i and print = _p").select("class", "n", "prefix").dropDuplicates(["class"])
+    buckets = settle(_once(rep.select(F.explode("prefix").alias("token"), "class", "n")))
+    met = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", F.col("rep.doc_id").alias("_i"), F.col("rep.print").alias("_p"))
+    texts = among(source, met.select(F.col("_p").alias("print")), "print").join(met, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("print") == F.col("_p")))
+    store = settle(texts.select("class", "text").dropDuplicates(["class"]))
+
+    first = settle(components(_walked(_home_cells(buckets), store, width, percent)))
     placed = buckets.select("token", "class", "n").join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = placed.withColumn("_lo", F.min("component").over(token)).withColumn("_hi", F.max("component").over(token)).where("_lo <> _hi").drop("_lo", "_hi")
-    more = settle(_tree_pairs(mixed, sigs.select("class", "sig"), percent).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    links = links.unionByName(_verified(more, classes, source, width, percent))
-    final = components(links)
+    second = components(_walked(_mixed_cells(placed, percent), store, width, percent))
+    second = second.select(F.col("node").alias("component"), F.col("component").alias("whole"))
 
-    joined = classes.select("class", "id").join(final.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    joined = classes.select("class", "id").join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    joined = joined.join(second, "component", "left").select("class", "id", F.coalesce("whole", "component").alias("component"))
     named = joined.groupBy("component").agg(F.min("id").alias("component_id"))
     of_class = joined.join(named, "component").select("class", "component", "component_id")
     return sets.select("doc_id", "print", "class", F.col("n").alias("n_shingles")).join(of_class, "class", "left").select(
