@@ -15,7 +15,7 @@ STEP = 0.005
 FILTER_BITS = 1 << 22
 FIT_ROWS = 20_000
 _WORD = r"[^\x20\x09-\x0D]+"
-_BLANKS = " \t\n\x0b\x0c\r"
+_SYMBOLS = "#*$%&|<>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -47,16 +47,15 @@ def repeated_words(hashes: Column, width: int = 5) -> Column:
 def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda line: _without(line, _BLANKS) > 0)
-    hashes = F.transform(F.regexp_extract_all(t, F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    lines = F.filter(F.split(t, "\n", -1), lambda line: line.rlike(_WORD))
+    words = F.regexp_extract_all(t, F.lit(_WORD), F.lit(0))
+    counted = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.concat_ws("", w)).cast("long").alias("chars"), let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: repeated_words(h)).alias("r"))
     out = docs.withColumns({
-        "word_chars": _without(t, _BLANKS).cast("long"),
-        "n_symbols": (F.length(t) - _without(t, "#*$%&|<>")).cast("long"),
+        "n_symbols": F.when(t.rlike(f"[{_SYMBOLS}]"), F.length(t) - _without(t, _SYMBOLS)).otherwise(0).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "_counts": let(hashes, lambda h: let(F.struct(F.size(h).cast("long").alias("n"), repeated_words(h).alias("r")), lambda c: F.struct(
-            c["n"].alias("n"), c["r"].alias("r"), ((c["n"] < 10) | (100 * c["r"] > 20 * c["n"])).alias("failed")))),
+        "_counts": let(words, lambda w: let(counted(w), lambda c: F.struct(c["n"].alias("n"), c["chars"].alias("chars"), c["r"].alias("r"), ((c["n"] < 10) | (100 * c["r"] > 20 * c["n"])).alias("failed")))),
     })
-    return out.withColumns({"n_words": F.col("_counts.n"), "n_repeat_words": F.col("_counts.r"), "base_failed": F.col("_counts.failed")}).drop("_counts")
+    return out.withColumns({"n_words": F.col("_counts.n"), "word_chars": F.col("_counts.chars"), "n_repeat_words": F.col("_counts.r"), "base_failed": F.col("_counts.failed")}).drop("_counts")
 
 
 def gram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
