@@ -7,8 +7,9 @@
 2. A bucket is walked by a signature tree: leaves are token bitmaps, a node holds the OR of its
    children, its range of set sizes, its least bit count and its range of components. A dual traversal
    drops node pairs whose largest possible overlap is below what the sizes ask for, and those within
-   one component. A surviving pair is tested on the whole sets unless it is joined already, so a walk
-   hands on a spanning forest of true links and never a pair of candidates.
+   one component. It is done twice: with small bitmaps, after which only members that have a possible
+   partner stay, and then with wide ones and the whole sets at hand: a surviving pair is tested unless
+   it is joined already. So a walk hands on a spanning forest of true links and never pairs of candidates.
 3. First walk: every class in its largest bucket alone, in blocks that all hold the bucket's best
    connected member. That joins groups of near copies, however large, in one pass over their rows.
 4. Second walk: every bucket that still holds two components. One of more than ``BLOCK`` members is dealt
@@ -34,9 +35,11 @@ from scenelake.session import settle
 
 CELLS = 1 << 17
 FAN = 8
-DENSITY = 16
+DENSITY = 8
+DENSE = 1024
+WIDE = 16
 BITMAP_CELLS = 1 << 26
-BLOCK = 256
+BLOCK = 512
 PAIR_CHUNK = 1 << 15
 
 
@@ -55,8 +58,8 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
 
 
 def signature(tokens: np.ndarray, bits: int = 0) -> np.ndarray:
-    """A bitmap with a bit per token, ``DENSITY`` places a token unless ``bits`` says how many; a power of two of 64-bit words."""
-    bits = max(64, bits or 1 << int(DENSITY * len(tokens) - 1).bit_length())
+    """A bitmap with a bit per token; unless ``bits`` says how many places, ``DENSITY`` a token for the first ``DENSE`` of them, two at least for all. A power of two of 64-bit words."""
+    bits = max(64, bits or 1 << int(max(2 * len(tokens), DENSITY * min(len(tokens), DENSE)) - 1).bit_length())
     out = np.zeros(bits, bool)
     out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
     return np.packbits(out, bitorder="little").view(np.uint64)
@@ -91,8 +94,11 @@ class SignatureTree:
             bits, count = np.bitwise_or.reduceat(bits, cut, axis=0), np.minimum.reduceat(count, cut)
             self.levels.append((bits, count, np.minimum.reduceat(low, cut, axis=1), np.maximum.reduceat(high, cut, axis=1)))
 
-    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Chunks of leaf pairs i < j of different components (and sides, if there are two) that may reach ``percent``."""
+    def pairs(self, percent: int, settled: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Chunks of leaf pairs i < j of different components (and sides, if there are two) that may reach ``percent``.
+
+        With ``settled``, leaves that have come up once are settled, and pairs of two such leaves are left out.
+        """
         top = len(self.levels) - 1
         work = [(top, *np.triu_indices(len(self.levels[top][0])))]
         while work:
@@ -105,6 +111,8 @@ class SignatureTree:
             if self.two:
                 apart_ &= ~((low[2, i] == high[2, j]) & (high[2, i] == low[2, j]))
             size_ok = (100 * high[0, i] >= percent * low[0, j]) & (100 * high[0, j] >= percent * low[0, i])
+            if settled is not None and level == 0:
+                apart_ &= ~(settled[i] & settled[j])
             i, j = i[apart_ & size_ok], j[apart_ & size_ok]
             both = np.bitwise_count(bits[i] & bits[j]).sum(1).astype(np.int64)
             most = np.minimum(high[0, i] - np.maximum(0, count[i] - both), high[0, j] - np.maximum(0, count[j] - both))
@@ -114,6 +122,8 @@ class SignatureTree:
             i, j = i[ok], j[ok]
             if level == 0:
                 if len(i):
+                    if settled is not None:
+                        settled[i] = settled[j] = True
                     yield i, j
                 continue
             below = len(self.levels[level - 1][0])
@@ -132,12 +142,26 @@ def _reach(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def possible(sigs: list[np.ndarray], size: np.ndarray, component: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which leaves may reach some leaf of another component (and side). Linked sets have bitmaps of one width or of neighbouring ones."""
+    number = np.unique(component, return_inverse=True)[1]
+    words = np.array([len(s) for s in sigs])
+    marked = np.zeros(len(sigs), bool)
+    for width in np.unique(words).tolist():
+        some = np.flatnonzero((words == width) | (words == 2 * width))
+        some = some[np.lexsort((size[some], number[some], side[some]))]
+        if len(some) > 1 and number[some].min() != number[some].max():
+            for i, j in SignatureTree([_fold(sigs[k], width) for k in some.tolist()], size[some], number[some], side[some]).pairs(percent, marked[some]):
+                marked[some[i]] = marked[some[j]] = True
+    return marked
+
+
 def forest(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest, over the components, of the links between them (and across the sides): places in ``sets``."""
     size = np.array([len(s) for s in sets])
     number = np.unique(component, return_inverse=True)[1]
     order = np.lexsort((size, number, side))
-    bits = min(1 << int(DENSITY * int(size.max()) - 1).bit_length(), max(64, 1 << (BITMAP_CELLS // len(sets)).bit_length() - 1))
+    bits = min(1 << int(WIDE * int(size.max()) - 1).bit_length(), max(64, 1 << (BITMAP_CELLS // len(sets)).bit_length() - 1))
     tree = SignatureTree([signature(sets[k], bits) for k in order.tolist()], size[order], number[order], side[order])
     parent = list(range(int(number.max()) + 1))
 
@@ -206,9 +230,32 @@ def _once(rows: DataFrame) -> DataFrame:
     return rows.join(apart(met.groupBy("size", "m1", "m2").agg(F.min("token").alias("token")).select("token", "size"), "token"), "token")
 
 
-def _walked(cells: DataFrame, store: DataFrame, width: int, percent: int) -> DataFrame:
+def _signatures(store: DataFrame, width: int) -> DataFrame:
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_shingles(text, width) for text in batch.column("text")]
+            columns = [batch.column("class"), pa.array([len(t) for t in sets], pa.int64()), pa.array([signature(t).tobytes() for t in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["class", "n", "sig"])
+
+    return store.mapInArrow(sign, "class long, n long, sig binary")
+
+
+def _walked(cells: DataFrame, sigs: DataFrame, store: DataFrame, width: int, percent: int) -> DataFrame:
     """The links (a, b: components) that trees find in cells (cell, side, class, component), each cell a group of bounded size."""
-    met = cells.join(store, "class").select("cell", "side", "class", "component", "text").repartition("cell").sortWithinPartitions("cell", "class")
+    cells = cells.dropDuplicates(["cell", "side", "class"])
+    light = cells.join(sigs, "class").repartition("cell").sortWithinPartitions("cell", "class")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "cell"):
+            cell, side, component, n = (table.column(c).to_numpy() for c in ("cell", "side", "component", "n"))
+            sigs = [np.frombuffer(s.as_buffer(), np.uint64) for chunk in table.column("sig").chunks for s in chunk]
+            stays = np.zeros(len(cell), bool)
+            for first, end in runs(cell):
+                stays[first:end] = possible(sigs[first:end], n[first:end], component[first:end], side[first:end], percent)
+            yield from table.select(["cell", "side", "class", "component"]).filter(pa.array(stays)).combine_chunks().to_batches()
+
+    left = settle(light.mapInArrow(mark, "cell long, side int, class long, component long"))
+    met = left.join(store, "class").select("cell", "side", "component", "text").repartition("cell").sortWithinPartitions("cell")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "cell"):
@@ -266,13 +313,14 @@ def _placed(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
     classes = settle(filled.groupBy("class").agg(F.min(F.struct("doc_id", "print")).alias("rep"), F.min("doc_id").alias("id")))
     rep = filled.join(classes.select("class", F.col("rep.doc_id").alias("_i"), F.col("rep.print").alias("_p")), "class").where("doc_id <=> _i and print = _p").select("class", "n", "prefix").dropDuplicates(["class"])
     buckets = settle(_once(rep.select(F.explode("prefix").alias("token"), "class", "n")))
-    met = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", F.col("rep.doc_id").alias("_i"), F.col("rep.print").alias("_p"))
-    texts = among(source, met.select(F.col("_p").alias("print")), "print").join(met, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("print") == F.col("_p")))
-    store = settle(texts.select("class", "text").dropDuplicates(["class"]))
+    met = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", F.col("rep.doc_id").alias("_i"), F.col("rep.print").alias("_p"), F.xxhash64("rep.doc_id", "rep.print").alias("row"))
+    texts = among(source, met.select(F.col("_p").alias("print")), "print").withColumn("row", F.xxhash64("doc_id", "print")).join(met, "row").where("doc_id <=> _i and print = _p")
+    store = settle(texts.select("row", "class", "text").dropDuplicates(["row"]).drop("row"))  # rows of one id and text are met once
+    sigs = settle(_signatures(store, width))
 
-    first = settle(components(_walked(_home_cells(buckets), store, width, percent)))
+    first = settle(components(_walked(_home_cells(buckets), sigs, store, width, percent)))
     placed = buckets.select("token", "class", "n").join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    second = components(_walked(_mixed_cells(placed, percent), store, width, percent))
+    second = components(_walked(_mixed_cells(placed, percent), sigs, store, width, percent))
     second = second.select(F.col("node").alias("component"), F.col("component").alias("whole"))
 
     joined = classes.select("class", "id").join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
