@@ -9,6 +9,7 @@ from scenelake.functions.clock import bucket_index, epoch_s, local_midnight, nex
 from scenelake.functions.robust import anomaly_severity, small_sample_correction
 from scenelake.operators import baseline as b
 from scenelake.operators import series as s
+from scenelake.session import settle
 from scenelake.plans import reports as r
 from scenelake.plans.analysis import AnalysisSettings, analyse
 
@@ -115,12 +116,39 @@ Q["series_entities_filtered"] = (
 )
 
 
+def _within(spark, d, estimates, error):
+    """Estimates of daily entities beside the exact counts: both within three standard errors and a half."""
+    exact = s.bucket_series(v.observations(spark, d), "entities", since=LO, until=HI, interval_s=86400.0, keys=["camera_id"])
+    both = start(exact).join(estimates.select("camera_id", "bucket", F.col("value").alias("_v"), F.col("samples").alias("_n")), ["camera_id", "bucket"], "left").fillna(0, ["_v", "_n"])
+    near = (F.abs(F.col("_v") - F.col("value")) <= 3 * error * F.col("value") + 0.5) & (F.col("_n") == F.col("samples"))
+    return both.select("camera_id", "bucket", "start_s", "value", "samples", near.alias("within"))
+
+
+_DAILY = v.sql("SELECT camera_id, bucket, start_s, value, samples, TRUE AS within FROM ser", "obs", ctes=series_ctes("obs", VALUE["entities"], LO, HI, 86400))
+
+
 def approx(spark, d):
     out = s.bucket_series(v.observations(spark, d), "entities_approx", since=LO, until=HI, interval_s=86400.0, keys=["camera_id"])
-    return start(out).select("camera_id", "bucket", "start_s", "value", "samples")
+    return _within(spark, d, out, 0.02)
+
+
+Q["series_entities_approx"] = (approx, _DAILY)
+
+
+def sketched(spark, d):
+    """Stored hourly sketches, unioned to days without the raw rows."""
+    hours = settle(s.sketch_series(v.observations(spark, d), since=LO, until=HI, interval_s=3600.0, keys=["camera_id"]))
+    return _within(spark, d, s.sketch_values(s.merge_sketches(hours, 24, ["camera_id"])), 1.04 / 2 ** (s.SKETCH_LG_K / 2))
 
 
-Q["series_entities_approx"] = (approx, None)
+Q["series_entities_sketched"] = (sketched, _DAILY)
+
+
+def null_camera(spark, d):
+    """One camera in four is not known: its rows are a series of their own, judged like the rest."""
+    o = v.observations(spark, d).withColumn("camera_id", F.expr("nullif(camera_id, 'cam3')"))
+    out = _judged(analyse(o, "entities", since=MID, until=HI, keys=["camera_id"], settings=HISTORY, heartbeats=v.beats(spark, d).withColumn("camera_id", F.expr("nullif(camera_id, 'cam3')"))))
+    return out.withColumn("camera_id", F.coalesce("camera_id", F.lit("none")))
 
 
 def whole(spark, d):
@@ -313,6 +341,19 @@ def flagship(spark, d):
     return _judged(_analysed(spark, d)).orderBy(F.desc_nulls_last("score"), "camera_id", "bucket")
 
 
+Q["analyse_null_camera"] = (
+    null_camera,
+    f"SELECT CASE WHEN camera_id = 'cam3' THEN 'none' ELSE camera_id END AS camera_id, * EXCLUDE (camera_id) FROM ({v.sql(_judged_sql, 'obs', 'beats', ctes=analysis_ctes(True))})",
+)
+
+
+def described(spark, d):
+    """A stored baseline says what it was learned from."""
+    out = b.learn_baseline(_training(spark, d), ["camera_id"], period_hours=24, metric="entities")
+    return out.select("camera_id", F.col("slot").cast("long").alias("slot"), "metric", "width_s", F.col("period_hours").cast("long").alias("period_hours"))
+
+
+Q["baseline_measure"] = (described, v.sql("SELECT camera_id, slot, 'entities' AS metric, 3600.0::DOUBLE AS width_s, 24::BIGINT AS period_hours FROM bs", "obs", ctes=_train_c))
 Q["flagship_unusual_hours"] = (flagship, v.sql(_judged_sql, "obs", ctes=analysis_ctes()))
 
 

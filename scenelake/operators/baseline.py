@@ -19,6 +19,7 @@ from scenelake.functions.robust import (
     small_sample_correction,
 )
 from scenelake.operators.series import empty
+from scenelake.plans.joins import join_on
 
 
 def array_median(values: Column) -> Column:
@@ -37,9 +38,10 @@ def array_median(values: Column) -> Column:
 def slot_values(series: DataFrame, keys: Sequence[str], period_hours: int, include_empty: bool) -> DataFrame:
     """Per slot: its values, centre and sample count."""
     used = series if include_empty else series.where(~empty())
+    width = F.max("width_s") if "width_s" in series.columns else F.lit(None).cast("double")
     return (
         used.groupBy(*keys, slot_index(F.col("bucket_start"), period_hours).alias("slot"))
-        .agg(F.collect_list("value").alias("_values"))
+        .agg(F.collect_list("value").alias("_values"), width.alias("width_s"))
         .withColumn("centre", array_median(F.col("_values")))
         .withColumn("samples", F.size("_values"))
         .withColumn("_off", F.transform("_values", lambda v: F.abs(v - F.col("centre"))))
@@ -50,7 +52,7 @@ def _pooled(slots: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds ``dispersion``: residuals of every slot that ever varied, in units of its expected scale."""
     varied = F.size(F.array_distinct("_values")) > 1
     scaled = F.transform("_off", lambda v: v / level_scale(F.col("centre")))
-    carried = F.struct("slot", "centre", "samples", "_off")
+    carried = F.struct("slot", "centre", "samples", "width_s", "_off")
     per = slots.groupBy(*keys).agg(
         F.flatten(F.collect_list(F.when(varied, scaled))).alias("_all"),
         F.count_if(varied).alias("_n"),
@@ -77,8 +79,9 @@ def learn_baseline(
     period_hours: int = 168,
     sensitivity: float = SENSITIVITY,
     include_empty: bool = False,
+    metric: str | None = None,
 ) -> DataFrame:
-    """Centre, spread and band per slot.
+    """Centre, spread and band per slot, and what they were learned from: ``metric``, ``width_s`` and ``period_hours``.
 
     A slot's own spread is shrunk toward the series' pooled one by how many samples it has.
     One series has at most 20 000 buckets, so its slots are gathered in one group.
@@ -101,9 +104,28 @@ def learn_baseline(
         (F.col("centre") - sensitivity * F.col("spread")).alias("low"),
         (F.col("centre") + sensitivity * F.col("spread")).alias("high"),
         (n >= MIN_SLOT_SAMPLES).alias("trustworthy"),
+        F.lit(metric).cast("string").alias("metric"),
+        "width_s",
+        F.lit(period_hours).alias("period_hours"),
     )
 
 
+def same_measure(series_width: Column, metric: str | None, period_hours: int) -> Column:
+    """True, or an error that fails the job, where ``_metric``, ``_width`` and ``_period`` of a baseline row do not fit the series.
+
+    What either side does not say is not compared.
+    """
+    wrong = [
+        (F.col("_metric") != F.lit(metric).cast("string"), F.concat(F.lit("baseline of "), F.col("_metric"), F.lit(f" cannot judge {metric}"))),
+        (F.col("_width") != series_width, F.concat(F.lit("baseline of buckets of "), F.col("_width"), F.lit(" s cannot judge buckets of "), series_width, F.lit(" s"))),
+        (F.col("_period") != period_hours, F.concat(F.lit("baseline of a period of "), F.col("_period"), F.lit(f" hours cannot judge one of {period_hours}"))),
+    ]
+    check = F.lit(True)
+    for differs, message in wrong:
+        check = F.when(F.coalesce(differs, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(check)
+    return check
+
+
 def detect(
     series: DataFrame,
     baseline: DataFrame,
@@ -112,8 +134,12 @@ def detect(
     period_hours: int = 168,
     sensitivity: float = SENSITIVITY,
     judge_empty: bool = False,
+    metric: str | None = None,
 ) -> DataFrame:
-    """Every bucket with its verdict: anomaly, normal, or unjudged (empty, or too little history)."""
+    """Every bucket with its verdict: anomaly, normal, or unjudged (empty, or too little history).
+
+    A baseline of another metric, bucket width or period fails the job.
+    """
     known = baseline.select(
         *keys,
         "slot",
@@ -123,8 +149,11 @@ def detect(
         F.col("high").alias("band_high"),
         F.col("samples").alias("slot_samples"),
         "trustworthy",
+        *[F.col(c).alias(n) if c in baseline.columns else F.lit(None).cast(t).alias(n) for c, n, t in (("metric", "_metric", "string"), ("width_s", "_width", "double"), ("period_hours", "_period", "int"))],
     )
-    joined = series.withColumn("slot", slot_index(F.col("bucket_start"), period_hours)).join(known, [*keys, "slot"], "left")
+    joined = join_on(series.withColumn("slot", slot_index(F.col("bucket_start"), period_hours)), known, [*keys, "slot"], "left")
+    width = F.col("width_s") if "width_s" in series.columns else F.lit(None).cast("double")
+    joined = joined.where(same_measure(width, metric, period_hours)).drop("_metric", "_width", "_period")
     readable = F.lit(True) if judge_empty else ~empty()
     judged = readable & F.coalesce("trustworthy", F.lit(False))
     off = F.col("value") - F.col("expected")

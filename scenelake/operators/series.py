@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scenelake.functions.clock import bucket_index, epoch_s, us
 from scenelake.plans.bounds import MAX_BUCKETS, bucket_span
+from scenelake.plans.joins import join_on
 
 HOUR = 3600.0
 DAY = 86_400.0
@@ -144,7 +145,7 @@ def _filled(counted: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
 def bucket_parts(df: DataFrame, metric: Metric, parts: Sequence[tuple[str, Grid]], keys: Sequence[str], calendar: DataFrame | None = None) -> DataFrame:
     """Several grids in one scan and one aggregation; column ``part`` tells them apart.
 
-    Keys of ``calendar`` have all their buckets even without a row; rows and keys with a null are left out.
+    Keys of ``calendar`` have all their buckets even without a row. A null key is a series of its own.
     """
     ts, epoch = F.col("timestamp"), epoch_s(F.col("timestamp"))
     within, base, position = None, 0, []
@@ -155,8 +156,6 @@ def bucket_parts(df: DataFrame, metric: Metric, parts: Sequence[tuple[str, Grid]
         within = inside if within is None else within | inside
         base += grid.count
     rows = df.where(within)
-    for key in keys:  # said here, so both readers of this plan share one shuffle
-        rows = rows.where(F.col(key).isNotNull())
     if len(parts) == 1:
         rows = rows.withColumn("_pos", position[0])
     else:
@@ -165,7 +164,7 @@ def bucket_parts(df: DataFrame, metric: Metric, parts: Sequence[tuple[str, Grid]
         F.coalesce(metric.value().cast("double"), F.lit(0.0)).alias("value"), F.count(F.lit(1)).alias("samples")
     )
     if keys and calendar is not None:
-        zero = calendar.select(*keys).dropna().distinct().withColumns({"_pos": F.lit(0).cast("long"), "value": F.lit(0.0), "samples": F.lit(0).cast("long")})
+        zero = calendar.select(*keys).distinct().withColumns({"_pos": F.lit(0).cast("long"), "value": F.lit(0.0), "samples": F.lit(0).cast("long")})
         counted = counted.unionByName(zero).groupBy(*keys, "_pos").agg(F.sum("value").alias("value"), F.sum("samples").alias("samples"))
     full = _filled(counted, keys, base)
     part, bucket, start, offset = None, None, None, 0
@@ -240,7 +239,7 @@ def mark_alive(series: DataFrame, heartbeats: DataFrame, grid: Grid, keys: Seque
     beats = heartbeats.where(grid.holds(F.col("timestamp")))
     index = bucket_index(epoch_s(F.col("timestamp")), grid.origin_s, grid.width_s)
     alive = beats.groupBy(*on, index.alias("bucket")).agg(F.lit(True).alias("_alive"))
-    joined = series.join(alive, [*on, "bucket"], "left")
+    joined = join_on(series, alive, [*on, "bucket"], "left")
     marked = F.col("known_zero") | ((F.col("samples") == 0) & F.coalesce("_alive", F.lit(False)))
     return joined.withColumn("known_zero", marked).select(series.columns)
 
@@ -280,6 +279,38 @@ def rebucket(series: DataFrame, factor: int, metric: str, keys: Sequence[str] =
     )
 
 
+SKETCH_LG_K = 12
+
+
+def sketch_series(
+    df: DataFrame, column: str = "entity_id", *, since: float, until: float, interval_s: float = HOUR, keys: Sequence[str] = (), origin: float | None = None, lg_k: int = SKETCH_LG_K
+) -> DataFrame:
+    """Mergeable distinct counts: per occupied bucket a HyperLogLog ``sketch`` of 2**lg_k registers, and ``samples``.
+
+    Stored, such rows stand for the raw ones: wider buckets, other groupings and later rows are unions of sketches.
+    """
+    grid = grid_for(df, since, until, interval_s, origin)
+    index = bucket_index(epoch_s(F.col("timestamp")), grid.origin_s, grid.width_s)
+    rows = df.where(grid.holds(F.col("timestamp"))).groupBy(*keys, index.alias("bucket")).agg(F.hll_sketch_agg(column, F.lit(lg_k)).alias("sketch"), F.count(F.lit(1)).alias("samples"))
+    start = F.timestamp_micros((F.lit(us(grid.origin_s)) + F.col("bucket") * us(grid.width_s)).cast("long"))
+    return rows.select(*keys, "bucket", start.alias("bucket_start"), F.lit(float(interval_s)).alias("width_s"), "sketch", "samples")
+
+
+def merge_sketches(sketches: DataFrame, factor: int, keys: Sequence[str] = ()) -> DataFrame:
+    """``factor`` neighbouring buckets as one, from their sketches alone; also joins sketches of one bucket written at different times."""
+    wide = F.floor(F.col("bucket") / factor).cast("long")
+    start = F.timestamp_micros(F.unix_micros("bucket_start") - F.pmod("bucket", F.lit(factor)) * (F.col("width_s") * 1_000_000).cast("long"))
+    return sketches.groupBy(*keys, wide.alias("bucket")).agg(
+        F.min(start).alias("bucket_start"), (F.first("width_s") * factor).alias("width_s"), F.hll_union_agg("sketch").alias("sketch"), F.sum("samples").alias("samples")
+    )
+
+
+def sketch_values(sketches: DataFrame) -> DataFrame:
+    """``value``, the estimated distinct count, and ``error``, its relative standard error, in place of the sketch."""
+    registers = F.pow(F.lit(2.0), F.lit(SKETCH_LG_K))
+    return sketches.withColumns({"value": F.hll_sketch_estimate("sketch").cast("double"), "error": 1.04 / F.sqrt(registers)}).drop("sketch")
+
+
 def series_stats(series: DataFrame, keys: Sequence[str] = (), metric: str = "entities") -> DataFrame:
     """Coverage, total, mean of occupied buckets, busiest (over all) and quietest (over occupied) bucket."""
     there = ~empty()

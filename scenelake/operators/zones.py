@@ -53,24 +53,30 @@ def _ground(width: Column, height: Column) -> tuple[Column, Column]:
     return F.when(ok, point["x"] / width), F.when(ok, point["y"] / height)
 
 
+def zone_hits(zones: Sequence[Zone], frame_width: float = 640.0, frame_height: float = 480.0) -> Column:
+    """The zones (zone_order, zone, zone_kind) that hold the ground point of a row, as an array in list order."""
+    if not zones:
+        raise ValueError("no zones given")
+    x, y = _ground(F.lit(frame_width), F.lit(frame_height))
+    hits = [
+        F.when(
+            F.coalesce(point_in_fixed_polygon(x, y, z.points), F.lit(False)),
+            F.struct(F.lit(i).alias("zone_order"), F.lit(z.name).alias("zone"), F.lit(z.kind).alias("zone_kind")),
+        )
+        for i, z in enumerate(zones)
+    ]
+    return F.array_compact(F.array(*hits))
+
+
 def zone_join(tracks: DataFrame, zones: Sequence[Zone] | DataFrame, frame_width: float = 640.0, frame_height: float = 480.0) -> DataFrame:
     """Every (track row, zone) with the ground point inside; overlapping zones are all kept.
 
     A short list of zones becomes one expression per zone in the scan stage. A longer list, or a
     table (optionally per ``source_id``), is an equi-join on a 16 x 16 grid cell.
     """
-    x, y = _ground(F.lit(frame_width), F.lit(frame_height))
     if not isinstance(zones, DataFrame) and len(zones) <= INLINE_ZONES:
-        hits = [
-            F.when(
-                F.coalesce(point_in_fixed_polygon(x, y, z.points), F.lit(False)),
-                F.struct(F.lit(i).alias("zone_order"), F.lit(z.name).alias("zone"), F.lit(z.kind).alias("zone_kind")),
-            )
-            for i, z in enumerate(zones)
-        ]
-        if not hits:
-            raise ValueError("no zones given")
-        return tracks.select("*", F.inline(F.array_compact(F.array(*hits))))
+        return tracks.select("*", F.inline(zone_hits(zones, frame_width, frame_height)))
+    x, y = _ground(F.lit(frame_width), F.lit(frame_height))
     table = broadcast_if_small(zones if isinstance(zones, DataFrame) else zone_table(tracks.sparkSession, zones))
     cell = (F.least(F.floor(y * GRID), F.lit(GRID - 1)) * GRID + F.least(F.floor(x * GRID), F.lit(GRID - 1))).cast("int")
     on = ["cell", *[c for c in ("source_id",) if c in table.columns]]

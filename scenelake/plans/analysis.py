@@ -78,7 +78,7 @@ def analyse(
         series = mark_observed_zeros(series, keys, s.zero_reach)
     learn_from = series if train_on_window else series.where(F.col("part") == "training")
     baseline = learn_baseline(
-        learn_from, keys, period_hours=s.period_hours, sensitivity=s.sensitivity, include_empty=s.include_empty_in_training
+        learn_from, keys, period_hours=s.period_hours, sensitivity=s.sensitivity, include_empty=s.include_empty_in_training, metric=metric
     )
     judged = series.where(F.col("part") == "window").drop("part")
-    return detect(judged, baseline, keys, period_hours=s.period_hours, sensitivity=s.sensitivity, judge_empty=s.judge_empty)
+    return detect(judged, baseline, keys, period_hours=s.period_hours, sensitivity=s.sensitivity, judge_empty=s.judge_empty, metric=metric)

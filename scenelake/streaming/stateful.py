@@ -18,18 +18,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scenelake.functions.clock import us
+from scenelake.functions.keypoints import wrist_inside
 from scenelake.operators.activity import MAJORITY, POSTURE_MAJORITY, STABLE_POSTURES, WINDOW_COVERAGE, ActivitySettings
 from scenelake.operators.motion import MotionSettings
-from scenelake.operators.relations import RelationSettings
+from scenelake.operators.relations import RelationSettings, person_object_pairs
+from scenelake.operators.zones import HOLD_S, Zone, zone_hits
 
 LATENESS = "10 seconds"
 Complete = Callable[[dict, pd.DataFrame], pd.DataFrame]
 
 
-def in_order(stream: DataFrame, keys: Sequence[str], out: str, complete: Complete, *, order: Sequence[str] = ("t_us",), lateness: str = LATENESS, forget_s: float = 60.0) -> DataFrame:
+def in_order(stream: DataFrame, keys: Sequence[str], out: str, complete: Complete, *, order: Sequence[str] = ("t_us",), lateness: str | None = LATENESS, forget_s: float = 60.0) -> DataFrame:
     """Runs ``complete(memory, rows)`` on each key's rows once the watermark is past them, in order.
 
-    ``memory`` is kept until ``forget_s`` (or, if larger, its own ``forget_us``) after the key's last row.
+    ``memory`` is kept until ``forget_s`` (or, if larger, its own ``forget_us``) after the key's last row. With
+    ``lateness`` None the stream has its watermark already.
     """
     names = [c.split()[0] for c in out.split(",")]
 
@@ -54,7 +57,8 @@ def in_order(stream: DataFrame, keys: Sequence[str], out: str, complete: Complet
         if result is not None and len(result):
             yield result[names]
 
-    timed = stream.withColumn("_ms", F.unix_millis("timestamp")).withWatermark("timestamp", lateness)
+    timed = stream.withColumn("_ms", F.unix_millis("timestamp"))
+    timed = timed.withWatermark("timestamp", lateness) if lateness else timed
     return timed.groupBy(*keys).applyInPandasWithState(run, out, "memory binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -157,6 +161,87 @@ def stream_relations(pairs: DataFrame, settings: RelationSettings = RelationSett
     return in_order(rows, ["source_id", "low", "high"], out, _relations(settings), **options)
 
 
+def _visits(zones: Sequence[Zone], hold: int) -> Complete:
+    def complete(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for r, goes_on in _presences(m, rows):
+            open_ = m.get("open", {}) if goes_on else {}
+            t = r["t_us"].to_numpy()
+            before = np.append(m.get("last_t", 0) if goes_on else t[0], t[:-1])
+            m.update(open={}, last_t=int(t[-1]))
+            for order, zone in enumerate(zones):
+                inside = np.array([order in hits for hits in r["hits"]])
+                entered, last = open_.get(order, (-1, -1))
+                if not inside.any() and last < 0:
+                    continue
+                latest = _held(t, inside, last)
+                prior = np.append(last, latest[:-1])
+                starts = inside & ((prior < 0) | ((before > prior) & (before - prior > hold)))
+                since = _held(t, starts, entered)
+                gone = ~inside & (latest >= 0) & (t - latest <= hold)
+                if t[-1] - latest[-1] <= hold and latest[-1] >= 0:
+                    m["open"][order] = (int(since[-1]), int(latest[-1]))
+                event = np.where(gone, "exited", np.where(t - since <= hold, "entered", "")).astype(object)
+                shown = r.assign(zone=zone.name, zone_kind=zone.kind, zone_order=order, dwell_s=(latest - since) / 1e6, event=np.where(event == "", None, event))
+                parts.append(shown[inside | gone])
+        return pd.concat(parts) if parts else rows.iloc[:0]
+
+    return complete
+
+
+def stream_zone_rows(tracks: DataFrame, zones: Sequence[Zone], *, hold_s: float = HOLD_S, frame_width: float = 640.0, frame_height: float = 480.0, **options) -> DataFrame:
+    """Occupancy rows while they happen, as ``zone_visits`` has them: dwell, ``entered``, and ``exited`` up to ``hold_s`` after the last row inside.
+
+    A row comes out once the watermark has passed it, on a timer if its track sends nothing more. A track holds one (entered, last inside)
+    per zone it is in.
+    """
+    out = "source_id string, track_id long, step long, t_us long, entity_id string, label string, zone string, zone_kind string, zone_order int, dwell_s double, event string"
+    hits = F.transform(zone_hits(zones, frame_width, frame_height), lambda z: z["zone_order"])
+    rows = tracks.select("source_id", "track_id", "step", "t_us", "entity_id", "label", hits.alias("hits"), "timestamp")
+    return in_order(rows, ["source_id", "track_id"], out, _visits(list(zones), us(hold_s)), **options)
+
+
+def _contacts(s: RelationSettings) -> Complete:
+    def complete(m: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for r, goes_on in _presences(m, rows):
+            since, reached, claimed = m.get("contact", (None, -1, None)) if goes_on else (None, -1, None)
+            t, close, reach = r["t_us"].to_numpy(), r["close"].to_numpy(bool), r["reach"].to_numpy(bool)
+            begins = close & ~np.append(since is not None, close[:-1])
+            begun = _held(t, begins, -1 if since is None else since)
+            latest = _held(t, reach, reached)
+            ripe = close & (t - begun >= us(s.interact_s))
+            first = ripe & ~np.append(claimed is not None, ripe[:-1])
+            held = _held(t, first, -1 if claimed is None else claimed)
+            m["contact"] = (int(begun[-1]), int(latest[-1]), int(held[-1]) if ripe[-1] else None) if close[-1] else (None, -1, None)
+            parts.append(r.assign(relation="interacting_with", distance=r["separation"], confidence=np.where(latest >= begun, 0.85, 0.4), duration_s=(t - held) / 1e6)[ripe])
+        return pd.concat(parts)
+
+    return complete
+
+
+def stream_interaction(pairs: DataFrame, poses: DataFrame, settings: RelationSettings = RelationSettings(), *, lateness: str = LATENESS, slack: str = "1 second", **options) -> DataFrame:
+    """``interaction`` on streams: pairs of a frame meet the person's keypoints, then a contact state per pair.
+
+    ``pairs`` are rows of ``pair_join`` (``first`` and ``second`` with label, box and motion) with ``timestamp``; ``poses`` are
+    (source_id, track_id, step, keypoints, timestamp), whose clock may be off by ``slack``. Each stream has its own watermark; a pair
+    without a pose waits until one can no longer come and then counts as without a reach.
+    """
+    s = settings
+    mixed = person_object_pairs(pairs).withWatermark("timestamp", lateness)
+    seen = poses.select(F.col("source_id").alias("_source"), F.col("track_id").alias("_track"), F.col("step").alias("_step"), "keypoints", F.col("timestamp").alias("_seen")).withWatermark("_seen", lateness)
+    window = F.expr(f"_seen >= timestamp - interval {slack} and _seen <= timestamp + interval {slack}")
+    met = mixed.join(seen, (F.col("source_id") == F.col("_source")) & (F.col("step") == F.col("_step")) & (F.col("person.track_id") == F.col("_track")) & window, "left_outer")
+    reach = F.coalesce(wrist_inside(F.col("keypoints"), F.col("thing.box"), s.reach_confidence), F.lit(False))
+    stopped = F.coalesce(F.col("person.motion") == "stationary", F.lit(False)) & (F.col("separation") <= s.interact_distance)
+    rows = met.select(
+        "source_id", "low", "high", "step", "t_us", "separation", reach.alias("reach"), (reach | stopped).alias("close"), "timestamp",
+        F.col("person.track_id").alias("subject_track"), F.col("thing.track_id").alias("object_track"), F.col("person.entity_id").alias("subject_id"), F.col("thing.entity_id").alias("object_id"),
+    )
+    out = "source_id string, low long, high long, step long, t_us long, relation string, subject_track long, object_track long, subject_id string, object_id string, distance double, confidence double, duration_s double"
+    return in_order(rows, ["source_id", "low", "high"], out, _contacts(s), lateness=None, **options)
+
+
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of ``values[first[i] : i + 1]``."""
     total = np.append(0.0, np.cumsum(values))

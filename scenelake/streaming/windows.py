@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scenelake.functions.clock import slot_index
 from scenelake.functions.robust import SENSITIVITY
 from scenelake.operators.series import metric_named
+from scenelake.plans.joins import join_on
 from scenelake.sources.store import append_once, route_records
 
 FRAME_LATENESS = "10 seconds"
@@ -69,7 +71,7 @@ def stream_pairs(tracks: DataFrame, *, lateness: str = FRAME_LATENESS, max_entit
 def stream_judge(series: DataFrame, baseline: DataFrame, keys: Sequence[str] = ("camera_id",), *, period_hours: int = 168, sensitivity: float = SENSITIVITY) -> DataFrame:
     """Closed buckets against a stored baseline: a stream-static join on the slot."""
     known = baseline.select(*keys, "slot", F.col("centre").alias("expected"), "spread", "trustworthy")
-    joined = series.withColumn("slot", slot_index(F.col("bucket_start"), period_hours)).join(known, [*keys, "slot"], "left")
+    joined = join_on(series.withColumn("slot", slot_index(F.col("bucket_start"), period_hours)), known, [*keys, "slot"], "left")
     usable = F.coalesce("trustworthy", F.lit(False))
     score = F.when(usable & (F.col("spread") > 0), F.abs(F.col("value") - F.col("expected")) / F.col("spread"))
     verdict = F.when(~usable, "unjudged").when(score >= sensitivity, "anomaly").otherwise("normal")
@@ -121,3 +123,45 @@ def stream_route(stream: DataFrame, path: str, checkpoint: str, *, every: str |
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+LATE_ROWS = "query string, run_id string, batch long, operator int, kind string, dropped long"
+
+
+def _dropped(progress: dict) -> list[tuple]:
+    """A row per stateful operator that dropped rows for being behind the watermark."""
+    return [
+        (progress["name"], str(progress["runId"]), int(progress["batchId"]), at, op["operatorName"], int(op["numRowsDroppedByWatermark"]))
+        for at, op in enumerate(progress["stateOperators"]) if op["numRowsDroppedByWatermark"]
+    ]
+
+
+def late_rows(query: StreamingQuery) -> DataFrame:
+    """What the watermark dropped, per batch and operator, in the progress a query still remembers.
+
+    A row is late when it is not past the watermark of the batch before, up to which everything has been processed. Keyed
+    operators (``in_order``) count rows; a windowed aggregate counts the groups of a batch that came too late.
+    """
+    found = [r for p in query.recentProgress for r in _dropped(json.loads(p.json) if hasattr(p, "json") else p)]
+    return SparkSession.active().createDataFrame(found, LATE_ROWS)
+
+
+class LateRowLog(StreamingQueryListener):
+    """Appends the late rows of every query of a session to a table at ``path``, as batches end: ``spark.streams.addListener(LateRowLog(spark, path))``."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        found = _dropped(json.loads(event.progress.json))
+        if found:
+            self.spark.createDataFrame(found, LATE_ROWS).coalesce(1).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(LATE_ROWS).parquet(self.path)
