@@ -15,6 +15,7 @@ Decoding concatenates bytes up a tree.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache, lru_cache
 from heapq import heapify, heappop, heappush
@@ -29,9 +30,12 @@ from pyspark.sql import types as T
 
 LEAF_CHARS = 8192
 LEAF_IDS = 4096
-MEMO_MATCHES = 100_000
+MEMO_MATCHES = 200_000
+MEMO_JOINS = 100_000
 MEMO_CHARS = 64
 SHORT_BYTES = 9
+HEAP_BYTES = 256
+NONE = 1 << 31
 BATCH_BYTES = 4_000_000
 
 Part = tuple[list[str], list[bytes]]  # matches of a text, and the ids of each as packed 32-bit integers
@@ -43,12 +47,29 @@ class Coder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.pair = lru_cache(MEMO_MATCHES)(lambda x, y: self._merge(self.bytes_of[x] + self.bytes_of[y]))
-        self.short = lru_cache(MEMO_MATCHES)(self._halves)
+        self.pair = lru_cache(MEMO_JOINS)(lambda x, y: self._merge(self.bytes_of[x] + self.bytes_of[y]))
+        self.short = lru_cache(MEMO_JOINS)(self._halves)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _merge(self, raw: bytes) -> tuple[int, ...]:
         """Merge the lowest rank, leftmost first, until no two neighbours have one."""
+        if len(raw) > HEAP_BYTES:
+            return self._merge_long(raw)
+        parts, rank = [raw[i : i + 1] for i in range(len(raw))], self.ranks.get
+        pairs = [rank(raw[i : i + 2], NONE) for i in range(len(raw) - 1)]
+        while pairs and (low := min(pairs)) != NONE:
+            i = pairs.index(low)
+            both = parts[i] = parts[i] + parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(both + parts[i + 1], NONE)
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + both, NONE)
+        return tuple(map(self.ranks.__getitem__, parts))
+
+    def _merge_long(self, raw: bytes) -> tuple[int, ...]:
+        """The same with a heap of pairs and the ends of the parts, for windows that have grown."""
         n, rank = len(raw), self.ranks.get
         ends, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that starts here
         queue = [(r, i) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
@@ -93,16 +114,19 @@ class Coder:
         return self.join(tree(raw[:half]), tree(raw[half:]))
 
     def match(self, text: str) -> bytes:
-        """Ids of one match of the split pattern; one that is a token whole is that token."""
-        ids = self.memo.get(text)
+        """Ids of one match of the split pattern; one that is a token whole is that token.
+
+        Short matches are remembered in two generations, so frequent ones stay when the memory is full.
+        """
+        ids = self.memo.get(text) or self.older.get(text)
         if ids is None:
             raw = text.encode()
             whole = self.ranks.get(raw)
-            ids = np.array(self._halves(raw) if whole is None else (whole,), "<i4").tobytes()
-            if len(text) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO_MATCHES:
-                    self.memo.clear()  # a bound on memory, not on what is encoded
-                self.memo[text] = ids
+            ids = array("i", self._halves(raw) if whole is None else (whole,)).tobytes()
+        if len(text) <= MEMO_CHARS:
+            if len(self.memo) >= MEMO_MATCHES:
+                self.older, self.memo = self.memo, {}
+            self.memo[text] = ids
         return ids
 
     def _meet(self, a: Part, b: Part) -> Part:
@@ -125,15 +149,15 @@ class Coder:
             take *= 2
         whole = am[-1] + bm[0] if am and bm else None
         codes = [
-            np.array(self.join(*(tuple(np.frombuffer(c, "<i4").tolist()) for c in (ac[-1], bc[0]))), "<i4").tobytes() if m == whole and len(m) > MEMO_CHARS else self.match(m)
+            array("i", self.join(*(tuple(array("i", c)) for c in (ac[-1], bc[0])))).tobytes() if m == whole and len(m) > MEMO_CHARS else self.match(m)
             for m in new[:stop]
         ]
         return am[:keep] + new[:stop] + bm[tail:], ac[:keep] + codes + bc[tail:]
 
     def _text(self, text: str) -> Part:
         if len(text) <= LEAF_CHARS:
-            matches, memo = self.split(text), self.memo
-            return matches, [memo.get(m) or self.match(m) for m in matches]
+            matches, known = self.split(text), self.memo.get
+            return matches, [known(m) or self.match(m) for m in matches]
         half = len(text) // 2
         return self._meet(self._text(text[:half]), self._text(text[half:]))
 
