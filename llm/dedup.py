@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from llm.bytehash import Hashes, mix
 from llm.graph import apart
+from llm.quality import among
 from llm.streams import groups
 from llm.suffixes import V, CoverRanks
 from scenelake.session import settle
@@ -31,6 +32,7 @@ from scenelake.session import settle
 LENGTH = 200
 GRAM = 48
 BUCKET = 2000
+FILTER_BITS = 1 << 24
 PART = 1 << 23
 
 
@@ -158,9 +160,10 @@ def _sorted_flags(contexts: DataFrame, length: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, print and ``runs``: (start, end) bytes covered by strings of ``length`` bytes that also start elsewhere."""
-    found = settle(_occurrences(docs, length))
-    again = apart(found.groupBy("gram").agg(F.count("*").alias("times")).where("times > 1"), "gram")
-    met = settle(found.join(again.select("gram"), "gram"))
+    # The texts are read twice: an anchor's place costs more to shuffle than to find again, and nearly all anchors are unique.
+    again = settle(_occurrences(docs, length).groupBy("gram").agg(F.count("*").alias("times")).where("times > 1").select("gram"))
+    found = among(_occurrences(docs, length), again, "gram", FILTER_BITS)
+    met = settle(found.join(apart(again, "gram"), "gram"))
     extents = met.groupBy("gram", "extent").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "print", "at", "first", "last")).alias("one"))
     kinds = extents.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
     extents = settle(extents.join(kinds, "gram", "left"))
