@@ -40,6 +40,7 @@ DENSE = 1024
 WIDE = 16
 BITMAP_CELLS = 1 << 26
 BLOCK = 512
+FILTER_BITS = 1 << 24
 PAIR_CHUNK = 1 << 15
 
 
@@ -198,52 +199,51 @@ def _frequency_levels(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Per document: its class (hash of the set, null without words), set size and prefix."""
+    """Per document: its class (hash of the set, null without words), set size, bitmap and prefix."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, size, prefix = [], [], []
+            cls, size, sig, prefix = [], [], [], []
             for text in batch.column("text"):
                 t = _shingles(text, width)
                 n = len(t)
                 size.append(n)
                 if not n:
-                    cls.append(None)
-                    prefix.append(None)
+                    for column in (cls, sig, prefix):
+                        column.append(None)
                     continue
+                sig.append(signature(t).tobytes())
                 cls.append(int(mix(np.array([np.add.reduce(mix(t ^ np.uint64(0xA5A5A5A5))) + np.uint64(n)], np.uint64)).view(np.int64)[0]))
                 rank = levels[_cells(t)]
                 first = t[np.argsort(rank, kind="stable")] if rank.any() else t
                 prefix.append(first[: n + (-percent * n) // 100 + 1].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("print"), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["doc_id", "print", "class", "n", "prefix"],
+                [batch.column("doc_id"), batch.column("print"), pa.array(cls, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["doc_id", "print", "class", "n", "sig", "prefix"],
             )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(scan, f"doc_id {id_type}, print long, class long, n long, prefix array<long>")
+    return docs.mapInArrow(scan, f"doc_id {id_type}, print long, class long, n long, sig binary, prefix array<long>")
 
 
 def _once(rows: DataFrame) -> DataFrame:
     """The rows (token, class, ...) of one bucket, with its ``size``, for each set of members that is met in a bucket of two or more."""
     met = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("m1"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("m2")).where("size > 1")
-    return rows.join(apart(met.groupBy("size", "m1", "m2").agg(F.min("token").alias("token")).select("token", "size"), "token"), "token")
+    kept = settle(met.groupBy("size", "m1", "m2").agg(F.min("token").alias("token")).select("token", "size"))
+    return among(rows, kept, "token", FILTER_BITS).join(apart(kept, "token"), "token")
 
 
-def _signatures(store: DataFrame, width: int) -> DataFrame:
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_shingles(text, width) for text in batch.column("text")]
-            columns = [batch.column("class"), pa.array([len(t) for t in sets], pa.int64()), pa.array([signature(t).tobytes() for t in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["class", "n", "sig"])
-
-    return store.mapInArrow(sign, "class long, n long, sig binary")
+def _texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, text) of one row of each of the classes (class, rep). Rows of one id and text are met once."""
+    met = classes.select("class", F.col("rep.doc_id").alias("_i"), F.col("rep.print").alias("_p"), F.xxhash64("rep.doc_id", "rep.print").alias("row"))
+    rows = among(docs, met.select(F.col("_p").alias("print")), "print").withColumn("row", F.xxhash64("doc_id", "print"))
+    return rows.join(met, "row").where("doc_id <=> _i and print = _p").select("row", "class", "text").dropDuplicates(["row"]).drop("row")
 
 
-def _walked(cells: DataFrame, sigs: DataFrame, store: DataFrame, width: int, percent: int) -> DataFrame:
+def _walked(cells: DataFrame, sigs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The links (a, b: components) that trees find in cells (cell, side, class, component), each cell a group of bounded size."""
     cells = cells.dropDuplicates(["cell", "side", "class"])
-    light = cells.join(sigs, "class").repartition("cell").sortWithinPartitions("cell", "class")
+    light = cells.join(sigs, "class").select("cell", "side", "class", "component", "n", "sig").repartition("cell").sortWithinPartitions("cell", "class")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "cell"):
@@ -255,7 +255,8 @@ def _walked(cells: DataFrame, sigs: DataFrame, store: DataFrame, width: int, per
             yield from table.select(["cell", "side", "class", "component"]).filter(pa.array(stays)).combine_chunks().to_batches()
 
     left = settle(light.mapInArrow(mark, "cell long, side int, class long, component long"))
-    met = left.join(store, "class").select("cell", "side", "component", "text").repartition("cell").sortWithinPartitions("cell")
+    texts = _texts(classes.join(left.select("class").distinct(), "class", "left_semi"), docs)
+    met = left.join(texts, "class").select("cell", "side", "component", "text").repartition("cell").sortWithinPartitions("cell")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, "cell"):
@@ -311,16 +312,13 @@ def _placed(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
     sets = settle(_sets(source, _frequency_levels(source, width), width, percent))
     filled = sets.where("class is not null")
     classes = settle(filled.groupBy("class").agg(F.min(F.struct("doc_id", "print")).alias("rep"), F.min("doc_id").alias("id")))
-    rep = filled.join(classes.select("class", F.col("rep.doc_id").alias("_i"), F.col("rep.print").alias("_p")), "class").where("doc_id <=> _i and print = _p").select("class", "n", "prefix").dropDuplicates(["class"])
+    rep = filled.select("class", "n", "prefix").dropDuplicates(["class"])
     buckets = settle(_once(rep.select(F.explode("prefix").alias("token"), "class", "n")))
-    met = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", F.col("rep.doc_id").alias("_i"), F.col("rep.print").alias("_p"), F.xxhash64("rep.doc_id", "rep.print").alias("row"))
-    texts = among(source, met.select(F.col("_p").alias("print")), "print").withColumn("row", F.xxhash64("doc_id", "print")).join(met, "row").where("doc_id <=> _i and print = _p")
-    store = settle(texts.select("row", "class", "text").dropDuplicates(["row"]).drop("row"))  # rows of one id and text are met once
-    sigs = settle(_signatures(store, width))
-
-    first = settle(components(_walked(_home_cells(buckets), sigs, store, width, percent)))
+    sigs = filled.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "n", "sig").dropDuplicates(["class"])
+    sigs = settle(sigs)
+    first = settle(components(_walked(_home_cells(buckets), sigs, classes, source, width, percent)))
     placed = buckets.select("token", "class", "n").join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    second = components(_walked(_mixed_cells(placed, percent), sigs, store, width, percent))
+    second = components(_walked(_mixed_cells(placed, percent), sigs, classes, source, width, percent))
     second = second.select(F.col("node").alias("component"), F.col("component").alias("whole"))
 
     joined = classes.select("class", "id").join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
