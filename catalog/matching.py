@@ -357,4 +357,35 @@ Q["association_candidates"] = (
         WHERE iou >= CASE WHEN band = 'high' THEN 0.2 ELSE 0.4 END""", "det",
     ),
 )
+_LINKS = {
+    "d": "SELECT source_id, frame_index // 8 AS step, det_id, label, confidence, (track_id * 53) % 580 + frame_index % 5 AS x, (track_id * 29) % 300 AS y FROM det WHERE confidence >= 0.1",
+    "dw": "SELECT b.source_id, b.step, b.det_id, a.det_id AS prev_id, b.confidence < 0.3 AS weak, greatest(0, 50 - abs(a.x - b.x)) * greatest(0, 90 - abs(a.y - b.y)) AS both_ FROM d a JOIN d b ON a.source_id = b.source_id AND b.step = a.step + 1 AND a.label = b.label",
+    "de": "SELECT *, row_number() OVER (PARTITION BY source_id, step ORDER BY weak, -both_ / (9000.0::DOUBLE - both_), prev_id, det_id) AS i FROM dw WHERE both_ / (9000.0::DOUBLE - both_) >= CASE WHEN weak THEN 0.4 ELSE 0.2 END",
+    # Every frame's edges one after the other, best first; an edge is taken if neither of its ends is.
+    "dg": """SELECT source_id, step, i, det_id, prev_id, TRUE AS kept, [det_id] AS ds, [prev_id] AS ps FROM de WHERE i = 1
+        UNION ALL SELECT n.source_id, n.step, n.i, n.det_id, n.prev_id, NOT (list_contains(p.ds, n.det_id) OR list_contains(p.ps, n.prev_id)),
+        CASE WHEN list_contains(p.ds, n.det_id) OR list_contains(p.ps, n.prev_id) THEN p.ds ELSE list_append(p.ds, n.det_id) END,
+        CASE WHEN list_contains(p.ds, n.det_id) OR list_contains(p.ps, n.prev_id) THEN p.ps ELSE list_append(p.ps, n.prev_id) END
+        FROM dg p JOIN de n ON n.source_id = p.source_id AND n.step = p.step AND n.i = p.i + 1""",
+    "dl": "SELECT source_id, step, det_id, prev_id FROM dg WHERE kept",
+    # Chains from their heads on, one step per round.
+    "dh": """SELECT source_id, step, det_id, step AS head_step, det_id AS head_det_id FROM d WHERE NOT EXISTS (SELECT 1 FROM dl WHERE dl.source_id = d.source_id AND dl.step = d.step AND dl.det_id = d.det_id)
+        UNION ALL SELECT l.source_id, l.step, l.det_id, h.head_step, h.head_det_id FROM dh h JOIN dl l ON l.source_id = h.source_id AND l.step = h.step + 1 AND l.prev_id = h.det_id""",
+}
+
+
+def _paired(spark, d):
+    return ln.pair_frames(ln.association_candidates(_steps(spark, d)))
+
+
+Q["pair_frames"] = (_paired, v.sql("SELECT source_id, step, det_id, prev_id FROM dl", "det", ctes=_LINKS))
+
+
+def chained(spark, d, steps=ln.SLICE_STEPS):
+    nodes = _steps(spark, d).where("confidence >= 0.1").select("source_id", "step", "det_id").join(_paired(spark, d), ["source_id", "step", "det_id"], "left")
+    return ln.chain_heads(nodes.withColumn("prev_step", F.when(F.col("prev_id").isNotNull(), F.col("step") - 1)), ["step", "det_id"], ["prev_step", "prev_id"], steps=steps)
+
+
+Q["chain_heads"] = (chained, v.sql("SELECT source_id, step, det_id, head_step, head_det_id FROM dh", "det", ctes=_LINKS))
+Q["chain_heads_narrow"] = (lambda spark, d: chained(spark, d, steps=3), v.sql("SELECT source_id, step, det_id, head_step, head_det_id FROM dh", "det", ctes=_LINKS))
 Q["link_tracks"] = (lambda spark, d: ln.link_tracks(_steps(spark, d)).select("source_id", "step", "det_id", "track_id", "entity_id", "hits"), None)

@@ -3,14 +3,17 @@
 A live tracker pairs every track with every box of the next frame, one frame after the other. Here
 all frames are paired at once: each box with its best partner in the frame before, chains of such
 links become tracklets, tracklets are stitched over gaps, and what lived long enough is published.
-Mutual best partners stand in for the optimal pairing and the last few steps for a motion filter,
+Taking a frame's best overlaps first stands in for the optimal pairing and the last few steps for a motion filter,
 so identities can differ where boxes tie; ``clear_mot`` and ``idf1`` measure by how much.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,46 +75,69 @@ def mutual_best(pairs: DataFrame, left: list[str], right: list[str], score: list
     return ranked.where((F.col("_l") == 1) & (F.col("_r") == 1)).drop("_l", "_r")
 
 
-def _links(dets: DataFrame, s: LinkSettings) -> DataFrame:
-    """Each box's predecessor: strong boxes choose first, what is left over goes to weak ones.
+def pair_frames(pairs: DataFrame) -> DataFrame:
+    """Each box's predecessor (source_id, step, det_id, prev_id): strong boxes choose first, what is left over goes to weak ones.
 
-    A band's rounds end when no pair is open. The best open pair of a frame is mutual, so each round
-    adds one at least; the rounds are the longest run of boxes that wait for one another.
+    A frame's edges are taken from the best overlap down, each if both its ends are still free. All frames are
+    folded at once; a frame holds at most what the detector lets through.
     """
-    pairs = settle(association_candidates(dets, s))
-    later, earlier = ["source_id", "step", "det_id"], ["source_id", "step", "prev_id"]
-    score = [F.desc("iou"), F.asc("prev_id"), F.asc("det_id")]
-    chosen = None
-    for band in ("high", "low"):
-        open_ = pairs.where(F.col("band") == band)
-        while True:
-            if chosen is not None:
-                open_ = settle(open_.join(chosen.select(*later), later, "left_anti").join(chosen.select(*earlier), earlier, "left_anti"))
-            if open_.isEmpty():
-                break
-            best = mutual_best(open_, earlier, later, score).select(*later, "prev_id")
-            chosen = settle(best if chosen is None else chosen.unionByName(best))
-    return pairs.select(*later, "prev_id") if chosen is None else chosen
-
-
-def chain_heads(nodes: DataFrame, key: list[str], parent: list[str]) -> DataFrame:
-    """``head_*`` of every node: parents of parents, doubling until nothing moves.
-
-    ``key`` are the identifying columns beside ``source_id``, ``parent`` the same of the predecessor (null
-    at a head). The rounds are the logarithm of the longest chain, and a chain is never in one task.
+    edge = F.struct((F.col("band") != "high").alias("weak"), (-F.col("iou")).alias("cost"), "prev_id", "det_id")
+    ids = pairs.schema["det_id"].dataType.simpleString()
+    frames = pairs.groupBy("source_id", "step").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    none = F.array().cast(f"array<struct<prev_id:{ids},det_id:{ids}>>")
+
+    def take(taken: Column, e: Column) -> Column:
+        busy = F.exists(taken, lambda t: (t["prev_id"] == e["prev_id"]) | (t["det_id"] == e["det_id"]))
+        return F.when(busy, taken).otherwise(F.concat(taken, F.array(F.struct(e["prev_id"].alias("prev_id"), e["det_id"].alias("det_id")))))
+
+    chosen = frames.select("source_id", "step", F.inline(F.aggregate("edges", none, take)))
+    return chosen.select(*NODE, "prev_id")
+
+
+SLICE_STEPS = 256
+
+
+def _heads_inside(key: list[str], parent: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Heads of chains as far as one slice reaches, by jumping from parent to parent in arrays."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = pd.MultiIndex.from_frame(pdf[key])
+        up = place.get_indexer(pd.MultiIndex.from_frame(pdf[parent].set_axis(key, axis=1).fillna(-1).astype(pdf[key].dtypes.to_dict())))
+        up = np.where(pdf[parent[0]].isna() | (up < 0), np.arange(len(pdf)), up)
+        while (up[up] != up).any():
+            up = up[up]
+        head = pdf.iloc[up].reset_index(drop=True)
+        return pd.DataFrame({"source_id": pdf["source_id"], **{k: pdf[k] for k in key}, **{f"_top_{k}": head[k].to_numpy() for k in key}, **{f"_over_{k}": head[p].to_numpy() for k, p in zip(key, parent)}})
+
+    return run
+
+
+def chain_heads(nodes: DataFrame, key: list[str], parent: list[str], *, steps: int = SLICE_STEPS) -> DataFrame:
+    """``head_*`` of every node.
+
+    ``key`` are the identifying columns beside ``source_id``, a step first, ``parent`` the same of the predecessor (null at a
+    head, else of an earlier step). Chains are followed inside slices of ``steps`` steps; what is left is a chain of
+    slice heads, which doubling shortens until none has a parent. The rounds are the logarithm of the slices a
+    chain runs through, over one row per slice and chain, and a chain is never in one task.
     """
-    heads = [f"head_{k}" for k in key]
-    at = nodes.select("source_id", *key, *[F.coalesce(p, k).alias(h) for p, k, h in zip(parent, key, heads)])
-    at = settle(at)
-    while True:
-        onward = at.select("source_id", *[F.col(k).alias(h) for k, h in zip(key, heads)], *[F.col(h).alias(f"_{h}") for h in heads])
-        jumped = at.join(onward, ["source_id", *heads]).withColumn(
-            "_moved", F.lit(False) if not heads else ~(F.struct(*heads).eqNullSafe(F.struct(*[F.col(f"_{h}").alias(h) for h in heads])))
-        )
-        jumped = settle(jumped.select("source_id", *key, *[F.col(f"_{h}").alias(h) for h in heads], "_moved"))
-        at = jumped.drop("_moved")
-        if jumped.where("_moved").isEmpty():
-            return at
+    heads, tops, overs = ([f"{prefix}_{k}" for k in key] for prefix in ("head", "_top", "_over"))
+    types = {k: nodes.schema[k].dataType.simpleString() for k in ("source_id", *key)}
+    shape = ", ".join([f"{c} {types[c]}" for c in ("source_id", *key)] + [f"{c} {types[k]}" for names in (tops, overs) for c, k in zip(names, key)])
+    rows = nodes.select("source_id", *key, *parent, F.floor(F.col(key[0]) / steps).alias("_slice"))
+    inside = settle(rows.groupBy("source_id", "_slice").applyInPandas(_heads_inside(key, parent), shape))
+    # One row per slice head: where it goes on, in terms of the head of that row's own slice.
+    above = inside.select("source_id", *[F.col(k).alias(o) for k, o in zip(key, overs)], *[F.col(t).alias(f"_next{t}") for t in tops])
+    edges = inside.select("source_id", *tops, *overs).where(F.col(overs[0]).isNotNull()).distinct().join(above, ["source_id", *overs])
+    open_ = settle(edges.select("source_id", *tops, *[F.col(f"_next{t}").alias(h) for t, h in zip(tops, heads)]))
+    while not open_.isEmpty():
+        onward = open_.select("source_id", *[F.col(t).alias(h) for t, h in zip(tops, heads)], *[F.col(h).alias(f"_{h}") for h in heads])
+        jumped = settle(open_.join(onward, ["source_id", *heads], "left").withColumn("_moved", F.col(f"_{heads[0]}").isNotNull()))
+        moved = jumped.where("_moved").isEmpty()
+        open_ = jumped.select("source_id", *tops, *[F.coalesce(f"_{h}", h).alias(h) for h in heads])
+        if moved:
+            break
+    out = inside.select("source_id", *key, *tops).join(open_, ["source_id", *tops], "left")
+    return out.select("source_id", *key, *[F.coalesce(h, t).alias(h) for h, t in zip(heads, tops)])
 
 
 def _shifted(b: Column, dx: Column, dy: Column) -> Column:
@@ -171,7 +197,7 @@ def link_tracks(dets: DataFrame, settings: LinkSettings = LinkSettings()) -> Dat
     """
     s = settings
     dets = settle(dets.where(F.col("confidence") >= s.low).select(*NODE, "t_us", "box", "label", "confidence"))
-    links = _links(dets, s)
+    links = pair_frames(association_candidates(dets, s))
     nodes = dets.select(*NODE).join(links, list(NODE), "left").withColumn("prev_step", F.when(F.col("prev_id").isNotNull(), F.col("step") - 1))
     chained = settle(dets.join(chain_heads(nodes, ["step", "det_id"], ["prev_step", "prev_id"]), list(NODE)))
     tracklets = settle(_tracklets(chained, s))

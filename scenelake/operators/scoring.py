@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scenelake.functions.boxes import iou
 from scenelake.operators.assignment import best_matching
+from scenelake.plans.components import component_of
 from scenelake.plans.segments import SLICE, carry
 from scenelake.session import settle
 
@@ -45,7 +46,7 @@ def false_positives(flagged: DataFrame, planted: DataFrame) -> DataFrame:
 # --- tracking accuracy ----------------------------------------------------------------------
 
 FRAMES_PER_SLICE = 100_000
-STRETCH_FRAMES = 2_000
+BUNDLE_ROWS = 20_000
 _MATCH = ("source_id", "frame_index", "object_id", "track_id", "iou")
 
 
@@ -57,10 +58,23 @@ def overlaps(truth: DataFrame, pred: DataFrame) -> DataFrame:
     return met.where(F.col("iou") > 0).drop("_tb", "_pb")
 
 
-def _contested_stretch(threshold: float):
-    """One stretch of contested frames in order: the pairing of the frame before has priority."""
+def _bundled(links: DataFrame, by: list[str]) -> DataFrame:
+    """``links`` (object_id, track_id, ...) with ``_component`` and ``_bundle``: what can compete for a partner, alone among ``by``, is in one bundle.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    Bundles are dealt by hash to hold some ``BUNDLE_ROWS`` links; only a single component can make one larger.
+    """
+    node = lambda side, c: F.xxhash64(*by, F.lit(side), c)
+    ends = settle(links.withColumns({"_o": node(0, "object_id"), "_t": node(1, "track_id")}))
+    parts = component_of(ends.select(F.col("_o").alias("a"), F.col("_t").alias("b")))
+    bundles = max(1, -(-ends.count() // BUNDLE_ROWS))
+    named = ends.join(parts.select(F.col("node").alias("_o"), F.col("component").alias("_component")), "_o").drop("_o", "_t")
+    return named.withColumn("_bundle", F.pmod(F.xxhash64("_component"), F.lit(bundles)))
+
+
+def _contested_frames(threshold: float):
+    """Contested frames in order: the pairing of the frame before has priority."""
+
+    def walk(pdf: pd.DataFrame) -> list[tuple]:
         out, latest = [], {}
         for frame, rows in pdf.sort_values(["frame_index", "object_id", "track_id"]).groupby("frame_index", sort=True):
             weights = {(o, t): w for o, t, w in zip(rows.object_id, rows.track_id, rows.iou)}
@@ -79,7 +93,10 @@ def _contested_stretch(threshold: float):
             for o, t in pairs:
                 latest[o] = (frame, t)
                 out.append((pdf.source_id.iloc[0], frame, o, t, weights[o, t]))
-        return pd.DataFrame(out, columns=list(_MATCH))
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([row for _, rows in pdf.groupby("source_id", sort=False) for row in walk(rows)], columns=list(_MATCH))
 
     return run
 
@@ -88,8 +105,9 @@ def match_truth(truth: DataFrame, pred: DataFrame, iou_threshold: float = 0.5) -
     """One-to-one pairs per frame: a pairing that held last time is kept, the rest is the best overall.
 
     Where an object meets one prediction and that prediction meets nothing else, the pair is settled
-    without looking anywhere else; that is nearly every frame. Contested frames are walked in order,
-    but only in stretches tied together by an object contested twice in a row.
+    without looking anywhere else; that is nearly every frame. Contested frames are walked in order, but only
+    in stretches tied together by an object contested twice in a row, and in a stretch only objects and
+    tracks that compete, directly or over others, are walked together.
     """
     pairs = overlaps(truth, pred)
     frame = ["source_id", "frame_index"]
@@ -122,9 +140,8 @@ def match_truth(truth: DataFrame, pred: DataFrame, iou_threshold: float = 0.5) -
     rows = rows.withColumn("forced_frame", F.coalesce("forced_frame", F.lit(-1)))
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
     schema = ", ".join(f"{c} {kinds[c]}" for c in _MATCH)
-    # Neighbouring short stretches share a task call; each keeps its own memory by what its rows carry.
-    batch = F.floor(F.col("_stretch") / STRETCH_FRAMES).alias("_batch")
-    walked = rows.groupBy("source_id", batch).applyInPandas(_contested_stretch(iou_threshold), schema)
+    bundled = _bundled(rows, ["source_id", "_stretch"])
+    walked = bundled.groupBy("_bundle").applyInPandas(_contested_frames(iou_threshold), schema)
     return forced.unionByName(walked)
 
 
@@ -168,7 +185,7 @@ def idf1(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
     """Identity counts per source under the best one-to-one pairing of whole trajectories.
 
     Frames are counted per (object, track) first. A pair whose two sides meet nobody else is settled
-    by the count alone; only the other counts of a source meet in a task.
+    by the count alone; of the others those that compete, directly or over others, meet in a task.
     """
     shared = matches.groupBy("source_id", "object_id", "track_id").agg(F.count(F.lit(1)).alias("n"))
     one = F.count(F.lit(1))
@@ -176,13 +193,15 @@ def idf1(truth: DataFrame, pred: DataFrame, matches: DataFrame) -> DataFrame:
     shared = settle(shared.withColumn("_alone", alone))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        edges = list(zip(pdf.object_id, pdf.track_id, pdf.n.astype(float)))
-        weight = {(o, t): w for o, t, w in edges}
-        total = sum(weight[o, t] for o, t in best_matching(edges).items())
-        return pd.DataFrame({"source_id": [pdf.source_id.iloc[0]], "idtp": [int(total)]})
+        out = []
+        for _, rows in pdf.groupby("_component", sort=False):
+            weight = dict(zip(zip(rows.object_id, rows.track_id), rows.n.astype(float)))
+            chosen = best_matching([(o, t, w) for (o, t), w in weight.items()])
+            out.append((rows.source_id.iloc[0], int(sum(weight[pair] for pair in chosen.items()))))
+        return pd.DataFrame(out, columns=["source_id", "idtp"])
 
     sure = shared.where("_alone").groupBy("source_id").agg(F.sum("n").alias("idtp"))
-    open_ = shared.where("not _alone").groupBy("source_id").applyInPandas(run, "source_id string, idtp long")
+    open_ = _bundled(shared.where("not _alone"), ["source_id"]).groupBy("_bundle").applyInPandas(run, "source_id string, idtp long")
     idtp = sure.unionByName(open_).groupBy("source_id").agg(F.sum("idtp").alias("idtp"))
     t = truth.groupBy("source_id").agg(F.count(F.lit(1)).alias("_t"))
     p = pred.groupBy("source_id").agg(F.count(F.lit(1)).alias("_p"))
