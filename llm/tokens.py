@@ -201,9 +201,10 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "nth")
 
 
-def write_store(docs: DataFrame, tokenizer: str, *, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, shard_chars: int = SHARD_CHARS, bucket_keys: int = BUCKET_KEYS) -> TokenStore:
+def write_store(docs: DataFrame, tokenizer: str, *, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", order: list[str] | None = None, end_id: int = END_ID, shard_chars: int = SHARD_CHARS, bucket_keys: int = BUCKET_KEYS) -> TokenStore:
     """Encode every whole text, append ``end_id``, and write shards and index.
 
+    Documents lie in the shards by ascending id, or by the columns of ``order``; these also number the rows of one id then.
     Null texts are empty and hold the end id alone. A null id sorts first and is a key like any other;
     rows of one id are numbered ``nth`` from 0 by their text. Other columns are ignored; an empty table
     gives a store without shards.
@@ -212,7 +213,13 @@ def write_store(docs: DataFrame, tokenizer: str, *, folder: str | None = None, d
     root = folder or f"{shared_folder(spark)}/tokens/{uuid.uuid4().hex}"
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    ordered = rows.repartitionByRange(max(1, -(-chars // shard_chars)), "doc_id").sortWithinPartitions("doc_id", "text")
+    shards_wanted = max(1, -(-chars // shard_chars))
+    if order:
+        keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.struct(*order).alias("order"))
+        numbered = keyed.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("order")).cast("long") - 1)
+        ordered = numbered.repartitionByRange(shards_wanted, "order").sortWithinPartitions("order").drop("order")
+    else:
+        ordered = rows.repartitionByRange(shards_wanted, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("nth", F.lit(None).cast("long"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +232,8 @@ def write_store(docs: DataFrame, tokenizer: str, *, folder: str | None = None, d
             out = out or _create(path)
             cells: list[tuple[int, int, int]] = []
             ids = batch.column("doc_id").to_pylist()
-            for key, packed in zip(ids, encode(batch.column("text").to_pylist(), tokenizer), strict=True):
-                nth, last = (nth + 1 if key == last else 0), key
+            for key, given, packed in zip(ids, batch.column("nth").to_pylist(), encode(batch.column("text").to_pylist(), tokenizer), strict=True):
+                nth, last = given if given is not None else nth + 1 if key == last else 0, key
                 out.write(packed + end)
                 length = len(packed) // 2 + 1
                 cells.append((nth, offset, length))
@@ -315,7 +322,7 @@ def read_documents(store: TokenStore, keys: DataFrame, payload: bool = False) ->
     return placed.mapInArrow(read, f"doc_id {id_type}, nth long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * payload)
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, order: list[str] | None = None) -> DataFrame:
     """Write a store of ``docs`` and read every document back from its files."""
-    store = write_store(docs, tokenizer)
+    store = write_store(docs, tokenizer, order=order)
     return read_documents(store, store.keys)
