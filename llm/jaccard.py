@@ -36,7 +36,7 @@ from scenelake.session import settle
 CELLS = 1 << 17
 FAN = 8
 DENSITY = 8
-DENSE = 1024
+DENSE = 4096
 WIDE = 16
 BITMAP_CELLS = 1 << 26
 BLOCK = 512
@@ -182,7 +182,10 @@ def forest(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, perc
 
 
 def _frequency_levels(texts: DataFrame, width: int) -> np.ndarray:
-    """For each hash cell a coarse level of how often its shingles occur; ``CELLS`` bytes, whatever the input."""
+    """For each hash cell how far its shingles' count lies above that of a usual cell, in halves of a standard deviation; ``CELLS`` small numbers, whatever the input.
+
+    A shingle of many documents stands out of the cell's other ones, the more the larger the input is.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
@@ -195,7 +198,8 @@ def _frequency_levels(texts: DataFrame, width: int) -> np.ndarray:
     out = np.zeros(CELLS, np.int64)
     for r in texts.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r["cell"]] = r["n"]
-    return np.log2(np.maximum(1, out / max(1, out.mean()))).astype(np.uint8)
+    usual = max(1.0, float(out.mean()))
+    return np.clip(2 * (out - usual) / np.sqrt(usual), 0, 65_535).astype(np.uint16)
 
 
 def _sets(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -314,8 +318,8 @@ def _placed(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
     classes = settle(filled.groupBy("class").agg(F.min(F.struct("doc_id", "print")).alias("rep"), F.min("doc_id").alias("id")))
     rep = filled.select("class", "n", "prefix").dropDuplicates(["class"])
     buckets = settle(_once(rep.select(F.explode("prefix").alias("token"), "class", "n")))
-    sigs = filled.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "n", "sig").dropDuplicates(["class"])
-    sigs = settle(sigs)
+    met = settle(buckets.select("class").distinct())
+    sigs = settle(among(filled.select("class", "n", "sig"), met, "class").join(met, "class", "left_semi").dropDuplicates(["class"]))
     first = settle(components(_walked(_home_cells(buckets), sigs, classes, source, width, percent)))
     placed = buckets.select("token", "class", "n").join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     second = components(_walked(_mixed_cells(placed, percent), sigs, classes, source, width, percent))
