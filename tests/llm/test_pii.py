@@ -69,3 +69,41 @@ def test_runs_of_digit_groups_are_candidates(spark):
 def test_long_runs_of_digit_groups(spark):
     rows = [(1, "12 " * 20000 + "x"), (2, "(1) " * 20000), (3, "1-" * 20000 + " 2")]
     assert all(r["spans"] == [] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_recall_and_precision_of_discovery(spark):
+    """Unseen identifiers in contexts that seeds have too, contexts shared with a few other words, and look-alikes elsewhere."""
+    contexts = {
+        "email": [("reach me at", "any time"), ("cc the mailbox", "for details"), ("from sender", "yesterday evening")],
+        "phone": [("call my cell", "after six"), ("fax to", "before noon"), ("whatsapp number", "is best")],
+        "card": [("charged to visa", "last week"), ("mastercard no.", "was declined"), ("debit from", "went through")],
+        "ip": [("ping host", "from outside"), ("ssh into", "with care"), ("blocked address", "by rule")],
+    }
+    seed = {"email": "u{0}@h{0}.example.org", "phone": "+1 212 555 {1}", "card": "4111111111111111", "ip": "10.0.{2}.{3}"}
+    unseen = {"email": "u{0}[at]h{0}", "phone": "(212) 555-{1}", "card": "4111-22{1}", "ip": "10-0-{2}-{3}x"}
+    fill = lambda form, i: form.format(i, 1000 + i, i % 200, (7 * i) % 250)
+    rows, planted, alike = [], set(), set()
+    for kind, places in contexts.items():
+        for left, right in places:
+            for i in range(20):
+                rows.append((len(rows), f"well {left} {fill(seed[kind], i) if kind != 'card' else _card(i)} {right} thanks"))
+            for i in range(10):
+                rows.append((len(rows), f"well {left} {fill(unseen[kind], 500 + i)} {right} thanks"))
+                planted.add(len(rows) - 1)
+            rows.append((len(rows), f"well {left} nobody {right} thanks"))
+    for i in range(120):
+        rows.append((len(rows), f"room {fill(list(unseen.values())[i % 4], 900 + i)} holds {i} sheep at gate {i}b"))
+        alike.add(len(rows) - 1)
+    out = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {r["doc_id"] for r in out if len(r["spans"]) > len(r["base"])}
+    recall, precision = len(added & planted) / len(planted), len(added & planted) / max(1, len(added))
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision)
+    kinds = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in out}
+    assert sum(k in kinds[i] for i in planted for k in contexts if rows[i][1].split()[1] in {p[0].split()[0] for p in contexts[k]}) >= 0.9 * len(planted)
+    assert not alike & added
+
+
+def _card(i):
+    digits = [4, *map(int, f"{i:014d}")]
+    check = next(c for c in range(10) if _luhn("".join(map(str, [*digits, c]))))
+    return "".join(map(str, [*digits, check]))
