@@ -459,14 +459,15 @@ Q["highest_severity"] = (
 
 
 def retired(spark, d):
-    """Entities remembered from the first steps that are gone by step 40."""
+    """Of all entities a camera has seen, those not on its last step."""
     t = v.tracks(spark, d)
-    return ru.retired_keys(t.where("step < 10").select("source_id", "entity_id").distinct(), t.where("step = 40")).select("source_id", "entity_id")
+    last = t.groupBy("source_id").agg(F.max("step").alias("step"))
+    return ru.retired_keys(t.select("source_id", "entity_id").distinct(), t.join(last, ["source_id", "step"], "left_semi")).select("source_id", "entity_id")
 
 
 Q["retired_keys"] = (
     retired,
     v.sql(
-        """SELECT DISTINCT source_id, entity_id FROM tr WHERE step < 10 AND entity_id NOT IN (SELECT entity_id FROM tr WHERE step = 40)""", "tr",
+        """SELECT DISTINCT source_id, entity_id FROM tr EXCEPT SELECT source_id, entity_id FROM tr JOIN (SELECT source_id, max(step) AS step FROM tr GROUP BY source_id) USING (source_id, step)""", "tr",
     ),
 )

@@ -153,7 +153,7 @@ def null_camera(spark, d):
 
 def whole(spark, d):
     """All cameras together, 6-hour buckets on a custom origin after ``since``."""
-    out = s.bucket_series(v.sparse(spark, d), "entities", since=LO + 1800, until=HI - 100, interval_s=21600.0, origin=float(LO + 86400))
+    out = s.bucket_series(v.observations(spark, d), "entities", since=LO + 1800, until=HI - 100, interval_s=21600.0, origin=float(LO + 86400))
     return start(out).select("bucket", "start_s", "value", "samples")
 
 
@@ -163,9 +163,9 @@ Q["series_custom_origin"] = (
     v.sql(
         f"""SELECT t.b AS bucket, {LO + 86400} + t.b * 21600 AS start_s, coalesce(value, 0) AS value, coalesce(samples, 0) AS samples
         FROM range({_n_from}, {_n_to + 1}) t(b) LEFT JOIN a ON a.b = t.b""",
-        "sparse",
+        "obs",
         ctes={"a": f"""SELECT CAST(floor((us / 1000000.0 - {LO + 86400}) / 21600) AS BIGINT) AS b, CAST(count(DISTINCT entity_id) AS DOUBLE) AS value, count(*) AS samples
-            FROM sparse WHERE us >= {LO}000000 AND us < {LO + 86400 + 116 * 21600}000000 GROUP BY 1"""},
+            FROM obs WHERE us >= {LO}000000 AND us < {LO + 86400 + 116 * 21600}000000 GROUP BY 1"""},
     ),
 )
 
@@ -186,6 +186,13 @@ Q["series_rollup"] = (
 )
 
 
+def _full_series(spark, d):
+    return s.mark_observed_zeros(s.bucket_series(v.observations(spark, d), "entities", since=LO, until=HI, interval_s=3600.0, keys=["camera_id"]), ["camera_id"])
+
+
+_full_c = series_ctes("obs", VALUE["entities"], LO, HI) | zeros_ctes("ser", "z")
+
+
 def _sparse_series(spark, d):
     return s.bucket_series(v.sparse(spark, d), "entities", since=LO, until=HI, interval_s=3600.0, keys=["camera_id"])
 
@@ -230,7 +237,7 @@ Q["gap_report"] = (
 
 
 def rebucketed(spark, d):
-    out = s.rebucket(s.mark_observed_zeros(_sparse_series(spark, d), ["camera_id"]), 6, "entities", ["camera_id"])
+    out = s.rebucket(_full_series(spark, d), 6, "entities", ["camera_id"])
     return start(out).select("camera_id", "bucket", "start_s", "width_s", "value", "samples", "known_zero")
 
 
@@ -238,13 +245,13 @@ Q["rebucket"] = (
     rebucketed,
     v.sql(
         """SELECT camera_id, bucket // 6 AS bucket, min(start_s) AS start_s, 21600.0::DOUBLE AS width_s, sum(value) AS value, CAST(sum(samples) AS BIGINT) AS samples,
-        bool_and(known_zero) AND sum(samples) = 0 AS known_zero FROM z GROUP BY camera_id, bucket // 6""", "sparse", ctes=_sparse_c | zeros_ctes("ser", "z"),
+        bool_and(known_zero) AND sum(samples) = 0 AS known_zero FROM z GROUP BY camera_id, bucket // 6""", "obs", ctes=_full_c,
     ),
 )
 
 
 def stats(spark, d):
-    out = s.series_stats(s.mark_observed_zeros(_sparse_series(spark, d), ["camera_id"]), ["camera_id"])
+    out = s.series_stats(_full_series(spark, d), ["camera_id"])
     return out.select(
         "camera_id", "buckets", "occupied", F.round("coverage", 6).alias("coverage"), "total", F.round("mean", 6).alias("mean"), "peak_value",
         F.unix_seconds("peak_start").alias("peak_s"), "quiet_value", F.unix_seconds("quiet_start").alias("quiet_s"),
@@ -257,7 +264,7 @@ Q["series_stats"] = (
     v.sql(
         f"""SELECT camera_id, count(*) AS buckets, count(*) FILTER {_occ} AS occupied, round(count(*) FILTER {_occ} / count(*), 6) AS coverage, sum(value) AS total,
         round(avg(value) FILTER {_occ}, 6) AS mean, max(value) AS peak_value, arg_max(start_s, value * 100000 - bucket) AS peak_s, min(value) FILTER {_occ} AS quiet_value,
-        arg_min(start_s, value * 100000 + bucket) FILTER {_occ} AS quiet_s FROM z GROUP BY camera_id""", "sparse", ctes=_sparse_c | zeros_ctes("ser", "z"),
+        arg_min(start_s, value * 100000 + bucket) FILTER {_occ} AS quiet_s FROM z GROUP BY camera_id""", "obs", ctes=_full_c,
     ),
 )
 
@@ -400,7 +407,7 @@ Q["top_anomalies"] = (
 
 
 def report(spark, d):
-    out = r.series_report(s.mark_observed_zeros(_sparse_series(spark, d), ["camera_id"]), "entities", ["camera_id"])
+    out = r.series_report(_full_series(spark, d), "entities", ["camera_id"])
     return out.select(
         "camera_id", "buckets", "occupied", F.round("coverage", 6).alias("coverage"), "total", F.round("typical", 6).alias("typical"), "busiest",
         F.unix_seconds("busiest_start").alias("busiest_s"), "nothing_recorded", "too_few", F.coalesce("coverage_warning", F.lit("-")).alias("coverage_warning"),
@@ -414,7 +421,7 @@ Q["series_report"] = (
         CASE WHEN occupied >= 6 THEN peak_s END AS busiest_s, occupied = 0 AS nothing_recorded, occupied BETWEEN 1 AND 5 AS too_few,
         CASE WHEN occupied / buckets < 0.25 THEN 'low' WHEN occupied / buckets < 0.7 THEN 'partial' ELSE '-' END AS coverage_warning FROM (
         SELECT camera_id, count(*) AS buckets, count(*) FILTER {_occ} AS occupied, sum(value) AS total, avg(value) FILTER {_occ} AS mean, max(value) AS peak,
-        arg_max(start_s, value * 100000 - bucket) AS peak_s FROM z GROUP BY camera_id)""", "sparse", ctes=_sparse_c | zeros_ctes("ser", "z"),
+        arg_max(start_s, value * 100000 - bucket) AS peak_s FROM z GROUP BY camera_id)""", "obs", ctes=_full_c,
     ),
 )
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +49,26 @@ def _settled_folder(spark: SparkSession) -> str:
 
 def release(spark: SparkSession) -> None:
     """Delete this application's settled tables; frames built on them can no longer be read."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_settled_folder(spark))
+    remove_folder(spark, _settled_folder(spark))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+@contextmanager
+def settled(df: DataFrame) -> Iterator[DataFrame]:
+    """``settle`` for the length of a block: the written copy is removed at its end, so nothing built on it may leave the block."""
+    path = f"{_settled_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove_folder(df.sparkSession, path)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

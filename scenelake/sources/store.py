@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scenelake.functions.clock import epoch_s, us
-from scenelake.session import settle
+from scenelake.session import settle, settled
 from scenelake.sources.schemas import PARTITIONS, TABLES
 
 
@@ -106,14 +106,14 @@ def route_records(batch: DataFrame, path: str, staging: str | None = None) -> No
     Read once from a settled copy, however many tables it feeds; with ``staging`` (a folder of this
     batch alone) a repeated call adds nothing.
     """
-    kept = settle(batch)
-    for kind in TABLES:
-        if kind in kept.columns:
-            rows = kept.where(F.col("kind") == kind).select(f"{kind}.*")
-            if staging:
-                append_once(rows, kind, path, f"{staging}/{kind}")
-            else:
-                append_records(rows, kind, path)
+    with settled(batch) as kept:
+        for kind in TABLES:
+            if kind in kept.columns:
+                rows = kept.where(F.col("kind") == kind).select(f"{kind}.*")
+                if staging:
+                    append_once(rows, kind, path, f"{staging}/{kind}")
+                else:
+                    append_records(rows, kind, path)
 
 
 def prune(spark: SparkSession, path: str, horizons: Mapping[str, float]) -> DataFrame:

@@ -15,6 +15,7 @@ from scenelake.functions.clock import slot_index
 from scenelake.functions.robust import SENSITIVITY
 from scenelake.operators.series import metric_named
 from scenelake.plans.joins import join_on
+from scenelake.session import remove_folder
 from scenelake.sources.store import append_once, route_records
 
 FRAME_LATENESS = "10 seconds"
@@ -102,6 +103,11 @@ def stream_liveness(beats: DataFrame, silence_ms: int = 180_000) -> DataFrame:
     )
 
 
+def _forget_staged(batch: DataFrame, checkpoint: str, batch_id: int) -> None:
+    """A batch starts once the one before is committed and can no longer be replayed; so the folder before that goes."""
+    remove_folder(batch.sparkSession, f"{checkpoint}/staged/{batch_id - 1}")
+
+
 def stream_sink(stream: DataFrame, kind: str, path: str, checkpoint: str, *, every: str | None = "2 seconds") -> StreamingQuery:
     """Append to a stored table. With ``every`` None all that is there is taken and the query ends.
 
@@ -110,6 +116,7 @@ def stream_sink(stream: DataFrame, kind: str, path: str, checkpoint: str, *, eve
 
     def write(batch: DataFrame, batch_id: int) -> None:
         append_once(batch, kind, path, f"{checkpoint}/staged/{batch_id}")
+        _forget_staged(batch, checkpoint, batch_id)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -120,6 +127,7 @@ def stream_route(stream: DataFrame, path: str, checkpoint: str, *, every: str |
 
     def write(batch: DataFrame, batch_id: int) -> None:
         route_records(batch, path, f"{checkpoint}/staged/{batch_id}")
+        _forget_staged(batch, checkpoint, batch_id)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -12,6 +12,7 @@ from scenelake.operators import relations as rel
 from scenelake.operators import series as s
 from scenelake.operators.zones import Zone
 from scenelake.session import shared_folder
+from scenelake.sources.store import read_observations
 from scenelake.streaming import stateful as st
 from scenelake.streaming import windows as sw
 
@@ -115,3 +116,19 @@ def test_a_baseline_of_something_else_is_refused(spark, wrong):
     other = s.bucket_series(o, "observations", since=views.START, until=views.END, interval_s=kw["interval_s"], keys=["camera_id"])
     with pytest.raises(Exception, match="cannot judge"):
         b.detect(other, base, ["camera_id"], period_hours=kw["period_hours"], metric=kw["metric"]).collect()
+
+
+def test_an_endless_route_gives_its_disk_back(spark):
+    """Many small batches leave no settled copy and one staging folder at most behind, and every row once."""
+    import os
+
+    base = f"{shared_folder(spark)}/route/{uuid.uuid4().hex}"
+    rows = views.observations(spark, SF).limit(36).select("id", "timestamp", "camera_id", "entity_id", "entity_type", "motion", "speed", "zones", "frame_index")
+    mixed = rows.select(F.lit("observations").alias("kind"), F.struct(*rows.columns).alias("observations")).repartition(12)
+    mixed.write.parquet(f"{base}/in")
+    before = set(os.listdir(f"{shared_folder(spark)}/settled/{spark.sparkContext.applicationId}")) if os.path.isdir(f"{shared_folder(spark)}/settled/{spark.sparkContext.applicationId}") else set()
+    stream = spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    sw.stream_route(stream, f"{base}/store", f"{base}/ck", every=None).awaitTermination()
+    after = set(os.listdir(f"{shared_folder(spark)}/settled/{spark.sparkContext.applicationId}"))
+    assert after == before and len(os.listdir(f"{base}/ck/staged")) == 1
+    assert read_observations(spark, f"{base}/store").count() == 36
