@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 LEAF_CHARS = 8192
 LEAF_IDS = 4096
-MEMO_MATCHES = 200_000
+MEMO_MATCHES = 300_000
 MEMO_JOINS = 100_000
 MEMO_CHARS = 64
 SHORT_BYTES = 9
@@ -41,6 +41,16 @@ BATCH_BYTES = 4_000_000
 Part = tuple[list[str], list[bytes]]  # matches of a text, and the ids of each as packed 32-bit integers
 
 
+class _Memory(dict):
+    """Ids of matches; one that is not there is encoded."""
+
+    def __init__(self, encode):
+        self.encode = encode
+
+    def __missing__(self, text: str) -> bytes:
+        return self.encode(text)
+
+
 class Coder:
     """One rank file and one split pattern. Every single byte must have a rank."""
 
@@ -49,8 +59,8 @@ class Coder:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pair = lru_cache(MEMO_JOINS)(lambda x, y: self._merge(self.bytes_of[x] + self.bytes_of[y]))
         self.short = lru_cache(MEMO_JOINS)(self._halves)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.window = lru_cache(MEMO_JOINS)(self._merge)
+        self.memo, self.older = _Memory(self.match), {}
 
     def _merge(self, raw: bytes) -> tuple[int, ...]:
         """Merge the lowest rank, leftmost first, until no two neighbours have one."""
@@ -104,7 +114,8 @@ class Coder:
                 return a[: len(a) - i] + mid + b[j:]
             i = min(len(a), 2 * i) if wide_a else i
             j = min(len(b), 2 * j) if wide_b else j
-            mid = self._merge(b"".join(map(self.bytes_of.__getitem__, a[len(a) - i :] + b[:j])))
+            raw = b"".join(map(self.bytes_of.__getitem__, a[len(a) - i :] + b[:j]))
+            mid = self.window(raw) if len(raw) < SHORT_BYTES else self._merge(raw)
 
     def _halves(self, raw: bytes) -> tuple[int, ...]:
         if len(raw) == 1:
@@ -118,14 +129,14 @@ class Coder:
 
         Short matches are remembered in two generations, so frequent ones stay when the memory is full.
         """
-        ids = self.memo.get(text) or self.older.get(text)
+        ids = self.memo.get(text) or self.older.get(text)  # get does not encode
         if ids is None:
             raw = text.encode()
             whole = self.ranks.get(raw)
             ids = array("i", self._halves(raw) if whole is None else (whole,)).tobytes()
         if len(text) <= MEMO_CHARS:
             if len(self.memo) >= MEMO_MATCHES:
-                self.older, self.memo = self.memo, {}
+                self.older, self.memo = dict(self.memo), _Memory(self.match)
             self.memo[text] = ids
         return ids
 
@@ -156,8 +167,8 @@ class Coder:
 
     def _text(self, text: str) -> Part:
         if len(text) <= LEAF_CHARS:
-            matches, known = self.split(text), self.memo.get
-            return matches, [known(m) or self.match(m) for m in matches]
+            matches = self.split(text)
+            return matches, list(map(self.memo.__getitem__, matches))
         half = len(text) // 2
         return self._meet(self._text(text[:half]), self._text(text[half:]))
 
