@@ -488,6 +488,38 @@ Q["detection_power"] = (
 )
 
 
+TRIALS, DAYS = 20, 14
+
+
+def characterised(spark, d):
+    """False alarms per week and the smallest rise seen, from days drawn of each camera's own history."""
+    out = b.characterise(_full_series(spark, d), ["camera_id"], trials=TRIALS, training=DAYS, sizes=(0.5, 1.0, 2.0), period_hours=24)
+    rate = lambda k: F.round(F.get("hit_rates", F.lit(k))["rate"], 6)
+    none = lambda c: F.coalesce(c, F.lit(-1.0)).alias(c)
+    return out.select("camera_id", F.round("false_alarms_per_week", 6).alias("false_alarms_per_week"), "worst_week", *[rate(k).alias(f"hit_{k}") for k in range(3)], none("seen_half"), none("seen_mostly"))
+
+
+_MD5 = "('0x' || substr(md5(concat(trial, ':', {})), 1, 8))::BIGINT"
+_drawn = _full_c | {
+    "dr": f"SELECT *, {_MD5.format('pos')} % {(HI - LO) // 86400} AS block FROM (SELECT DISTINCT camera_id FROM z), range({TRIALS}) a(trial), range({DAYS + 1}) c(pos)",
+    "bt": "SELECT z.camera_id || ':' || trial AS camera_id, z.camera_id AS cam, trial, pos, start_s, value, samples, known_zero FROM dr JOIN z ON z.camera_id = dr.camera_id AND z.bucket // 24 = dr.block",
+    "btr": "SELECT * FROM bt WHERE pos > 0",
+} | baseline_ctes("btr") | {
+    "al": """SELECT cam, trial, 7.0::DOUBLE * count(*) FILTER ((bt.samples > 0 OR known_zero) AND bs.samples >= 3 AND abs(value - centre) / spread >= 3.5) AS n FROM bt
+        LEFT JOIN bs ON bs.camera_id = bt.camera_id AND bs.slot = (start_s // 3600) % 24 WHERE pos = 0 GROUP BY cam, trial""",
+    "pw": f"""SELECT cam, size, avg(CASE WHEN samples >= 3 AND abs(centre * size) / spread >= 3.5 THEN 1.0::DOUBLE ELSE 0 END) AS rate FROM (SELECT split_part(camera_id, ':', 1) AS cam, CAST(split_part(camera_id, ':', 2) AS BIGINT) AS trial, * EXCLUDE (camera_id) FROM bs),
+        (VALUES (0.5::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) m(size) WHERE slot = {_MD5.format("'slot'")} % 24 GROUP BY cam, size""",
+}
+Q["characterise"] = (
+    characterised,
+    v.sql(
+        """SELECT a.cam AS camera_id, round(f, 6) AS false_alarms_per_week, w AS worst_week, round(r0, 6) AS hit_0, round(r1, 6) AS hit_1, round(r2, 6) AS hit_2, coalesce(h, -1) AS seen_half, coalesce(m, -1) AS seen_mostly
+        FROM (SELECT cam, avg(n) AS f, max(n) AS w FROM al GROUP BY cam) a LEFT JOIN (SELECT cam, max(rate) FILTER (size = 0.5) AS r0, max(rate) FILTER (size = 1) AS r1, max(rate) FILTER (size = 2) AS r2,
+        min(size) FILTER (rate >= 0.5) AS h, min(size) FILTER (rate >= 0.95) AS m FROM pw GROUP BY cam) b ON a.cam = b.cam""", "obs", ctes=_drawn,
+    ),
+)
+
+
 def scored_sets(spark, d):
     """Planted hours are every 97th; flagged ones those over 1.5 spreads."""
     from scenelake.operators.scoring import anomaly_scores
