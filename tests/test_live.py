@@ -132,3 +132,13 @@ def test_an_endless_route_gives_its_disk_back(spark):
     after = set(os.listdir(f"{shared_folder(spark)}/settled/{spark.sparkContext.applicationId}"))
     assert after == before and len(os.listdir(f"{base}/ck/staged")) == 1
     assert read_observations(spark, f"{base}/store").count() == 36
+
+
+def test_characterising_a_steady_series(spark):
+    """A series without noise raises no alarm; a rise past its floor is always seen, and nothing comes of no series."""
+    rows = spark.range(24 * 30).select(F.lit("c").alias("camera_id"), F.timestamp_seconds(F.lit(views.START) + F.col("id") * 3600).alias("bucket_start"), F.lit(3600.0).alias("width_s"), F.lit(10.0).alias("value"), F.lit(4).cast("long").alias("samples"), F.lit(False).alias("known_zero"))
+    r = b.characterise(rows, ["camera_id"], trials=5, training=6, sizes=(1.0, 0.1)).first()
+    assert (r["false_alarms_per_week"], r["worst_week"], r["seen_half"], r["seen_mostly"]) == (0.0, 0.0, 1.0, 1.0)
+    assert [(h["size"], h["rate"]) for h in r["hit_rates"]] == [(0.1, 0.0), (1.0, 1.0)]
+    assert b.characterise(rows.limit(0), ["camera_id"]).count() == 0
+    assert b.characterise(rows.drop("camera_id"), trials=2, training=4).count() == 1
