@@ -230,11 +230,12 @@ def _sets(docs: DataFrame, levels: np.ndarray, width: int, percent: int) -> Data
     return docs.mapInArrow(scan, f"doc_id {id_type}, print long, class long, n long, sig binary, prefix array<long>")
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """The rows (token, class, ...) of one bucket, with its ``size``, for each set of members that is met in a bucket of two or more."""
-    met = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("class")).alias("m1"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("m2")).where("size > 1")
-    kept = settle(met.groupBy("size", "m1", "m2").agg(F.min("token").alias("token")).select("token", "size"))
-    return among(rows, kept, "token", FILTER_BITS).join(apart(kept, "token"), "token")
+def _once(rows: DataFrame, group: str = "token", *member: str) -> DataFrame:
+    """The rows of one group, with its ``size``, for each set of members (class, and more columns) that is met in a group of two or more."""
+    of = lambda salt: F.bit_xor(F.xxhash64("class", *member, F.lit(salt)))
+    met = rows.groupBy(group).agg(F.count("*").alias("size"), of(0).alias("m1"), of(1).alias("m2")).where("size > 1")
+    kept = settle(met.groupBy("size", "m1", "m2").agg(F.min(group).alias(group)).select(group, "size"))
+    return among(rows, kept, group, FILTER_BITS).join(apart(kept, group), group)
 
 
 def _texts(classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -258,7 +259,8 @@ def _walked(cells: DataFrame, sigs: DataFrame, classes: DataFrame, docs: DataFra
                 stays[first:end] = possible(sigs[first:end], n[first:end], component[first:end], side[first:end], percent)
             yield from table.select(["cell", "side", "class", "component"]).filter(pa.array(stays)).combine_chunks().to_batches()
 
-    left = settle(light.mapInArrow(mark, "cell long, side int, class long, component long"))
+    # What is left of a cell is often left of others too, as near copies share most of their buckets.
+    left = settle(_once(settle(light.mapInArrow(mark, "cell long, side int, class long, component long")), "cell", "side").drop("size"))
     texts = _texts(classes.join(left.select("class").distinct(), "class", "left_semi"), docs)
     met = left.join(texts, "class").select("cell", "side", "component", "text").repartition("cell").sortWithinPartitions("cell")
 
