@@ -13,7 +13,7 @@ from scenelake.session import settle
 BUCKETS = 1 << 14
 STEP = 0.005
 FILTER_BITS = 1 << 22
-FIT_ROWS = 20_000
+LABEL_BITS = 1 << 24
 _WORD = r"[^\x20\x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
 
@@ -67,16 +67,19 @@ def gram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
     ))
 
 
-def ratio_model(raw: DataFrame, trusted: DataFrame, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def ratio_model(raw: DataFrame, trusted: DataFrame | None = None, text: str = "text", buckets: int = BUCKETS) -> DataFrame:
     """One row: ``weights``, per bucket the log of trusted over raw add-one multinomials, and ``without``, such arrays without each fold.
 
-    ``trusted`` has a column ``fold`` of 0 or 1. Three times ``buckets`` doubles, whatever the input.
+    ``trusted`` has a column ``fold`` of 0 or 1; without it, the rows of ``raw`` that have a fold are trusted, and no text is
+    cut twice. Three times ``buckets`` doubles, whatever the input.
     """
-    grams = lambda docs, *keep: docs.select(*keep, F.explode(gram_buckets(F.col(text), buckets)).alias("bucket"))
-    seen = grams(raw).groupBy("bucket").agg(F.count("*").alias("r"))
-    good = grams(trusted, "fold").groupBy("bucket").agg(F.count("*").alias("t"), F.count_if(F.col("fold") != 0).alias("t0"), F.count_if(F.col("fold") != 1).alias("t1"))
+    rows = raw.select(text, F.col("fold") if trusted is None else F.lit(None).cast("int").alias("fold"), F.lit(True).alias("raw"))
+    if trusted is not None:
+        rows = rows.unionByName(trusted.select(text, F.col("fold").cast("int").alias("fold"), F.lit(False).alias("raw")))
+    grams = rows.select("fold", "raw", F.explode(gram_buckets(F.col(text), buckets)).alias("bucket"))
+    seen = grams.groupBy("bucket").agg(F.count_if("raw").alias("r"), F.count("fold").alias("t"), F.count_if(F.col("fold") != 0).alias("t0"), F.count_if(F.col("fold") != 1).alias("t1"))
     every = raw.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-    both = settle(every.join(seen, "bucket", "left").join(good, "bucket", "left").fillna(0, ["r", "t", "t0", "t1"]))
+    both = settle(every.join(seen, "bucket", "left").fillna(0, ["r", "t", "t0", "t1"]))
     totals = both.agg(*[F.sum(c).alias(c) for c in ("r", "t", "t0", "t1")]).first()
     log_share = lambda c: F.ln((F.col(c) + 1.0) / F.lit(float(totals[c] + buckets)))
     rows = both.agg(F.sort_array(F.collect_list(F.struct("bucket", *[(log_share(c) - log_share("r")).alias(c) for c in ("t", "t0", "t1")]))).alias("a"))
@@ -114,8 +117,8 @@ def best_cut(scored: DataFrame, cost: float = 20.0) -> float:
     return cut
 
 
-def among(rows: DataFrame, ids: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows whose key may be in ``ids``: a bitmap of ``bits`` hashed keys, of that size whatever the input.
+def maybe_among(rows: DataFrame, ids: DataFrame, key: str, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with ``name``: whether the key may be in ``ids``, by a bitmap of ``bits`` hashed keys, of that size whatever the input.
 
     It spares a join the texts of rows it would drop; as the keys outgrow the bitmap it merely spares less.
     """
@@ -126,24 +129,32 @@ def among(rows: DataFrame, ids: DataFrame, key: str, bits: int = FILTER_BITS) ->
     bitmap = settle(every.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bitmap")))
     held = rows.withColumn("_bitmap", bitmap.select("bitmap").scalar())
     word = F.get("_bitmap", F.floor(hashed() / 64).cast("int"))
-    return held.where(F.call_function("getbit", word, F.pmod(hashed(), F.lit(64)).cast("int")) == 1).drop("_bitmap")
+    return held.withColumn(name, F.call_function("getbit", word, F.pmod(hashed(), F.lit(64)).cast("int")) == 1).drop("_bitmap")
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose key may be in ``ids``."""
+    return maybe_among(rows, ids, key, "_among", bits).where("_among").drop("_among")
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cost: float = 20.0, buckets: int = BUCKETS, fit_rows: int = FIT_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", cost: float = 20.0, buckets: int = BUCKETS) -> DataFrame:
     """``docs`` with the base counts, ``llr``, ``cut`` and ``kept``.
 
     Trusted texts are those whose every label has quality 1; the raw multinomial is over all documents.
-    ``kept`` is false for a failed base rule, else whether the mean ratio reaches the cut. That is fitted on about
-    ``fit_rows`` labelled documents, all if fewer, drawn by a hash of the id, that pass the base rules, each judged by a model that has not seen it, as unlabelled ones are. Null texts are empty and fail; repeated rows are judged alike; without labels
+    ``kept`` is false for a failed base rule, else whether the mean ratio reaches the cut. That is fitted on all
+    labelled documents that pass the base rules, each judged by a model that has not seen it, as unlabelled ones are. Null texts are empty and fail; repeated rows are judged alike; without labels
     the ratio is 0 for all and nothing is cut; the added columns replace columns
     of their name.
     """
     marks = labels.groupBy(F.col(doc_id).alias("_id")).agg(F.min("quality").alias("quality"))
-    maybe = among(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), marks, "_id")
-    labelled = settle(maybe.join(marks.hint("merge"), "_id").select("_text", "quality", F.pmod(F.xxhash64("_id"), F.lit(2)).cast("int").alias("fold"), F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1_000_000)).alias("draw")))
-    model = ratio_model(docs.select(F.col(text).alias("_text")), labelled.where("quality = 1"), "_text", buckets)
-    drawn = labelled.where(F.col("draw") < int(1e6 * min(1.0, fit_rows / max(1, labelled.count()))))
-    cut = best_cut(mean_ratio(base_rules(drawn, "_text").where("not base_failed"), model, "_text", buckets, "fold"), cost)
+    rows = maybe_among(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")), marks, "_id", "_maybe", LABEL_BITS)
+    # The few rows that only seem labelled stay among these, so that every row is in one of the two parts.
+    fold = F.pmod(F.xxhash64("_id"), F.lit(2)).cast("int")
+    maybe = settle(rows.where("_maybe").join(marks.hint("merge"), "_id", "left").select("_text", "quality", fold.alias("fold")))
+    parts = maybe.select("_text", F.when(F.col("quality") == 1, F.col("fold")).alias("fold")).unionByName(rows.where("not _maybe").select("_text", F.lit(None).cast("int").alias("fold")))
+    model = ratio_model(parts, text="_text", buckets=buckets)
+    judged = base_rules(maybe.where("quality is not null"), "_text").where("not base_failed")
+    cut = best_cut(mean_ratio(judged, model, "_text", buckets, "fold"), cost)
     out = mean_ratio(base_rules(packed(docs, _text=F.col(text)), "_text"), model, "_text", buckets)
     base = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr")}
     return unpacked(out, docs.columns, **base, cut=F.lit(cut), kept=~F.col("base_failed") & (F.col("llr") >= F.lit(cut)))
