@@ -52,3 +52,38 @@ def test_identities_that_counts_leave_open_are_the_best(spark):
     seen = [("s", o, t, f) for o, t, n in ((0, 0, 3), (0, 1, 2), (1, 0, 2), (1, 1, 0), (2, 2, 9)) for f in range(n)]
     matches = spark.createDataFrame(seen, "source_id string, object_id long, track_id long, frame_index long")
     assert sc.idf1(matches, matches, matches).first()["idtp"] == 13
+
+
+def test_narrow_slices_share_a_task_and_ids_stay_whole(spark, monkeypatch):
+    from scenelake.operators import linking as ln
+
+    run = ln._heads_inside
+    counted = spark.sparkContext.accumulator(0)
+
+    def counting(key, parent):
+        inner = run(key, parent)
+
+        def each(pdf):
+            counted.add(1)
+            return inner(pdf)
+
+        return each
+
+    monkeypatch.setattr(ln, "_heads_inside", counting)
+    big = 2**60  # ids that a fraction cannot hold
+    rows = [("s", i, big + i, i - 1 if i % 50 else None, big + i - 1 if i % 50 else None) for i in range(200)]
+    nodes = spark.createDataFrame(rows, "source_id string, step long, det_id long, prev_step long, prev_id long")
+    out = ln.chain_heads(nodes, ["step", "det_id"], ["prev_step", "prev_id"], steps=3).collect()
+    assert {(r["step"], r["head_step"], r["head_det_id"]) for r in out} == {(i, i - i % 50, big + i - i % 50) for i in range(200)}
+    assert counted.value == 1
+
+
+def test_zone_rules_compute_no_activities(spark, monkeypatch):
+    from catalog import scene
+
+    def never(*args, **more):
+        raise AssertionError("activities made")
+
+    monkeypatch.setattr(scene.a, "activities", never)
+    rules = [r for r in scene.RULES if r.type == "zone_exit"]
+    assert set(scene._inputs(spark, "/root/testdata/sf0.001", rules)) == {"visits"}
