@@ -37,6 +37,7 @@ SHORT_BYTES = 9
 HEAP_BYTES = 256
 NONE = 1 << 31
 BATCH_BYTES = 4_000_000
+CUTS = [[c for c in (n // 2, n // 2 + 1, n // 2 - 1, n // 2 + 2, n // 2 - 2) if 0 < c < n] for n in range(2 * SHORT_BYTES)]
 
 Part = tuple[list[str], list[bytes]]  # matches of a text, and the ids of each as packed 32-bit integers
 
@@ -58,6 +59,8 @@ class Coder:
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pair = lru_cache(MEMO_JOINS)(lambda x, y: self._merge(self.bytes_of[x] + self.bytes_of[y]))
+        self.apart = lru_cache(MEMO_JOINS)(self._apart)
+        self.sides: dict[int, tuple[int, int]] = {}
         self.short = lru_cache(MEMO_JOINS)(self._halves)
         self.window = lru_cache(MEMO_JOINS)(self._merge)
         self.memo, self.older = _Memory(self.match), {}
@@ -78,6 +81,38 @@ class Coder:
                 pairs[i - 1] = rank(parts[i - 1] + both, NONE)
         return tuple(map(self.ranks.__getitem__, parts))
 
+    def _sides(self, token: int) -> tuple[int, int]:
+        """The two tokens that the last merge of a token joins; a single byte is its own."""
+        raw = self.bytes_of[token]
+        parts, rank = [raw[i : i + 1] for i in range(len(raw))], self.ranks.get
+        while len(parts) > 2:
+            pairs = [rank(x + y, NONE) for x, y in pairwise(parts)]
+            i = pairs.index(min(pairs))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        self.sides[token] = out = self.ranks[parts[0]], self.ranks[parts[-1]]
+        return out
+
+    def _apart(self, x: int, y: int) -> bool:
+        """Whether two neighbouring tokens are the encoding of their bytes.
+
+        Merges are undone from the highest rank down, on the side whose merge is the later: the two stay apart unless what then
+        meets at the boundary has a lower rank than the merge undone last, and so would have been joined before it.
+        """
+        of, rank, sides, latest = self.bytes_of, self.ranks.get, self.sides, NONE
+        while rank(of[x] + of[y], NONE) >= latest:
+            for left in (x > y, x <= y):
+                here = x if left else y
+                part = (sides.get(here) or self._sides(here))[left]
+                if part != here:
+                    break
+            else:
+                return True
+            if left:
+                x, latest = part, here
+            else:
+                y, latest = part, here + 1  # of equal ranks the left one is joined first
+        return False
+
     def _merge_long(self, raw: bytes) -> tuple[int, ...]:
         """The same with a heap of pairs and the ends of the parts, for windows that have grown."""
         n, rank = len(raw), self.ranks.get
@@ -118,10 +153,16 @@ class Coder:
             mid = self.window(raw) if len(raw) < SHORT_BYTES else self._merge(raw)
 
     def _halves(self, raw: bytes) -> tuple[int, ...]:
-        if len(raw) == 1:
+        n = len(raw)
+        if n == 1:
             return (self.ranks[raw],)
-        half = len(raw) // 2
+        half = n // 2
         tree = self.short if half < SHORT_BYTES else self._halves
+        if n < 2 * SHORT_BYTES:  # a cut between two tokens needs no window: one near the middle is looked for
+            for cut in CUTS[n]:
+                a, b = tree(raw[:cut]), tree(raw[cut:])
+                if self.apart(a[-1], b[0]):
+                    return a + b
         return self.join(tree(raw[:half]), tree(raw[half:]))
 
     def match(self, text: str) -> bytes:
