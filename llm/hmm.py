@@ -25,7 +25,8 @@ ROUNDS = 5
 FREQUENT = 2000
 CLASSES = 2048
 SEGMENT = 1024
-GROUP_CHARS = 32_000_000
+GROUP_CHARS = 12_000_000
+HELD_WORDS = 1_500_000
 SLICE_BYTES = 1 << 21
 UNSEEN = 0.5
 END, RARE, OWN = 0, 1, 2
@@ -64,12 +65,12 @@ def _local_counts(grouped: DataFrame) -> DataFrame:
                 if len(h):
                     held.append(_summed(grp[first + row], h, c, train[first + row]))
                     size += len(held[-1][0])
-            if size > 4_000_000:
-                held = [reduced()]
-                size = len(held[0][0])
-                if size > 3_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["grp", "hash", "class", "n"])
-                    held, size = [], 0
+                if size > HELD_WORDS:
+                    held = [reduced()]
+                    size = len(held[0][0])
+                    if 2 * size > HELD_WORDS:  # a word may come twice in a group, as counts are summed over all rows of its hash
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["grp", "hash", "class", "n"])
+                        held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in reduced()], ["grp", "hash", "class", "n"])
 
@@ -272,7 +273,8 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         base = np.log10((c + 1) / (n + v + 1))
         end_base = np.log10((train_docs + 1) / (n + v + 1))
         out: list[tuple] = []
-        for first, row, words, _ in _word_rows(texts.column("text").combine_chunks()):
+        starts = np.append(0, np.cumsum([len(chunk) for chunk in texts.column("text").chunks]))
+        for first, row, words, _ in ((start + f, *x) for start, chunk in zip(starts.tolist(), texts.column("text").chunks, strict=False) for f, *x in _word_rows(chunk)):
             rows = (row.max() + 1) if len(row) else 0
             at = np.searchsorted(h, words)
             cut = np.searchsorted(row, np.arange(rows + 1))
